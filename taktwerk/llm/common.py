@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Callable
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,5 +79,18 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
-def queries_of(*pairs: tuple[str, Callable[[SparkSession, str], DataFrame]]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(pairs)
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, wherever they run: a zip of it, served by the driver."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp()) / "taktwerk_workers.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)

@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from taktwerk.llm.chat import OP4_SQL, op4_chat_formatting
+from taktwerk.llm.html_text import op10_html_extraction
 from taktwerk.llm.mixing import op5_mixing
+from taktwerk.llm.packing import op9_packing
 from taktwerk.llm.quality_rules import op7_quality_rules
 from taktwerk.llm.sharding import op1_sharding
+from taktwerk.llm.token_files import op8_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op4_chat_formatting": op4_chat_formatting,
         "op5_mixing": op5_mixing,
         "op7_quality_rules": op7_quality_rules,
+        "op8_token_files": op8_token_files,
+        "op9_packing": op9_packing,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": OP4_SQL}

@@ -10,6 +10,7 @@ from taktwerk.llm.chat import OP4_SQL, op4_chat_formatting
 from taktwerk.llm.html_text import op10_html_extraction
 from taktwerk.llm.mixing import op5_mixing
 from taktwerk.llm.packing import op9_packing
+from taktwerk.llm.quality_model import op6_quality_classifier
 from taktwerk.llm.quality_rules import op7_quality_rules
 from taktwerk.llm.sharding import op1_sharding
 from taktwerk.llm.token_files import op8_token_files
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_mixing": op5_mixing,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_files": op8_token_files,
         "op9_packing": op9_packing,

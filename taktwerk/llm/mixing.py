@@ -104,7 +104,8 @@ def mix(df: DataFrame, *, size: Column, key: Column, scratch: Scratch, cap: int
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: its size, its source's size and target, and the words taken of it."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    text = F.col("text")
-    mixed = mix(docs, size=n_words(text), key=exponential_key(F.col("doc_id"), text), scratch=Scratch(spark, "mix"))
-    return mixed.select("doc_id", F.col("words").alias("size"), "source_size", "target", (F.col("epochs") * F.col("words") + F.col("extra")).alias("taken"))
+    scratch, text = Scratch(spark, "mix"), F.col("text")
+    # The texts are read once; all else needs their sizes and keys alone.
+    sized = read_table(spark, sf_dir, "documents").select("doc_id", "source", n_words(text).alias("size"), exponential_key(F.col("doc_id"), text).alias("key"))
+    mixed = mix(scratch.store(sized, "sized"), size=F.col("size"), key=F.col("key"), scratch=scratch)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("words") + F.col("extra")).alias("taken"))

@@ -14,11 +14,13 @@ from taktwerk.llm.quality_model import op6_quality_classifier
 from taktwerk.llm.quality_rules import op7_quality_rules
 from taktwerk.llm.sharding import op1_sharding
 from taktwerk.llm.token_files import op8_token_files
+from taktwerk.llm.vector_search import OP3_SQL, op3_vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op3_vector_search": op3_vector_search,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_mixing": op5_mixing,
         "op6_quality_classifier": op6_quality_classifier,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL}
+    return {"op3_vector_search": OP3_SQL, "op4_chat_formatting": OP4_SQL}

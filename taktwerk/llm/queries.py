@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from taktwerk.llm.chat import OP4_SQL, op4_chat_formatting
 from taktwerk.llm.html_text import op10_html_extraction
 from taktwerk.llm.mixing import op5_mixing
+from taktwerk.llm.ngram_join import op2_ngram_join
 from taktwerk.llm.packing import op9_packing
 from taktwerk.llm.quality_model import op6_quality_classifier
 from taktwerk.llm.quality_rules import op7_quality_rules
@@ -20,6 +21,7 @@ from taktwerk.llm.vector_search import OP3_SQL, op3_vector_search
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_ngram_join": op2_ngram_join,
         "op3_vector_search": op3_vector_search,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_mixing": op5_mixing,

@@ -102,6 +102,14 @@ def mix(df: DataFrame, *, size: Column, key: Column, scratch: Scratch, cap: int
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(v).alias("words"), "source_size", "target", F.col(e).alias("epochs"), extra.cast("long").alias("extra"))
 
 
+def mixed_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents of the mix, each as often as it is taken; one taken in part counts if that is half of it or more."""
+    text, count = F.col("text"), own("count")
+    mixed = mix(docs, size=n_words(text), key=exponential_key(F.col("doc_id"), text), scratch=scratch)
+    times = F.col("epochs") + F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("words")), 1).otherwise(0)
+    return mixed.withColumn(count, times).where(F.col(count) > 0).withColumn(count, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))).select(*docs.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: its size, its source's size and target, and the words taken of it."""
     scratch, text = Scratch(spark, "mix"), F.col("text")

@@ -146,7 +146,7 @@ def tree_join(a: RTree, b: RTree, size: np.ndarray, counts: np.ndarray, comp: np
 
 
 def _digest(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(doc_id, node, n, counts, cells): a set's name, size, count vector and cells. Within a task a set's cells are given once."""
+    """(doc_id, mark, node, n, counts, cells): the text's hash, and its set's name, size, count vector and cells. Within a task a set's cells are given once."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,9 +161,10 @@ def _digest(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                 cells.append(None if name is None or name in seen else bands.cells(s))
                 if name is not None:
                     seen.add(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "counts", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "n", "counts", "cells"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text")).mapInArrow(digest, "doc_id long, node long, n long, counts binary, cells array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"), F.xxhash64("text").alias("mark"))
+    return rows.mapInArrow(digest, "doc_id long, mark long, node long, n long, counts binary, cells array<long>")
 
 
 def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,14 +223,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands
 
 
 def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of (doc_id, text): sets link when den * intersection >= num * union.
+    """(doc_id, n_shingles, component_id, mark, component) of each row of (doc_id, text): sets link when den * intersection >= num * union.
 
     Equal sets are one node. Round one ties the members of each cell to its first one where that verifies; it settles large groups of near copies without
     going over their pairs. Round two joins, in an R-tree for each cell, the members that are still in different components, and verifies
     every pair whose bound reaches the threshold. Cells of more than ``CELL_ROWS`` members are dealt out as pairs of parts.
 
-    Null and empty texts, and texts without words, have an empty set, link with nothing and are their own component. Repeated rows link.
-    Rows with null doc_id keep a place but do not name a component unless all its rows are null.
+    Null and empty texts, and texts without words, have an empty set, link with nothing and are their own component (``component``, its
+    inner name, is null). Repeated rows link. Rows with null doc_id keep a place but name a component only if all its rows are null.
+    ``mark`` is a hash of the text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -287,12 +289,25 @@ def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int =
     final = scratch.store(final.union(alone), "final")
     scratch.drop(members, mixed, links, more)
 
-    rows = digest.select("doc_id", "n", "node").join(final, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
+    rows = digest.select("doc_id", "mark", "n", "node").join(final, "node", "left").select("doc_id", "mark", "n", F.coalesce("comp", "node").alias("comp"))
     least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias(own("least")))
     out = rows.join(least, "comp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own("least"), "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own("least"), "doc_id").alias("component_id"), "mark", F.col("comp").alias("component"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components of all documents at three words and 90 %."""
-    return near_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "ngrams"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_components(docs, Scratch(spark, "ngrams")).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` with one of each component of near copies: that of smallest doc_id, then text hash; null ids come last.
+
+    Rows with empty sets all stay. Of rows equal in doc_id and text one stays."""
+    groups = near_components(docs, scratch, n=n, num=num, den=den)
+    first = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("x"))
+    kept = first.select(F.col("x.doc_id").alias(own("id")), F.col("x.mark").alias(own("mark")))
+    empty = docs.where(~text_or_empty(F.col("text")).rlike(r"[^\x20\x09-\x0D]"))
+    held = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own("id"))) & (F.xxhash64("text") == F.col(own("mark"))))
+    return held.dropDuplicates([own("id"), own("mark")]).select(*docs.columns).unionByName(empty)

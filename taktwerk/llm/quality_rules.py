@@ -84,6 +84,14 @@ def with_quality(df: DataFrame) -> DataFrame:
     return df.withColumn("kept", ~F.col("base_failed") & (dense(F.col("cleaned")) >= LEAST_KEPT * F.col("word_chars")))
 
 
+def keep_clean(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, with their columns; text holds the lines that pass and n_chars (if there) its length."""
+    out = with_quality(docs).where("kept").withColumn("text", F.col("cleaned"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base figures and verdict of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -7,11 +7,14 @@ by one look at each level, without decoding a block.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import sys
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ from taktwerk.llm.common import Scratch, read_table, ship, text_or_empty
 
 END_ID, SEGMENT_TOKENS = 2, 1 << 20
 MAGIC = b"TWDC0001"
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _WORD_BITS = 512
 
 
@@ -95,9 +99,11 @@ def _unsafe_chars() -> re.Pattern:
 
 class PieceEncoder:
     """Token ids of whole texts. The tokenizer treats each piece of its pre-tokenizing pattern alone, so a piece's ids are
-    asked of it once and kept; invented or rare pieces beyond ``keep`` start the memory anew."""
+    asked of it once and kept; beyond ``keep`` pieces the memory starts anew."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
+        # Tasks share the machine's cores already; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -107,21 +113,32 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.unsafe.search(text) or any(s in text for s in self.special):
-            return self._whole(text)
-        pieces = _PIECES.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            new = list({p for p in pieces if p not in self.known})
-            if len(self.known) > self.keep:
-                self.known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, pieces))
+    def _learn(self, pieces: Iterable[str]) -> None:
+        new = [p for p in pieces if p not in self.known]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[p] = array("I", e.ids).tobytes() if _LITTLE else np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        plain = [not self.unsafe.search(t) and not any(s in t for s in self.special) for t in texts]
+        pieces = [_PIECES.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) > self.keep:
+            self.known.clear()
+        self._learn(set().union(*(p for p in pieces if p is not None)))
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) if p is not None else self._whole(t) for t, p in zip(texts, pieces, strict=True)]
+
+
+def _groups(ids: list, texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+    """Rows in groups of about so many characters."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= chars:
+            yield ids[start : i + 1], texts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield ids[start:], texts[start:]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -169,10 +186,11 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer_path: str, *, end_
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                done.append(encoder(text) + end)
-                size += len(done[-1]) // 4
+            for some, texts in _groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes = [c + end for c in encoder(texts)]
+                ids += some
+                done += codes
+                size += sum(map(len, codes)) // 4
                 if size >= segment_tokens:
                     yield _segment(part, segment, ids, done)
                     segment, ids, done, size = segment + 1, [], [], 0

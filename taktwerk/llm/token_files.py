@@ -14,7 +14,7 @@ import sys
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +97,13 @@ def _unsafe_chars() -> re.Pattern:
     return re.compile("[" + "".join(map(re.escape, map(chr, odd))) + " -‏ -  -\U0010ffff]")
 
 
+#: Texts whose white space is single spaces and line ends inside them split at these without the pattern.
+_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|^\s|\s\Z")
+
+
 class PieceEncoder:
-    """Token ids of whole texts. The tokenizer treats each piece of its pre-tokenizing pattern alone, so a piece's ids are
-    asked of it once and kept; beyond ``keep`` pieces the memory starts anew."""
+    """Token ids of whole texts. The tokenizer treats each piece of its pre-tokenizing pattern alone, and no piece goes on after
+    a space or line end, so the ids of what stands between these are asked of it once and kept; beyond ``keep`` the memory starts anew."""
 
     def __init__(self, path: str, keep: int = 500_000):
         # Tasks share the machine's cores already; the library's own threads would only wait for each other.
@@ -110,23 +114,37 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unsafe, self.keep, self.known = _unsafe_chars(), keep, {}
 
+    def _keys(self, text: str) -> list[str] | None:
+        """Keys of what to join the ids of; None if the text must be encoded whole."""
+        if any(s in text for s in self.special):
+            return None
+        if not _UNEVEN.search(text) and "\0" not in text:
+            # A line end stays with what follows it; the space before all others but the first was taken by the split.
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return [f"\0{first}", *rest]
+        return None if self.unsafe.search(text) else [f"\0{p}" for p in _PIECES.findall(text)]
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = array("I", e.ids).tobytes() if _LITTLE else np.array(e.ids, "<u4").tobytes()
+    def _learn(self, keys: Iterable[str], text_of: Callable[[str], str]) -> None:
+        new = [k for k in keys if k not in self.known]
+        for k, e in zip(new, self.tokenizer.encode_batch_fast([text_of(k) for k in new], add_special_tokens=False), strict=True):
+            self.known[k] = array("I", e.ids).tobytes() if _LITTLE else np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        plain = [not self.unsafe.search(t) and not any(s in t for s in self.special) for t in texts]
-        pieces = [_PIECES.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > self.keep:
             self.known.clear()
-        self._learn(set().union(*(p for p in pieces if p is not None)))
+        keys = [self._keys(t) for t in texts]
+        self._learn(set().union(*(k for k in keys if k is not None)), _text_of)
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) if p is not None else self._whole(t) for t, p in zip(texts, pieces, strict=True)]
+        return [b"".join(map(get, k)) if k is not None else self._whole(t) for t, k in zip(texts, keys, strict=True)]
+
+
+def _text_of(key: str) -> str:
+    """The text that a key stands for: itself after a mark or a line end, else with a space before it."""
+    return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else f" {key}"
 
 
 def _groups(ids: list, texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:

@@ -25,7 +25,9 @@ from taktwerk.llm.common import Scratch, own, read_table, ship, text_or_empty
 from taktwerk.llm.graph import components
 
 #: Groups of the count vectors; blocks beyond those that can differ; size ratio of a band.
-GROUPS, SPARE, BAND = 16, 2, 1.5
+GROUPS, SPARE, BAND = 64, 2, 1.5
+#: Rounds of stars before the R-tree join.
+STARS = 3
 #: Points of a leaf; members of a cell that one task joins at most (larger cells are dealt out as pairs of parts).
 LEAF, CELL_ROWS = 32, 4096
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -60,7 +62,7 @@ def signature(s: np.ndarray) -> int:
 
 def count_vector(s: np.ndarray) -> bytes:
     """Shingles of each group, as 16-bit numbers; the highest stands for itself and all above."""
-    return np.minimum(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=GROUPS), _FULL).astype("<u2").tobytes()
+    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), _FULL).astype("<u2").tobytes()
 
 
 def counts_of(vectors: list[bytes]) -> np.ndarray:
@@ -168,8 +170,8 @@ def _digest(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
 
 
 def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of (cell, node): those of cells with two nodes or more, with the cell's first node as center. Equal rows count once."""
-    last_cell = last_node = center = None
+    """From rows in the order of (cell, node): those of cells with two nodes or more. Equal rows count once."""
+    last_cell = last_node = center = None  # center: the cell's first node
     single = False  # the last row is its cell's first and has not been given
     for batch in batches:
         if not batch.num_rows:
@@ -183,10 +185,10 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         start = np.maximum.accumulate(np.where(first, np.arange(len(cell)), -1))
         middle = np.where(start >= 0, node[np.maximum(start, 0)], 0 if center is None else center)
         second = ~first & np.concatenate([[single], first[:-1]])
-        out = [np.concatenate([x[~first], y[second]]) for x, y in ((cell, cell), (node, middle), (middle, middle))]
+        out = [np.concatenate([x[~first], y[second]]) for x, y in ((cell, cell), (node, middle))]
         last_cell, last_node, center, single = cell[-1], node[-1], middle[-1], bool(first[-1])
         if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["cell", "node", "center"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["cell", "node"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands: Bands, scratch: Scratch) -> DataFrame:
@@ -222,12 +224,26 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands
     return links
 
 
+def _named(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members with the component that their node has so far, at first itself."""
+    return members.join(comp, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("comp"))
+
+
+def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) after new links between nodes, which join whole components."""
+    of = lambda x: comp.toDF(x, f"c{x}")
+    whole = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(whole, scratch)
+    moved = comp.join(top.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return scratch.store(moved.union(top.join(comp, "node", "left_anti").select("node", "component")), "components")
+
+
 def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, mark, component) of each row of (doc_id, text): sets link when den * intersection >= num * union.
 
-    Equal sets are one node. Round one ties the members of each cell to its first one where that verifies; it settles large groups of near copies without
-    going over their pairs. Round two joins, in an R-tree for each cell, the members that are still in different components, and verifies
-    every pair whose bound reaches the threshold. Cells of more than ``CELL_ROWS`` members are dealt out as pairs of parts.
+    Equal sets are one node. First, in a few rounds, every node is held against one member of another component that its cells agree on; this
+    settles large groups of near copies without going over their pairs. Then the members of each cell that are still in different
+    components are joined in an R-tree, and every pair whose bound reaches the threshold is verified. Cells of more than ``CELL_ROWS`` members are dealt out as pairs of parts.
 
     Null and empty texts, and texts without words, have an empty set, link with nothing and are their own component (``component``, its
     inner name, is null). Repeated rows link. Rows with null doc_id keep a place but name a component only if all its rows are null.
@@ -240,7 +256,7 @@ def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int =
     nodes = scratch.store(digest.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts")), "nodes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = digest.where("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "node").repartition(parts, "cell").sortWithinPartitions("cell", "node")
-    members = scratch.store(cells.mapInArrow(_shared_cells, "cell long, node long, center long"), "members")
+    members = scratch.store(cells.mapInArrow(_shared_cells, "cell long, node long"), "members")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,16 +265,22 @@ def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int =
                 bound = np.minimum(*(counts_of(batch.column(k).to_pylist()) for k in (3, 5))).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([x.filter(pa.array(bands.linked(*size, bound))) for x in batch.columns[:2]], names=["a", "b"])
 
-    stars = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     sized = nodes.select("node", "n", "counts")
-    stars = stars.join(sized.toDF("a", "na", "ca"), "a").join(sized.toDF("b", "nb", "cb"), "b").select("a", "b", "na", "ca", "nb", "cb")
-    links = _verified(stars.mapInArrow(within, "a long, b long"), nodes, docs, n, bands, scratch)
-    comp = scratch.store(components(links, scratch), "components")
-
-    # Round two: cells that still span components. Cells with the same members are joined once.
-    named = members.join(comp, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("comp"))
+    comp = spark.createDataFrame([], "node long, component long")
+    for seed in range(STARS):
+        # One edge a node: to a member of another component that many cells agree on.
+        named = _named(members, comp)
+        low = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("center"), F.col("comp").alias("of"))
+        spans = named.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(low).alias("c")).where("low <> high").select("cell", "c")
+        near = named.join(spans, "cell").where("comp <> c.of").groupBy("node").agg(F.min("c").alias("c")).select(F.col("node").alias("a"), F.col("c.center").alias("b"))
+        near = near.join(sized.toDF("a", "na", "ca"), "a").join(sized.toDF("b", "nb", "cb"), "b").select("a", "b", "na", "ca", "nb", "cb")
+        links = _verified(near.mapInArrow(within, "a long, b long"), nodes, docs, n, bands, scratch)
+        comp = _merged(comp, links, scratch)
+
+    # The R-tree join: cells that still span components. Cells with the same members are joined once.
+    named = _named(members, comp)
     spans = named.groupBy("cell").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sign"))
-    spans = spans.where("low <> high AND held > 2").groupBy("sign", "held").agg(F.min("cell").alias("cell"))
+    spans = spans.where("low <> high").groupBy("sign", "held").agg(F.min("cell").alias("cell"))
     mixed = scratch.store(named.join(spans.select("cell", "held"), "cell").join(sized, "node"), "mixed")
     chunks = F.ceil(F.col("held") / CELL_ROWS).cast("int")
     chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
@@ -280,14 +302,8 @@ def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int =
 
     rest = dealt.groupBy("cell", "i", "j").applyInPandas(joined, "a long, b long").distinct()
     more = _verified(rest, nodes, docs, n, bands, scratch)
-    # Links of round two join whole components.
-    of = lambda x: comp.toDF(x, f"c{x}")
-    merged = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    top = components(merged, scratch)
-    final = comp.join(top.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("comp"))
-    alone = top.join(comp, "node", "left_anti").select("node", F.col("component").alias("comp"))
-    final = scratch.store(final.union(alone), "final")
-    scratch.drop(members, mixed, links, more)
+    final = _merged(comp, more, scratch).toDF("node", "comp")
+    scratch.drop(members, mixed)
 
     rows = digest.select("doc_id", "mark", "n", "node").join(final, "node", "left").select("doc_id", "mark", "n", F.coalesce("comp", "node").alias("comp"))
     least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias(own("least")))

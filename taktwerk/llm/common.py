@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -71,6 +72,11 @@ class Scratch:
         out._tw_path = path  # type: ignore[attr-defined]
         return out
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of steps whose results are stored: it does so once their plans are garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:

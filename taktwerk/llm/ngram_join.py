@@ -194,7 +194,8 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands: Bands, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link. Sets are made again from the texts of one document each."""
     pairs = scratch.store(pairs, "candidates")
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
+    # Stored, so that its true size decides whether the texts must be shuffled to meet it.
+    need = scratch.store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"), "need")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +221,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands
 
     joined = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
     links = scratch.store(joined.mapInArrow(overlap, "a long, b long"), "verified")
-    scratch.drop(pairs, held)
+    scratch.drop(pairs, held, need)
+    del joined, texts, held, need
+    scratch.release()
     return links
 
 
@@ -257,6 +260,8 @@ def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = digest.where("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "node").repartition(parts, "cell").sortWithinPartitions("cell", "node")
     members = scratch.store(cells.mapInArrow(_shared_cells, "cell long, node long"), "members")
+    del cells
+    scratch.release()
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,9 @@ from taktwerk.llm.common import Scratch, read_table, ship
 
 TOP_K, SCALE, QUERY_EVERY = 20, 64, 20
 #: Bounds: vectors that pivots and first thresholds come from, pivots, rows of a task's queries and data, rows of a leaf, children of a node.
-SAMPLE, PIVOTS, QUERY_ROWS, DATA_ROWS, LEAF, FANOUT = 2048, 64, 1024, 4096, 64, 16
+SAMPLE, PIVOTS, QUERY_ROWS, DATA_ROWS, LEAF, FANOUT = 2048, 64, 1024, 4096, 256, 16
+#: Scores that a task gathers before it keeps the best of each query.
+POOL_ROWS = 200_000
 _EXACT = 1 << 22
 
 
@@ -72,12 +74,13 @@ class Search:
         order = np.argsort(d_ids, kind="stable")  # ties go to the smaller id, so to the smaller row
         self.q, self.q_ids, self.d, self.d_ids = q, q_ids, d[order], d_ids[order]
         self.worst, self.k = worst.astype(np.float64), k
-        self.score = np.full((len(q), k), -np.inf)
-        self.row = np.full((len(q), k), -1)
+        self.pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (query row, data row, score) that may be among the best
+        self.held = 0
         self.exact = max(np.abs(q).max(initial=0), np.abs(d).max(initial=0)) < _EXACT
 
     def run(self) -> None:
         self._visit(cover_tree(self.q), cover_tree(self.d))
+        self._settle()
 
     def _visit(self, q: Node, d: Node) -> None:
         if bound(q, d) < self.worst[q.rows].min():
@@ -92,27 +95,37 @@ class Search:
                 self._visit(q, child)
 
     def _leaves(self, qr: np.ndarray, dr: np.ndarray) -> None:
-        dr = np.sort(dr)
         scores = (self.q[qr] @ self.d[dr].T) if self.exact else (self.q[qr].astype(np.int64) @ self.d[dr].astype(np.int64).T).astype(np.float64)
-        scores[self.q_ids[qr][:, None] == self.d_ids[dr][None, :]] = -np.inf
-        better = (scores >= self.worst[qr][:, None]).any(axis=1)
-        if not better.any():
+        at, col = np.nonzero(scores >= self.worst[qr][:, None])
+        own = self.q_ids[qr[at]] == self.d_ids[dr[col]]
+        at, col = at[~own], col[~own]
+        if len(at):
+            self.pool.append((qr[at], dr[col], scores[at, col]))
+            self.held += len(at)
+            if self.held > POOL_ROWS:
+                self._settle()
+
+    def _settle(self) -> None:
+        """Keeps the best k of each query in the pool and raises ``worst`` to the k-th of those that have k."""
+        if not self.pool:
             return
-        qr, scores = qr[better], scores[better]
-        if len(dr) > self.k:  # the leaf's own best first: stable, so that ties keep the smaller row
-            top = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
-            scores, rows = np.take_along_axis(scores, top, 1), dr[top]
-        else:
-            rows = np.broadcast_to(dr, scores.shape)
-        score, row = np.concatenate([self.score[qr], scores], 1), np.concatenate([self.row[qr], rows], 1)
-        best = np.lexsort((row, -score), axis=1)[:, : self.k]
-        self.score[qr], self.row[qr] = np.take_along_axis(score, best, 1), np.take_along_axis(row, best, 1)
-        self.worst[qr] = np.maximum(self.worst[qr], self.score[qr][:, -1])
+        q, row, score = (np.concatenate(x) for x in zip(*self.pool, strict=True))
+        order = np.lexsort((row, -score, q))
+        q, row, score = q[order], row[order], score[order]
+        first = np.concatenate([[True], q[1:] != q[:-1]])
+        rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+        full = rank == self.k - 1
+        self.worst[q[full]] = np.maximum(self.worst[q[full]], score[full])
+        best = rank < self.k
+        self.pool, self.held = [(q[best], row[best], score[best])], 0
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, vec_id, score)."""
-        at, col = np.nonzero(np.isfinite(self.score))
-        return at, self.d_ids[self.row[at, col]], self.score[at, col].astype(np.int64)
+        if not self.pool:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        q, row, score = self.pool[0]
+        return q, self.d_ids[row], score.astype(np.int64)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:

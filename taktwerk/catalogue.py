@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import flow
+from taktwerk.plans import flow, inference
 from taktwerk.plans.base import Query
 
-MODULES = (flow,)
+MODULES = (flow, inference)
 
 
 def queries() -> dict[str, Query]:

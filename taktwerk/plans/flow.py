@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from taktwerk.functions.lineage import settled
 from taktwerk.operators import baseline as B
 from taktwerk.operators import intervals as I
 from taktwerk.operators import localise as L
@@ -128,7 +129,8 @@ def expected_proc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residual_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return window_table(spark, sf_dir).join(_expected(spark, sf_dir), ["window", "station"]).withColumn("resid", F.round(F.col("proc_time_s_mean") - F.col("expected"), 9))
+    res = window_table(spark, sf_dir).join(_expected(spark, sf_dir), ["window", "station"]).withColumn("resid", F.round(F.col("proc_time_s_mean") - F.col("expected"), 9))
+    return settled(res.select("window", "station", "resid"))  # medians and deviations both start from it
 
 
 def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from taktwerk.functions.lineage import settled
 from taktwerk.operators import localise as L
 from taktwerk.operators import runs as R
 from taktwerk.operators import topology as T
@@ -46,8 +47,10 @@ def nearest_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prop(spark: SparkSession) -> DataFrame:
+    """At most stations x stations rows: worked out once, then a local table that every use broadcasts."""
     st = X.stations(spark)
-    return T.propagation(T.serial_distance(st), T.reachable(spark, T.chain_edges(st)))
+    prop = T.propagation(T.serial_distance(st), T.reachable(spark, T.chain_edges(st)))
+    return spark.createDataFrame(prop.collect(), prop.schema)
 
 
 def propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +58,10 @@ def propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every hypothesis starts from the scored windows, and the posterior uses the scores several times: both are computed once.
     scored = flow.scored_table(spark, sf_dir).join(flow.z_table(spark, sf_dir).select("window", "station", "z_proc"), ["window", "station"])
-    return L.llr(L.hypothesis_scores(scored, _prop(spark), SIGMA_B, SIGMA_S, TAU))
+    scored = settled(scored.select("window", "station", "d_blocked", "d_starved", "z_proc"))
+    return settled(L.llr(L.hypothesis_scores(scored, _prop(spark), SIGMA_B, SIGMA_S, TAU)))
 
 
 def hypothesis_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def posterior_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score_table(spark, sf_dir)
     smooth = R.ewma(s.where("k >= 0").select("window", "k", "llr"), ["k"], "window", "llr", "llr_s", ALPHA)
     rest = s.where("k < 0").select("window", "k", "llr", F.col("llr").alias("llr_s"))
-    return L.posterior(smooth.unionByName(rest), X.STATIONS)
+    return settled(L.posterior(smooth.unionByName(rest), X.STATIONS))
 
 
 def posterior(spark: SparkSession, sf_dir: str) -> DataFrame:

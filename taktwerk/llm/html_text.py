@@ -162,8 +162,8 @@ def content_paths(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> set[t
     # Ratios of a subtree, so that a heading shares in what stands under the same parent.
     trees: dict[tuple[str, ...], list[float]] = {}
     for path, sums in paths.items():
-        for depth in range(len(path)):
-            t = trees.setdefault(path[: depth + 1], [0, 0, 0, 0])
+        for depth in range(len(path) + 1):
+            t = trees.setdefault(path[:depth], [0, 0, 0, 0])
             for i in range(4):
                 t[i] += sums[i]
 
@@ -172,10 +172,10 @@ def content_paths(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> set[t
         return (s[0] / s[3]) * free * free * (1 + s[1] / s[3])
 
     own = {p: score(s) for p, s in paths.items()}
-    smooth = {p: 0.5 * own[p] + 0.5 * score(trees[p[:-1] or p]) for p in own}
+    smooth = {p: 0.5 * own[p] + 0.5 * score(trees[p[:-1]]) for p in own}
     # A subtree's share of all text makes the main container outweigh small ones of equal ratio.
     total = sum(s[0] for s in paths.values())
-    fused = {p: smooth[p] * (trees[p[:-1] or p][0] / total) for p in own}
+    fused = {p: smooth[p] * (trees[p[:-1]][0] / total) for p in own}
     best = max(fused.values())
     good = {p for p, f in fused.items() if f >= THRESHOLD * best}
     main = [p for p in paths if any(x.split(".")[0] in ("article", "main") for x in p)]

@@ -104,10 +104,11 @@ def mix(df: DataFrame, *, size: Column, key: Column, scratch: Scratch, cap: int
 
 def mixed_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents of the mix, each as often as it is taken; one taken in part counts if that is half of it or more."""
-    text, count = F.col("text"), own("count")
-    mixed = mix(docs, size=n_words(text), key=exponential_key(F.col("doc_id"), text), scratch=scratch)
+    text, count, whole = F.col("text"), own("count"), own("record")
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole))
+    mixed = mix(packed, size=n_words(text), key=exponential_key(F.col("doc_id"), text), scratch=scratch)
     times = F.col("epochs") + F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("words")), 1).otherwise(0)
-    return mixed.withColumn(count, times).where(F.col(count) > 0).withColumn(count, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))).select(*docs.columns)
+    return mixed.withColumn(count, times).where(F.col(count) > 0).withColumn(count, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))).select(f"{whole}.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

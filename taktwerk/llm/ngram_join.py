@@ -101,7 +101,7 @@ class Bands:
             held = np.bincount(at, minlength=blocks)
             sums = np.zeros(blocks, np.uint64)
             np.add.at(sums, at, _mix(s ^ _B))
-            names = _mix(_mix(sums + np.uint64(band) * _A) + np.arange(blocks, dtype=np.uint64) * _D)
+            names = _mix(_mix(sums + np.array([band], np.uint64) * _A) + np.arange(blocks, dtype=np.uint64) * _D)
             light = held <= 1
             out.append(names[~light] if light.sum() <= SPARE else names)
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)

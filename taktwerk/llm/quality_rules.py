@@ -86,10 +86,12 @@ def with_quality(df: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns; text holds the lines that pass and n_chars (if there) its length."""
-    out = with_quality(docs).where("kept").withColumn("text", F.col("cleaned"))
+    whole = own("record")  # the columns travel as one, so that none can meet those added here
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole))
+    record = F.col(whole).withField("text", F.col("cleaned"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        record = record.withField("n_chars", F.length("cleaned").cast(docs.schema["n_chars"].dataType))
+    return with_quality(packed).where("kept").select(record.alias(whole)).select(f"{whole}.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

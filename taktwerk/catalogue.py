@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import flow, inference
+from taktwerk.plans import flow, inference, quality
 from taktwerk.plans.base import Query
 
-MODULES = (flow, inference)
+MODULES = (flow, inference, quality)
 
 
 def queries() -> dict[str, Query]:

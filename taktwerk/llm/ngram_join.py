@@ -280,6 +280,8 @@ def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int =
         near = named.join(spans, "cell").where("comp <> c.of").groupBy("node").agg(F.min("c").alias("c")).select(F.col("node").alias("a"), F.col("c.center").alias("b"))
         near = near.join(sized.toDF("a", "na", "ca"), "a").join(sized.toDF("b", "nb", "cb"), "b").select("a", "b", "na", "ca", "nb", "cb")
         links = _verified(near.mapInArrow(within, "a long, b long"), nodes, docs, n, bands, scratch)
+        if links.isEmpty():  # what is left is for the R-trees
+            break
         comp = _merged(comp, links, scratch)
 
     # The R-tree join: cells that still span components. Cells with the same members are joined once.

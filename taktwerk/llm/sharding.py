@@ -4,6 +4,9 @@ Pass one scatters the records uniformly into memory-sized buckets by seeded hash
 Pass two runs a Fisher-Yates shuffle over each bucket. The buckets in order, each in
 its shuffled order, form one global permutation; shard k takes the k-th equal slice of it,
 so that shard row counts are at most one apart (the law ``rows``).
+
+Whole records are scattered, shuffled and written: a shard is a folder of files, one for each bucket that it has
+rows of, whose names in order and rows in order are its slots in order.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import own, read_table, text_or_empty
+from taktwerk.llm.common import Scratch, own, read_table, text_or_empty
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20_240_607, 4 << 20
 
@@ -55,15 +58,29 @@ def shuffle_shards(df: DataFrame, n_shards: int, *, seed: int = SEED, bucket_byt
     counts = df.select(F.monotonically_increasing_id().alias(place)).groupBy(F.pmod(F.xxhash64(place, F.lit(seed)), F.lit(buckets)).cast("int").alias(bucket)).count()
     start = own("start")
     offsets = counts.select(bucket, (F.sum("count").over(Window.orderBy(bucket)) - F.col("count")).alias(start))
-    out = shuffled.join(offsets, bucket).withColumn(own("index"), F.col(start) + F.col(at))
+    # Offsets have a row for each bucket, so records stay in theirs.
+    out = shuffled.join(F.broadcast(offsets), bucket).withColumn(own("index"), F.col(start) + F.col(at))
     out = out.withColumn("shard", F.expr(f"cast({own('index')} * {n_shards} div {rows} as int)"))
     out = out.withColumn("slot", F.expr(f"{own('index')} - (shard * {rows} + {n_shards - 1}) div {n_shards}"))
     return out.select(*[F.col(record)[c].alias(c) for c in df.columns], "shard", "slot")
 
 
+def write_shards(df: DataFrame, n_shards: int, scratch: Scratch, *, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Shuffles whole rows into shards, writes them to the shared folder and gives them as read back, with ``shard`` and ``slot``.
+
+    Shard k is the folder ``shard=k``. A file holds rows of one bucket, in the order of their slots.
+    """
+    path = scratch.path("shards")
+    out = shuffle_shards(df, n_shards, seed=seed, bucket_bytes=bucket_bytes)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    back = df.sparkSession.read.schema(out.schema).parquet(path)
+    back._tw_path = path  # type: ignore[attr-defined]
+    return back
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in one of shards 0 to 7 under the law ``rows``; null text has size 1 and the crc of nothing."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Every document in one of shards 0 to 7 under the law ``rows``, as the written shards hold it; null text has size 1 and the crc of nothing."""
+    written = write_shards(read_table(spark, sf_dir, "documents"), SHARDS, Scratch(spark, "sharding"))
     text = text_or_empty(F.col("text"))
-    digest = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    return shuffle_shards(digest, SHARDS).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(F.encode(text, "UTF-8"))
+    return written.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

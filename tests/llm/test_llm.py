@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,29 @@ def test_shards(docs, empty, rows):
     assert sharding.shuffle_shards(empty, 8).count() == 0
 
 
+def test_shards_are_written_whole(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randrange(1, 60))) for _ in range(300)] + [None, "", " ".join(rng.choices(WORDS, k=200_000)), "same", "same"]
+    table = [doc(i, t, "hot" if i % 3 else "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(table, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 20_000)
+    out = sharding.op1_sharding(spark, str(tmp_path)).toPandas().set_index("doc_id")
+    found = {}
+    for folder in (tmp_path / "shared").rglob("shard=*"):
+        files = [pq.read_table(f, partitioning=None).to_pylist() for f in sorted(folder.glob("*.parquet"))]
+        found[int(folder.name[6:])] = [r for f in files for r in f]
+    assert sorted(found) == list(range(8))
+    for k, records in found.items():
+        assert [r["slot"] for r in records] == list(range(len(records)))
+        assert [(out.loc[r["doc_id"], "shard"], out.loc[r["doc_id"], "slot"]) for r in records] == [(k, r["slot"]) for r in records]
+    key = lambda r: r[0]
+    names = [c.split()[0] for c in DOCS.split(", ")]
+    whole = [tuple("x" if c == "shard" else r[c] for c in names) for x in found.values() for r in x]  # the input's own shard is replaced
+    assert sorted(whole, key=key) == table
+    assert [(out.loc[i, "size"], out.loc[i, "text_crc32"]) for i in range(len(texts))] == [(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts]
+
+
 def brute_links(texts, n, num, den):
     sets = []
     for t in texts:

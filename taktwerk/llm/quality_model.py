@@ -1,56 +1,54 @@
 """Operator 6, quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The counts and the joins that turn them into discounted probabilities are Spark aggregations over n-gram keys; the model that comes out is bounded by the
-size of the training sample. Every document is scored by its log perplexity under the model and held against its language's threshold,
-which lies between quantiles of the scores of all labelled documents.
+N-grams are counted over one half of all trusted documents, in shards by n-gram key, and the model stays in those shards: no task and no driver holds more than
+the vocabulary. Documents are scored by a join: their n-grams, put together by document and key, go to the shards, and sums for documents come back.
+Every document's log perplexity is held against its language's threshold, which lies between quantiles of the scores of all labelled documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from taktwerk.llm.common import Scratch, n_words, own, read_table, ship, text_or_empty
 
-#: Bounds of the training sample, which bound the model: documents, and words of all of them.
-TRAIN_DOCS, TRAIN_WORDS = 4_000, 1_500_000
-#: Words seen this often in the sample are tokens of their own; others count as their shape.
+#: Bytes of text for a shard of the model, and for a round of scoring; rounds are few, so that the model is not dealt out often.
+SHARD_BYTES, ROUND_BYTES, LEAST_SHARDS, MOST_ROUNDS = 12_000_000, 300_000_000, 12, 2
+#: Words seen this often in the trusted documents are tokens of their own; others count as their shape.
 VOCABULARY_COUNT = 3
 #: The threshold lies midway between these quantiles of trusted and of rejected labelled documents.
 TRUSTED_QUANTILE, REJECTED_QUANTILE = 0.995, 0.05
 #: Words of the mean trusted surprise that every document's own is averaged with, so that a very short text is not judged by one rare word.
 PRIOR_WORDS = 20
 
-#: Tokens that are scored in one go.
-SCORE_TOKENS = 100_000
+#: Tokens whose n-grams go to the shards together.
+CHUNK_TOKENS = 1_000_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_RUN = re.compile(r"([Xx9])\1+")
+_ASCII = {k: "X" if chr(k).isupper() else "x" if chr(k).islower() else "9" for k in range(128) if chr(k).isalnum()}
 
 
 def _token_id(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def _mix(*ids: np.ndarray) -> np.ndarray:
-    """One key for a sequence of ids."""
-    key = np.zeros(len(ids[0]), np.uint64)
-    for x in ids:
-        key = (key ^ x) * _M1
-        key ^= key >> np.uint64(29)
-        key = key * _M2 + _M3
-    return key
-
-
 def shape_of(word: str) -> str:
     """The kind of a word outside the vocabulary: runs of capitals, small letters, other letters and digits, and its marks as they are."""
+    if word.isascii():
+        kinds = _RUN.sub(r"\1", word.translate(_ASCII))
+        return "\0" + (kinds[:13] + "+" if len(kinds) > 12 else kinds)
     kinds = []
     for ch in word:
         kind = "X" if ch.isupper() else "x" if ch.islower() else "o" if ch.isalpha() else "9" if ch.isdigit() else ch
@@ -63,155 +61,392 @@ def shape_of(word: str) -> str:
 
 
 class Tokens:
-    """Token ids of texts: vocabulary words, shapes of others, and a mark for a word that repeats the one before it.
+    """Token numbers of texts: places in the sorted ids of vocabulary words and of shapes of others; what training never saw has the number after the last.
+
+    A word that repeats the one before it has that number too: training leaves repeats out, so the model falls back to lower orders after it."""
 
-    Training leaves repeats out, so the mark is never expected, and after it the model falls back to lower orders."""
+    START = _token_id("\0start")
 
-    START, SAME = _token_id("\0start"), _token_id("\0same")
+    def __init__(self, names: np.ndarray, frequent: np.ndarray, keep: int = 200_000):
+        """``names``: sorted ids of all tokens; ``frequent``: whether each is a vocabulary word."""
+        self.names, self.frequent, self.keep, self.known, self.shapes = names, frequent, keep, {}, {}
+        self.start = self._place(self.START)
 
-    def __init__(self, vocabulary: frozenset[str], keep: int = 200_000):
-        self.vocabulary, self.keep, self.known = vocabulary, keep, {}
+    def _place(self, token: int) -> int:
+        at = int(np.searchsorted(self.names, np.uint64(token)))
+        return at if at < len(self.names) and self.names[at] == token else len(self.names)
 
-    def _new(self, word: str) -> int:
+    def _learn(self, words: list[str]) -> None:
         if len(self.known) > self.keep:
             self.known.clear()
-        token = self.known[word] = _token_id(word if word in self.vocabulary else shape_of(word))
-        return token
+        ids = np.array([_token_id(w) for w in words], np.uint64)
+        at = np.minimum(np.searchsorted(self.names, ids), len(self.names) - 1)
+        own = (self.names[at] == ids) & self.frequent[at]
+        for w, i, vocabulary in zip(words, at.tolist(), own.tolist(), strict=True):
+            if not vocabulary:
+                shape = shape_of(w)
+                i = self.shapes.get(shape)
+                if i is None:
+                    if len(self.shapes) > self.keep:
+                        self.shapes.clear()
+                    i = self.shapes[shape] = self._place(_token_id(shape))
+            self.known[w] = i
 
     def __call__(self, text: str, collapse: bool = False) -> np.ndarray:
-        """The ids after two start marks; ``collapse`` leaves repeats out, as for training: the model shall not expect them."""
+        """The numbers after two start marks; ``collapse`` leaves repeats out, as for training: the model shall not expect them."""
         known, words = self.known, _WORD.findall(text)
         if collapse:
             words = words[:1] + [b for a, b in zip(words, words[1:], strict=False) if a != b]
         ids = [known.get(w) for w in words]
         if None in ids:
-            ids = [self._new(w) if i is None else i for i, w in zip(ids, words, strict=True)]
-        out = np.empty(len(ids) + 2, np.uint64)
-        out[:2] = self.START
+            new = list(dict.fromkeys(w for i, w in zip(ids, words, strict=True) if i is None))
+            self._learn([*new, *{w for i, w in zip(ids, words, strict=True) if i is not None}] if len(known) > self.keep else new)
+            ids = [known[w] for w in words]
+        out = np.empty(len(ids) + 2, np.int64)
+        out[:2] = self.start
         out[2:] = ids
-        if not collapse:  # equal words have equal ids, but so have words of one shape
+        if not collapse:  # equal words have equal numbers, but so have words of one shape
             alike = np.nonzero(out[3:] == out[2:-1])[0].tolist()
             if same := [i + 3 for i in alike if words[i] == words[i + 1]]:
-                out[same] = self.SAME
+                out[same] = len(self.names)
         return out
 
 
-@dataclass
-class Model:
-    """Sorted key arrays with discounted probabilities and back-off weights of each order."""
-
-    vocabulary: frozenset[str]
-    tri: tuple[np.ndarray, np.ndarray]
-    tri_back: tuple[np.ndarray, np.ndarray]
-    bi: tuple[np.ndarray, np.ndarray]
-    bi_back: tuple[np.ndarray, np.ndarray]
-    uni: tuple[np.ndarray, np.ndarray]
-    floor: float
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, absent: float) -> np.ndarray:
-        names, values = table
-        if not len(names):
-            return np.full(len(keys), absent)
-        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        return np.where(names[at] == keys, values[at], absent)
-
-    def surprise(self, texts: list[np.ndarray]) -> list[float]:
-        """The sum of -ln of the probability of each token after the first two, for each text's ids."""
-        a, b, c = (np.concatenate([x[k : len(x) - 2 + k] for x in texts]) for k in range(3))
-        p = self._find(self.uni, c, 0.0) + self.floor
-        p = self._find(self.bi, _mix(b, c), 0.0) + self._find(self.bi_back, b, 1.0) * p
-        p = self._find(self.tri, _mix(a, b, c), 0.0) + self._find(self.tri_back, _mix(a, b), 1.0) * p
-        upto = np.concatenate([[0.0], np.cumsum(-np.log(p))])
-        ends = np.cumsum([len(x) - 2 for x in texts])
-        return np.diff(upto[np.concatenate([[0], ends])]).tolist()
-
-
-def _discounts(counts: DataFrame, n: str) -> list[float]:
-    """The three discounts of modified Kneser-Ney, from the counts of counts."""
-    n1, n2, n3, n4 = (x or 0 for x in counts.agg(*[F.count_if(F.col(n) == k) for k in (1, 2, 3, 4)]).first())
+def _pack(*columns: np.ndarray) -> bytes:
+    """Integer columns of one length; the first is sorted. Bytes of equal weight stand together, so that they compress."""
+    first = np.diff(columns[0], prepend=0)
+    raw = [np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for x in (first, *columns[1:])]
+    return len(first).to_bytes(8, "little") + pa.compress(b"".join(raw), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n_columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], n * n_columns * 8, "zstd", asbytes=True)
+    out = [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in np.frombuffer(raw, np.uint8).reshape(n_columns, 8, n)]
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def _unpacked(blobs: list[bytes], n_columns: int) -> list[np.ndarray]:
+    parts = [_unpack(x, n_columns) for x in blobs]
+    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(n_columns)]
+
+
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a pair of tokens, given by its number."""
+    return key % 1_000_000_007 % shards
+
+
+def _dealt(key: np.ndarray, shards: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(shard, packed columns after the key) of rows, each to the shard of its key."""
+    shard = _shard(key, shards)
+    order = np.lexsort((key, shard)) if len(key) and int(key.max()) > (1 << 62) // shards else np.argsort(shard * (int(key.max()) + 1 if len(key) else 1) + key)
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k in range(shards):
+        if ends[k] < ends[k + 1]:
+            part = order[ends[k] : ends[k + 1]]
+            yield k, _pack(key[part], *[x[part] for x in columns])
+
+
+def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for x in sorted_columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.nonzero(new)[0]
+
+
+def _sums(n: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Of each run: the sum of n, and how often it is 1, 2, and 3 or more."""
+    return [np.add.reduceat(x.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64) for x in (n, n == 1, n == 2, n >= 3)]
+
+
+def _times(n: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _discounts(times: list[int]) -> np.ndarray:
+    """The discounts of modified Kneser-Ney for counts of 0, 1, 2, and 3 or more, from the counts of counts."""
+    n1, n2, n3, n4 = times
     if not n1 or not n2:
-        return [0.5, 0.75, 0.9]
+        return np.array([0, 0.5, 0.75, 0.9])
     y = n1 / (n1 + 2 * n2)
     raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]
+    return np.array([0, *[min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]])
 
 
-def _discounted(counts: DataFrame, key: str, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(key, p) and (context, back): counts n joined with the sums of their context."""
-    d1, d2, d3 = _discounts(counts, "n")
-    sums = counts.groupBy(*context).agg(F.sum("n").alias("total"), *[F.count_if(c).cast("double").alias(x) for x, c in (("n1", F.col("n") == 1), ("n2", F.col("n") == 2), ("n3", F.col("n") >= 3))])
-    cut: Column = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    joined = counts.join(sums, context) if context else counts.crossJoin(F.broadcast(sums))
-    back = (d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) / F.col("total")
-    return joined.select(key, ((F.col("n") - cut) / F.col("total")).alias("p")), sums.select(*context, back.alias("p"))
+def _lowered(n: np.ndarray, total: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return (n - d[np.minimum(n, 3)]) / total
 
 
-def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = df.toArrow()
-    keys = t.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], t.column(1).combine_chunks().to_numpy(zero_copy_only=False)[order]
+def _back(sums: list[np.ndarray], d: np.ndarray) -> np.ndarray:
+    return (d[1] * sums[1] + d[2] * sums[2] + d[3] * sums[3]) / sums[0]
 
 
-def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch, *, max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS) -> Model | None:
-    """The model of a sample of the trusted documents: those of smallest hash, whole, up to ``max_docs`` and ``max_words``."""
-    ids = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    chosen = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.col("text"), n_words(F.col("text")).alias("n"))
-    chosen = scratch.store(chosen.where("n > 0"), "sample")
-    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    within = chosen.select("doc_id", upto.alias("upto")).where(F.col("upto") <= max_words).select("doc_id").distinct()
-    chosen = scratch.store(chosen.join(F.broadcast(within), "doc_id"), "within")
-    words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit(f"({_WORD.pattern})"))).alias("word")).groupBy("word").count()
-    vocabulary = frozenset(r[0] for r in words.where(F.col("count") >= VOCABULARY_COUNT).select("word").collect())
+@dataclass
+class Words:
+    """What every task knows of single tokens: ids, which are vocabulary, probability, back-off weight and the sum of the pairs that they begin; these have a last place for what is unknown."""
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(vocabulary)
+    names: np.ndarray
+    frequent: np.ndarray
+    p: np.ndarray | None = None
+    back: np.ndarray | None = None
+    total: np.ndarray | None = None
+
+
+@dataclass
+class Model:
+    """``words`` for all tasks; ``stored`` (shard, what, data) of the counts of pairs and trigrams; discounts of both, ``start`` -ln of the back-off weight of the two start marks."""
+
+    words: Words
+    stored: DataFrame
+    n_shards: int
+    rounds: int
+    pair_cut: np.ndarray
+    triple_cut: np.ndarray
+    start: float
+
+
+def _chunks(texts: list[str], tokens: Tokens, collapse: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(place of the first, tokens) of some texts at a time."""
+    held, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(tokens(t, collapse))
+        size += len(held[-1])
+        if size >= CHUNK_TOKENS:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
+
+
+def _abc(held: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.concatenate([x[k : len(x) - 2 + k] for x in held]) for k in range(3)]
+
+
+def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Model | None:
+    """The model of all ``trusted`` documents; None if they have no word."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, rounds = max(LEAST_SHARDS, size // SHARD_BYTES), min(MOST_ROUNDS, max(1, size // ROUND_BYTES))
+    chosen = docs.where(F.col("text").isNotNull()).join(trusted.select("doc_id").distinct(), "doc_id").select("text")
+    chosen = scratch.store(chosen, "trusted")
+    scratch.release()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for t in batch.column(0).to_pylist():
+                seen.update(_WORD.findall(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [tokens(t, collapse=True) for t in batch.column(0).to_pylist()]
-            if ids:
-                a, b, c = (np.concatenate([x[k : len(x) - 2 + k] for x in ids]) for k in range(3))
-                cols = [_mix(a, b, c), _mix(a, b), _mix(b, c), b, c]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], names=["abc", "ab", "bc", "b", "c"])
-
-    c3 = scratch.store(chosen.select("text").mapInArrow(grams, "abc long, ab long, bc long, b long, c long").groupBy("abc", "ab", "bc", "b", "c").agg(F.count(F.lit(1)).alias("n")), "trigrams")
-    c2 = scratch.store(c3.groupBy("bc", "b", "c").agg(F.count(F.lit(1)).alias("n")), "bigrams")
-    c1 = c2.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    size = c1.count()
-    if not size:
+            often = [n >= VOCABULARY_COUNT for n in batch.column(1).to_pylist()]
+            ids = {(_token_id(w if o else shape_of(w)), o) for w, o in zip(batch.column(0).to_pylist(), often, strict=True)}
+            names = np.array([i for i, _ in ids], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([o for _, o in ids], pa.bool_())], names=["id", "often"])
+
+    words = chosen.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    table = words.mapInArrow(named, "id long, often boolean").groupBy("id").agg(F.max("often").alias("often")).toArrow()
+    del words  # its shuffle files can go
+    if not table.num_rows:
         return None
-    tri, tri_back = _discounted(c3, "abc", ["ab"])
-    bi, bi_back = _discounted(c2, "bc", ["b"])
-    uni, uni_back = _discounted(c1, "c", [])
-    model = Model(vocabulary, _sorted(tri), _sorted(tri_back), _sorted(bi), _sorted(bi_back), _sorted(uni), uni_back.first()[0] / (size + 1))
-    scratch.drop(chosen, c3, c2)
-    return model
-
-
-def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of each document with ``words`` and ``surprise``, the sum over its words of -ln p."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*columns).schema
-    n = len(columns)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        tokens = Tokens(m.vocabulary)
+    names = np.append(table["id"].to_numpy().view(np.uint64), np.uint64(Tokens.START))
+    often = np.append(table["often"].to_numpy(zero_copy_only=False), False)
+    order = np.argsort(names)
+    known = Words(names[order], often[order])
+    v = len(names) + 1
+    shared = spark.sparkContext.broadcast(known)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(shared.value.names, shared.value.frequent)
+        for batch in batches:
+            for _, held in _chunks(batch.column(0).to_pylist(), tokens, True):
+                a, b, c = _abc(held)
+                rows = list(_dealt(a * v + b, shards, c))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["shard", "data"])
+
+    shard_schema = "shard int, what string, data binary"
+
+    def rows_of(rows: list[tuple[int, str, bytes]]) -> pa.Table:
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "what", "data"])
+
+    def by_first(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        # Counts of trigrams with the sums of their first two tokens, handed on to the shards of their last two.
+        ab, c = _unpacked(t["data"].to_pylist(), 2)
+        order = np.lexsort((c, ab))
+        ab, c = ab[order], c[order]
+        at = _runs(ab, c)
+        n = np.diff(np.append(at, len(ab)))
+        ab, c = ab[at], c[at]
+        at = _runs(ab)
+        sums = _sums(n, at)
+        each = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ab))))
+        out = [(k, "triples", x) for k, x in _dealt(ab % v * v + c, shards, ab // v, n, *[x[each] for x in sums])]
+        out.append((key[0].as_py(), "backs", _pack(ab[at], *sums)))
+        out.append((-1, "times", np.array(_times(n)).tobytes()))
+        return rows_of(out)
+
+    triples = scratch.store(chosen.mapInArrow(grams, "shard int, data binary").groupBy("shard").applyInArrow(by_first, shard_schema), "triples")
+    scratch.drop(chosen)
+    scratch.release()
+    times = lambda df: np.sum([np.frombuffer(r[0], np.int64) for r in df.where("what = 'times'").select("data").collect()], axis=0).tolist()
+
+    def by_last(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        # Pairs with the number of tokens that stand before them; all that the shard holds in one piece each.
+        what, data, k = t["what"].to_pylist(), t["data"].to_pylist(), key[0].as_py()
+        part = _unpacked([x for w, x in zip(what, data, strict=True) if w == "triples"], 7)
+        order = np.lexsort((part[1], part[0]))
+        part = [x[order] for x in part]
+        at = _runs(part[0])
+        n = np.diff(np.append(at, len(part[0])))
+        backs = _unpacked([x for w, x in zip(what, data, strict=True) if w == "backs"], 5)
+        return rows_of([(k, "triples", _pack(*part)), (k, "pairs", _pack(part[0][at], n)), (k, "backs", _pack(*backs)), (-1, "times", np.array(_times(n)).tobytes())])
+
+    model = scratch.store(triples.where("shard >= 0").groupBy("shard").applyInArrow(by_last, shard_schema), "model")
+    triple_cut, pair_cut = _discounts(times(triples)), _discounts(times(model))
+    scratch.drop(triples)
+    scratch.release()
+
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                bc, n = _unpack(data, 2)
+                at = _runs(bc // v)
+                c, before = np.unique(bc % v, return_counts=True)
+                none = [np.zeros(len(c), np.int64)] * 4
+                cols = [np.concatenate(x) for x in zip([(bc // v)[at], np.zeros(len(at), np.int64), *_sums(n, at)], [c, before, *none], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "n", "total", "n1", "n2", "n3"])
+
+    one = model.where("what = 'pairs'").select("data").mapInArrow(singles, "token long, n long, total long, n1 long, n2 long, n3 long")
+    one = one.groupBy("token").agg(*[F.sum(x).alias(x) for x in ("n", "total", "n1", "n2", "n3")]).toArrow()
+    token, n, *sums = (one[x].to_numpy() for x in ("token", "n", "total", "n1", "n2", "n3"))
+    seen, first = n > 0, sums[0] > 0
+    cut = _discounts(_times(n))
+    spread = _back([np.array([x]) for x in (n.sum(), *((n == 1).sum(), (n == 2).sum(), (n >= 3).sum()))], cut)[0]
+    known.p = np.full(v, spread / (seen.sum() + 1))
+    known.p[token[seen]] += _lowered(n[seen], n.sum(), cut)
+    known.back, known.total = np.ones(v), np.ones(v)
+    known.total[token[first]] = sums[0][first]
+    known.back[token[first]] = _back([x[first] for x in sums], pair_cut)
+    begin = int(np.searchsorted(known.names, np.uint64(Tokens.START))) * (v + 1)
+    backs = _unpacked([r[0] for r in model.where((F.col("what") == "backs") & (F.col("shard") == int(_shard(np.array([begin]), shards)[0]))).select("data").collect()], 5)
+    start = -float(np.log(_back([x[backs[0] == begin] for x in backs[1:]], triple_cut)[0]))
+    return Model(known, model, shards, rounds, pair_cut, triple_cut, start)
+
+
+def score(docs: DataFrame, model: Model, columns: list[str], scratch: Scratch) -> DataFrame:
+    """``columns`` of each document with ``words`` and ``surprise``, the sum over its words of -ln p.
+
+    ln p is a sum of what single tokens give, which each task knows, of what a seen pair or trigram adds to it, and of the back-off
+    weight of the pair before. The last two are asked of the pair's shard.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.words)
+    shards, pair_cut, triple_cut, begin = model.n_shards, model.pair_cut, model.triple_cut, model.start
+    v, n_cols = len(model.words.names) + 1, len(columns)
+    fields = docs.select(*columns).schema
+    out_schema = StructType([*fields.fields]).add("words", "long").add("surprise", "double")
+    ask_schema = "shard int, chunk long, data binary, heads binary"
+    answer_schema = "chunk long, data binary, heads binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        tokens, p, back = Tokens(w.names, w.frequent), np.log(w.p), np.log(w.back)
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            words, sums, held, size = [], [], [], 0
-            for text in batch.column(n).to_pylist():
-                held.append(tokens(text))
-                words.append(len(held[-1]) - 2)
-                size += len(held[-1])
-                if size >= SCORE_TOKENS:
-                    sums += m.surprise(held)
-                    held, size = [], 0
-            if held:
-                sums += m.surprise(held)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(words, pa.int64()), pa.array(sums, pa.float64())], names=[*columns, "words", "surprise"])
-
-    out = schema.add("words", "long").add("surprise", "double")
-    return docs.select(*columns, text_or_empty(F.col("text")).alias(own("text"))).mapInArrow(scored, out)
+            for first, held in _chunks(batch.column(n_cols).to_pylist(), tokens, False):
+                a, b, c = _abc(held)
+                n = np.array([len(x) - 2 for x in held])
+                ends = np.cumsum(n)
+                upto = np.concatenate([[0.0], np.cumsum(-p[c] - back[b])])
+                base = upto[ends] - upto[ends - n] + np.where(n > 0, begin, 0.0)
+                doc, last = np.repeat(np.arange(len(n)), n), np.zeros(len(a), np.int64)
+                last[ends[n > 0] - 1] = 1
+                sink = pa.BufferOutputStream()
+                heads = pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns[:n_cols], pa.array(n.astype(np.int64)), pa.array(base)], names=[*columns, "words", "surprise"])
+                with pa.ipc.new_stream(sink, heads.schema) as f:
+                    f.write_batch(heads)
+                # A pair with a token unseen in training is in no shard.
+                use = (b < v - 1) & (c < v - 1)
+                rows = list(_dealt((b * v + c)[use], shards, a[use], (2 * doc + last)[use]))
+                size = len(rows) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k for k, _ in rows] + [chunk % shards], pa.int32()),
+                        pa.array([chunk] * size, pa.int64()),
+                        pa.array([x for _, x in rows] + [None], pa.binary()),
+                        pa.array([None] * (size - 1) + [sink.getvalue().to_pybytes()], pa.binary()),
+                    ],
+                    names=["shard", "chunk", "data", "heads"],
+                )
+                chunk += 1
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        w, parts = shared.value, dict(zip(held["what"].to_pylist(), held["data"].to_pylist(), strict=True))
+        pairs, before = _unpacked([x for k, x in parts.items() if k == "pairs"], 2)
+        triples = _unpacked([x for k, x in parts.items() if k == "triples"], 7)
+        backs = _unpacked([x for k, x in parts.items() if k == "backs"], 5)
+        chunks, data, heads = [], [], []
+        at = np.searchsorted(pairs, triples[0])
+        low = w.back[pairs // v] * w.p[pairs % v]
+        pair_p = _lowered(before, w.total[pairs // v], pair_cut) + low
+        back_3 = _back(triples[3:7], triple_cut)
+        triple_add = np.log(_lowered(triples[2], triples[3], triple_cut) + back_3 * pair_p[at]) - np.log(back_3) - np.log(low[at])
+        pair_add = np.log(pair_p) - np.log(low)
+        triple_key = at * v + triples[1]
+        back_add = np.log(_back(backs[1:], triple_cut))
+
+        def find(names: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(names):
+                return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            place = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+            return place, names[place] == keys
+
+        for chunk, blob, head in zip(asked["chunk"].to_pylist(), asked["data"].to_pylist(), asked["heads"].to_pylist(), strict=True):
+            if head is not None:
+                chunks.append(chunk), data.append(None), heads.append(head)
+                continue
+            bc, a, doc = _unpack(blob, 3)
+            add = np.zeros(len(bc))
+            i, hit = find(pairs, bc)
+            add[hit] = pair_add[i[hit]]
+            j, full = find(triple_key, i * v + a)
+            full &= hit
+            add[full] = triple_add[j[full]]
+            k, known = find(backs[0], bc)
+            known &= doc % 2 == 0
+            add[known] += back_add[k[known]]
+            use = add != 0
+            if use.any():
+                sums = np.bincount(doc[use] // 2, add[use])
+                some = np.nonzero(sums)[0]
+                chunks.append(chunk), data.append(_pack(some, sums[some].view(np.int64))), heads.append(None)
+        return pa.table([pa.array(chunks, pa.int64()), pa.array(data, pa.binary()), pa.array(heads, pa.binary())], names=["chunk", "data", "heads"])
+
+    def summed(t: pa.Table) -> pa.Table:
+        heads = pa.ipc.open_stream(next(x for x in t["heads"].to_pylist() if x is not None)).read_all()
+        total = heads["surprise"].to_numpy().copy()
+        for blob in t["data"].to_pylist():
+            if blob is not None:
+                some, add = _unpack(blob, 2)
+                total[some] -= add.view(np.float64)
+        return heads.set_column(n_cols + 1, "surprise", pa.array(total))
+
+    whole = docs.select(*columns, text_or_empty(F.col("text")).alias(own("text")))
+    deal = F.pmod(F.xxhash64(*columns, own("text")), F.lit(model.rounds))
+
+    def scored(k: int) -> DataFrame:
+        asked = whole.where(deal == k).mapInArrow(ask, ask_schema)
+        answers = asked.groupBy("shard").cogroup(model.stored.where("shard >= 0").groupBy("shard")).applyInArrow(answer, answer_schema)
+        return scratch.store(answers.groupBy("chunk").applyInArrow(summed, out_schema), "scores")
+
+    parts = []
+    for k in range(model.rounds):  # each round's shuffle files go before the next
+        parts.append(scored(k))
+        scratch.release()
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _votes(labels: DataFrame) -> DataFrame:
@@ -221,9 +456,8 @@ def _votes(labels: DataFrame) -> DataFrame:
 
 @dataclass
 class Fitted:
-    """A model, the scores (doc_id, lang, words, surprise) of all documents, and what turns scores into verdicts."""
+    """The scores (doc_id, lang, words, surprise) of all documents, and what turns scores into verdicts."""
 
-    model: Model
     scores: DataFrame
     mean: float
     overall: float | None
@@ -237,7 +471,7 @@ class Fitted:
         return out.withColumn("kept", kept).drop(own("lang"), own("cut"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Fitted | None:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, columns: list[str]) -> Fitted | None:
     """Trains on one half of the trusted documents and sets thresholds by the other; None without a trusted document to train on."""
     ship(docs.sparkSession)
     votes, good, fold = _votes(labels), F.col(own("good")) == 1, F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2))
@@ -245,7 +479,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Fitted | None:
     model = train(docs.select("doc_id", "text"), votes.where(good & (fold == 0)), scratch)
     if model is None:
         return None
-    scores = scratch.store(score(docs, model, ["doc_id", "lang"]), "scores")
+    scores = score(docs, model, columns, scratch)
+    scratch.drop(model.stored)
+    scratch.release()
     unseen = votes.where(~good | (fold == 1))
     labelled = scratch.store(scores.where("words > 0").join(unseen, "doc_id"), "labelled")
     mean = labelled.where(good).agg(F.sum("surprise") / F.sum("words")).first()[0] or 0.0
@@ -257,7 +493,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Fitted | None:
         return t.select(*by, F.when(F.col("b") > F.col("g"), (F.col("g") + F.col("b")) / 2).otherwise(F.col("g")).alias(own("cut")))
 
     per = scratch.store(cuts("lang").where(F.col(own("cut")).isNotNull() & F.col("lang").isNotNull()).withColumnRenamed("lang", own("lang")), "cuts")
-    return Fitted(model, scores, mean, cuts().first()[0], per)
+    return Fitted(scores, mean, cuts().first()[0], per)
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
@@ -269,19 +505,20 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     documents, and null, take the threshold of all; with no trusted document in the other half there is none and all are kept. Documents without words
     have null perplexity and are not kept. Without any trusted document there is no model, and all documents with words are kept. Repeated rows are judged each.
     """
-    if (fitted := fit(docs, labels, scratch)) is None:
+    if (fitted := fit(docs, labels, scratch, ["doc_id", "lang"])) is None:
         words, none = n_words(F.col("text")), F.lit(None).cast("double")
         return docs.select("doc_id", "lang", words.alias("n_words"), none.alias("log_perplexity"), none.alias("threshold"), (words > 0).alias("kept"))
     return fitted.judged(fitted.scores).select("doc_id", "lang", F.col("words").alias("n_words"), "log_perplexity", "threshold", "kept")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with their columns. They are scored where they stand, so no text is shuffled."""
-    if (fitted := fit(docs, labels, scratch)) is None:
+    """The rows of ``docs`` that ``classify`` keeps, with their columns. Rows of equal doc_id, lang and text have one verdict, so a hash of these names it."""
+    name = own("name")
+    named = docs.withColumn(name, F.xxhash64("doc_id", "lang", "text"))
+    if (fitted := fit(named, labels, scratch, ["doc_id", "lang", name])) is None:
         return docs.where(n_words(F.col("text")) > 0)
-    whole = own("record")  # the columns travel as one, so that none can meet those added here
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), "lang", "text")
-    return fitted.judged(score(packed, fitted.model, [whole, "lang"])).where("kept").select(f"{whole}.*")
+    kept = fitted.judged(fitted.scores).where("kept").select(name).distinct()
+    return named.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -173,6 +175,53 @@ def test_classifier(spark, empty):
     assert quality_model.keep_quality(d, labels, common.Scratch(spark, "t")).columns == d.columns
 
 
+def brute_perplexities(train, texts):
+    """Mean -ln p of each text under interpolated modified Kneser-Ney trigrams of all of ``train``; words seen less than three times and repeats do not occur."""
+    c3, d = Counter(), {}
+    for t in train:
+        w = ["<", "<", *t.split()]
+        c3.update(zip(w, w[1:], w[2:], strict=False))
+    c2, c1 = Counter(g[1:] for g in c3), Counter()
+    c1.update(g[1:] for g in c2)
+    for k, c in ((3, c3), (2, c2), (1, c1)):
+        n = [sum(x == i for x in c.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+        raw = [0.5, 0.75, 0.9] if y is None else [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        d[k] = [0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(raw))] if y is not None else [0, *raw]
+    tables = {}
+    for k, c in ((3, c3), (2, c2), (1, c1)):
+        total, lost = Counter(), Counter()
+        for g, n in c.items():
+            total[g[:-1]] += n
+            lost[g[:-1]] += d[k][min(n, 3)]
+        tables[k] = (c, total, lost, d[k])
+
+    def p(g):
+        if not g:
+            return 1 / (len(c1) + 1)
+        c, total, lost, cut = tables[len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        own = (c[g] - cut[min(c[g], 3)]) / total[g[:-1]] if c[g] else 0
+        return own + lost[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return [sum(-math.log(p((a, b, c))) for a, b, c in zip(["<", "<", *t.split()], ["<", *t.split()], t.split(), strict=False)) for t in texts]
+
+
+def test_classifier_counts_all_trusted(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.sample(WORDS[:60], k=6)) for _ in range(9_000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    monkeypatch.setattr(quality_model, "CHUNK_TOKENS", 5_000)
+    monkeypatch.setattr(quality_model, "LEAST_SHARDS", 3)
+    labels = d.select("doc_id", F.lit(1).alias("quality"))
+    fold = {r.doc_id for r in d.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)) == 0).select("doc_id").collect()}
+    assert len(fold) > 4_000
+    got = {r.doc_id: r.surprise for r in quality_model.fit(d, labels, common.Scratch(spark, "t"), ["doc_id", "lang"]).scores.collect()}
+    want = brute_perplexities([t for i, t in enumerate(texts) if i in fold], texts)
+    assert len(got) == len(texts) and [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
 def brute_rules(t):
     t = t or ""
     w, at = re.findall("[^\x20\x09-\x0D]+", t), {}

@@ -1,7 +1,8 @@
 """Operator 10, HTML extraction by tag-path ratios.
 
 Every block of text has a root-to-leaf path of block-level tags. For each path the text length, punctuation and link text are summed;
-their ratios to its number of blocks are smoothed along the tree of paths, fused, and thresholded: paths above the threshold are content.
+their ratios to its number of blocks are smoothed along the tree of paths, fused, and thresholded: paths above the threshold are content,
+and so is all that stands in the container that holds them, but for lists of links.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ CONTENT_NAMES = frozenset("article content main story post entry".split())
 
 #: A path is content if its fused score is at least this share of the highest.
 THRESHOLD = 0.12
+#: The container is the deepest element that holds at least this share of the text above the threshold.
+HELD = 0.9
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
@@ -178,6 +181,14 @@ def content_paths(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> set[t
     fused = {p: smooth[p] * (trees[p[:-1]][0] / total) for p in own}
     best = max(fused.values())
     good = {p for p, f in fused.items() if f >= THRESHOLD * best}
+    # Lists, quotations, tables and code have small parents of their own: the article's are told by the container, not by their own ratios.
+    above = sum(paths[p][0] for p in good)
+    held: dict[tuple[str, ...], float] = {}
+    for p in good:
+        for depth in range(len(p)):
+            held[p[:depth]] = held.get(p[:depth], 0) + paths[p][0]
+    container = max((c for c, n in held.items() if n >= HELD * above), key=len, default=())
+    good |= {p for p in paths if p[: len(container)] == container and paths[p][2] <= 0.5 * paths[p][0]}
     main = [p for p in paths if any(x.split(".")[0] in ("article", "main") for x in p)]
     if main and 2 * sum(paths[p][0] for p in main) >= total:
         # A page that names its article: what stands in it and is not mostly links is content.

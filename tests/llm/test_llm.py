@@ -290,6 +290,20 @@ def test_html():
         assert isinstance(html_text.extract_text(broken), str)
 
 
+def test_html_of_divs_alone():
+    long = "A sentence of the article that goes on for a while, as they do, with a comma or two in it and some words more to say. " * 3
+    inner = [f"{long}{i}" for i in range(8)]
+    listed, quoted, cells, code = [f"Item {i} of the list" for i in range(5)], "Quoted, in one line.", [f"cell {i}" for i in range(8)], "x = 1"
+    table = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in cells[k : k + 2]) + "</tr>" for k in range(0, 8, 2)) + "</table>"
+    body = "<h2>Heading</h2>" + "".join(f"<p>{t}</p>" for t in inner) + "<ul>" + "".join(f"<li>{t}</li>" for t in listed) + f"</ul><blockquote><p>{quoted}</p></blockquote>{table}<pre>{code}</pre>"
+    links = "<ul class=more>" + "".join(f"<li><a href=/{i}>Another page {i}</a></li>" for i in range(6)) + "</ul>"
+    want = ["Heading", *[" ".join(t.split()) for t in inner], *listed, quoted, *cells, code]
+    for page in (f"<html><body><div>{body}{links}</div></body></html>", f"<html><body><div class=nav><a href=/>Home</a></div><div id=x><div class=a>{body}</div>{links}</div><div class=z>Short line</div></body></html>"):
+        assert html_text.extract_text(page).split("\n\n") == want
+    halves = "<div class=one>" + "".join(f"<p>{t}</p>" for t in inner[:4]) + "</div><div class=two>" + "".join(f"<p>{t}</p>" for t in inner[4:]) + f"<ul><li>{listed[0]}</li></ul></div>"
+    assert html_text.extract_text(f"<body><div class=whole>{halves}</div></body>").endswith(listed[0])
+
+
 def test_components(spark):
     from taktwerk.llm.graph import components
 

@@ -98,3 +98,12 @@ def test_blind_station_sends_nothing(spark):
     tel = fixtures.telemetry(spark, "/root/testdata/sf0.001")
     assert tel.where(F.col("station") == fixtures.BLIND).count() == 0
     assert tel.groupBy("vehicle_id", "station").count().where("count > 1").count() == 0
+
+
+def test_reachability_of_a_long_line(spark):
+    from taktwerk.operators import topology
+
+    edges = spark.createDataFrame([(i, i + 1, 2) for i in range(150)] + [(3, 200, 2), (200, 5, 2)], "src int, dst int, buffer_capacity int")
+    got = {(r.src, r.dst) for r in topology.reachable(spark, edges).collect()}
+    assert got == {(i, j) for i in range(151) for j in range(i + 1, 151)} | {(i, 200) for i in range(4)} | {(200, j) for j in range(5, 151)}
+    assert topology.reachable(spark, edges.where("false")).count() == 0

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -326,6 +327,7 @@ def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Model | None
     seen, first = n > 0, sums[0] > 0
     cut = _discounts(_times(n))
     spread = _back([np.array([x]) for x in (n.sum(), *((n == 1).sum(), (n == 2).sum(), (n >= 3).sum()))], cut)[0]
+    scratch.release()
     known.p = np.full(v, spread / (seen.sum() + 1))
     known.p[token[seen]] += _lowered(n[seen], n.sum(), cut)
     known.back, known.total = np.ones(v), np.ones(v)
@@ -478,6 +480,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, columns: list[str]
     # One half of the trusted documents trains; the other tells how the model scores clean text that it has not seen.
     model = train(docs.select("doc_id", "text"), votes.where(good & (fold == 0)), scratch)
     if model is None:
+        if docs.join(votes.where(good).select("doc_id"), "doc_id").where(n_words(F.col("text")) > 0).limit(1).count():
+            warnings.warn("quality classifier: no trusted document in the half that trains; without a model all documents with words are kept", stacklevel=2)
         return None
     scores = score(docs, model, columns, scratch)
     scratch.drop(model.stored)
@@ -503,7 +507,8 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     ones, told by a hash of doc_id; quantiles are those of the other half. A language's threshold is midway between the
     quantiles of its trusted and its rejected documents, or the trusted quantile where none is rejected or they overlap; languages without trusted
     documents, and null, take the threshold of all; with no trusted document in the other half there is none and all are kept. Documents without words
-    have null perplexity and are not kept. Without any trusted document there is no model, and all documents with words are kept. Repeated rows are judged each.
+    have null perplexity and are not kept. Without a trusted document in the half that trains there is no model, and all documents with words are kept;
+    a warning says so if the other half has one. Repeated rows are judged each.
     """
     if (fitted := fit(docs, labels, scratch, ["doc_id", "lang"])) is None:
         words, none = n_words(F.col("text")), F.lit(None).cast("double")

@@ -222,6 +222,21 @@ def test_classifier_counts_all_trusted(spark, monkeypatch):
     assert len(got) == len(texts) and [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
 
 
+def test_classifier_with_a_very_long_document(spark):
+    rng = random.Random(9)
+    ids = spark.range(200).where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(2)) == 0).orderBy(F.xxhash64("id"))
+    first = ids.first()[0]
+    texts = {i: " ".join(rng.choices(WORDS[:80], k=1_600_000 if i == first else 120)) for i in range(200)}
+    texts |= {i: " ".join(w.upper() + "!!" for w in rng.choices(WORDS, k=120)) for i in range(200, 220)}
+    d = spark.createDataFrame([doc(i, t) for i, t in texts.items()], DOCS)
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(220)], "doc_id long, quality int")
+    out = quality_model.classify(d, labels, common.Scratch(spark, "t")).toPandas().set_index("doc_id")
+    assert out["log_perplexity"].notna().all() and out.loc[:199, "kept"].mean() > 0.95 and not out.loc[200:, "kept"].any()
+    other = [i for i in range(200) if i not in {r.id for r in ids.collect()}][:1]
+    with pytest.warns(UserWarning, match="no trusted document"):
+        assert quality_model.classify(d, labels.where(F.col("doc_id").isin(other)), common.Scratch(spark, "t")).where("kept").count() == 220
+
+
 def brute_rules(t):
     t = t or ""
     w, at = re.findall("[^\x20\x09-\x0D]+", t), {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -73,9 +74,13 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Lets Spark remove the shuffle files of steps whose results are stored: it does so once their plans are garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Lets Spark remove the shuffle files of steps whose results are stored: it does so once their plans are garbage.
+
+        Python's references reach the JVM a moment after they are dropped, so the first collection frees nothing of the last step."""
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -5,33 +5,40 @@ the smaller count bounds the overlap of two sets, and that of the upper corners
 all pairs that cannot reach the threshold. Survivors are verified on the whole sets.
 
 What meets in one tree: by size, documents share a band with all that can link with them. In a band at most d shingles differ between linked
-sets, so if the shingles are dealt into d + 1 + SPARE blocks, linked sets agree on the whole content of at least 1 + SPARE of them. A tree holds the
-sets that agree on one block (a cell). That is exact: no link is lost.
+sets, so if the shingles are dealt into d + 1 + spare blocks, linked sets agree on the whole content of 1 + spare of them or more, and each leaves out its spare
+lightest blocks in an order that both share. A tree holds the sets that agree on one block (a cell). That is exact: no link is lost.
+
+Two rounds of trees keep every step in proportion to the documents. The first works on the points alone and gives, of each cell, a forest of the pairs whose
+bound reaches the threshold; its components are clusters outside of which no document has a link. The second gets the whole sets of a cluster, verifies
+surviving pairs in the task and unites documents as links are found, so that it gives a forest, and pairs of one component are passed over.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taktwerk.llm.common import Scratch, own, read_table, ship, text_or_empty
 from taktwerk.llm.graph import components
 
-#: Groups of the count vectors; blocks beyond those that can differ; size ratio of a band.
-GROUPS, SPARE, BAND = 64, 2, 1.5
-#: Rounds of stars before the R-tree join.
-STARS = 3
-#: Points of a leaf; members of a cell that one task joins at most (larger cells are dealt out as pairs of parts).
-LEAF, CELL_ROWS = 32, 4096
+#: Groups of the count vectors that cells are joined by, and of those that whole sets are; size ratio of a band.
+GROUPS, FINE_GROUPS, BAND = 64, 256, 1.5
+#: Blocks beyond those that can differ: this share of them, but SPARE at least.
+SPARE, SPARE_SHARE = 2, 0.25
+#: Points of a leaf; members of a cell, and documents and bytes of a cluster, that one task takes at most (larger ones are dealt out as pairs of parts).
+LEAF, CELL_ROWS, CLUSTER_ROWS, CLUSTER_BYTES = 64, 4096, 512, 16 << 20
+#: Documents of a dealt-out cluster that all its parts hold, so that the parts' components meet.
+ANCHORS = 16
+#: Cells of a 0/1 matrix by which overlaps are counted together.
+MATRIX = 8_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
-_FULL = 0xFFFF
+_FULL = 0xFF
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,14 +67,14 @@ def signature(s: np.ndarray) -> int:
     return int(_mix(_mix(_mix(parts[:1]) + parts[1]) + parts[2]).view(np.int64)[0])
 
 
-def count_vector(s: np.ndarray) -> bytes:
-    """Shingles of each group, as 16-bit numbers; the highest stands for itself and all above."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), _FULL).astype("<u2").tobytes()
+def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Shingles of each group, as bytes; the highest stands for itself and all above."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups), _FULL).astype(np.uint8)
 
 
-def counts_of(vectors: list[bytes]) -> np.ndarray:
-    c = np.frombuffer(b"".join(vectors), "<u2").reshape(-1, GROUPS).astype(np.int64)
-    return np.where(c == _FULL, 1 << 40, c)
+def points_of(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as numbers to take minima of: bytes, or where one is full wider numbers with no bound in its place."""
+    return np.where(vectors == _FULL, 1 << 40, vectors.astype(np.int64)) if (vectors == _FULL).any() else vectors
 
 
 class Bands:
@@ -87,8 +94,7 @@ class Bands:
         return 2 * (self.edges[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
     def cells(self, s: np.ndarray) -> np.ndarray:
-        """Names of the cells of a set. Blocks with one shingle or none are left out unless they are more than SPARE, so that an agreement on a
-        fuller block remains."""
+        """Names of the cells of a set. The spare lightest blocks are left out: by size, then content, so that of the blocks which two linked sets agree on one is kept by both."""
         size, out = len(s), []
         home = bisect_right(self.edges, size) - 1
         for band in (home, home + 1):
@@ -96,55 +102,137 @@ class Bands:
                 continue
             if not (d := self.differ(band)):
                 continue
-            blocks = d + 1 + SPARE
+            spare = max(SPARE, int(d * SPARE_SHARE))
+            blocks = d + 1 + spare
             at = (_mix(s + _C) % np.uint64(blocks)).astype(np.int64)
             held = np.bincount(at, minlength=blocks)
+            order = np.argsort(at, kind="stable")
+            ends = np.cumsum(held)
             sums = np.zeros(blocks, np.uint64)
-            np.add.at(sums, at, _mix(s ^ _B))
+            some = held > 0
+            sums[some] = np.add.reduceat(_mix(s[order] ^ _B), (ends - held)[some])
             names = _mix(_mix(sums + np.array([band], np.uint64) * _A) + np.arange(blocks, dtype=np.uint64) * _D)
-            light = held <= 1
-            out.append(names[~light] if light.sum() <= SPARE else names)
+            out.append(names[np.lexsort((sums, held))[spare:]])
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 class RTree:
-    """Sort-tile packed boxes over (size, group counts) points; boxes also know whether all their points have one component."""
+    """Sort-tile packed boxes over (size, group counts) points: the least size and the upper corner of each."""
 
-    def __init__(self, size: np.ndarray, counts: np.ndarray, comp: np.ndarray, rows: np.ndarray | None = None, axis: int = 0):
-        rows = np.arange(len(size)) if rows is None else rows
-        self.rows, self.low = rows, size[rows].min()
-        self.corner = counts[rows].max(axis=0)
-        self.comp = comp[rows[0]] if (comp[rows] == comp[rows[0]]).all() else None
+    def __init__(self, size: np.ndarray, points: np.ndarray, rows: np.ndarray, axis: int = 0):
+        self.rows, self.low = rows, int(size[rows].min())
+        self.corner = points[rows].max(axis=0)
         self.children: list[RTree] = []
         if len(rows) > LEAF:
-            by = size[rows] if axis == 0 else counts[rows, axis - 1]
+            by = size[rows] if axis == 0 else points[rows, axis - 1]
             order = rows[np.argsort(by, kind="stable")]
-            self.children = [RTree(size, counts, comp, part, (axis + 1) % (GROUPS + 1)) for part in np.array_split(order, 4) if len(part)]
-
-
-def tree_join(a: RTree, b: RTree, size: np.ndarray, counts: np.ndarray, comp: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs (a side, b side) of different components whose bound reaches the threshold; a tree with itself gives each pair once."""
-    if a.comp is not None and a.comp == b.comp or not bands.linked(a.low, b.low, np.minimum(a.corner, b.corner).sum()):
-        return
-    if a.children and (not b.children or len(a.rows) >= len(b.rows)):
-        if a is b:
-            for i, x in enumerate(a.children):
-                for y in a.children[i:]:
-                    yield from tree_join(x, y, size, counts, comp, bands)
-        else:
-            for x in a.children:
-                yield from tree_join(x, b, size, counts, comp, bands)
-    elif b.children:
-        for y in b.children:
-            yield from tree_join(a, y, size, counts, comp, bands)
-    else:
-        bound = np.minimum(counts[a.rows][:, None], counts[b.rows][None]).sum(axis=2)
-        good = bands.linked(size[a.rows][:, None], size[b.rows][None], bound) & (comp[a.rows][:, None] != comp[b.rows][None])
-        if a is b:
+            self.children = [RTree(size, points, part, (axis + 1) % (points.shape[1] + 1)) for part in np.array_split(order, 4) if len(part)]
+
+
+class Forest:
+    """Unites the rows of a group along pairs that link; ``edges`` are the pairs that united two components."""
+
+    def __init__(self, size: np.ndarray, points: np.ndarray, bands: Bands, roots: np.ndarray | None = None, overlaps: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+        """``roots`` numbers the components so far; ``overlaps`` gives the true overlaps of rows with rows, without it the bound decides."""
+        self.size, self.points, self.bands, self.overlaps = size, points, bands, overlaps
+        self.roots = np.arange(len(size)) if roots is None else roots.copy()
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, left: np.ndarray, right: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """All rows of ``left`` with each other, or with those of ``right``."""
+        a = RTree(self.size, self.points, left)
+        todo = [(a, a if right is None else RTree(self.size, self.points, right))]
+        while todo:
+            a, b = todo.pop()
+            ra, rb = self.roots[a.rows], self.roots[b.rows]
+            if ra[0] == rb[0] and (ra == ra[0]).all() and (rb == rb[0]).all():
+                continue
+            if not self.bands.linked(a.low, b.low, int(np.minimum(a.corner, b.corner).sum(dtype=np.int64))):
+                continue
+            if a is b and a.children:
+                todo += [(x, y) for i, x in enumerate(a.children) for y in a.children[i + 1 :]] + [(x, x) for x in a.children]  # a box with itself first
+            elif a.children and (not b.children or len(a.rows) >= len(b.rows)):
+                todo += [(x, b) for x in a.children]
+            elif b.children:
+                todo += [(a, y) for y in b.children]
+            else:
+                self._leaves(a.rows, b.rows, a is b)
+        return self.edges
+
+    def _leaves(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        bound = np.minimum(self.points[a][:, None], self.points[b][None]).sum(axis=2, dtype=np.int64)
+        good = self.bands.linked(self.size[a][:, None], self.size[b][None], bound) & (self.roots[a][:, None] != self.roots[b][None])
+        if same:
             good = np.triu(good, 1)
-        i, j = np.nonzero(good)
-        if len(i):
-            yield a.rows[i], b.rows[j]
+        if self.overlaps is not None and good.any():
+            i, j = np.nonzero(good.any(axis=1))[0], np.nonzero(good.any(axis=0))[0]
+            some = np.ix_(i, j)
+            good[some] &= self.bands.linked(self.size[a[i]][:, None], self.size[b[j]][None], self.overlaps(a[i], b[j]))
+        while good.any():
+            i, j = divmod(int(good.argmax()), len(b))
+            x, y = int(a[i]), int(b[j])
+            self.edges.append((x, y))
+            self.roots[self.roots == self.roots[y]] = self.roots[x]
+            good &= self.roots[a][:, None] != self.roots[b][None]
+
+
+def overlaps_of(sets: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The function from two lists of rows to the sizes of the intersections of their sets."""
+
+    def count(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = [sets[i] for i in a], [sets[j] for j in b]
+        if len(a) * len(b) > 4:
+            xs, ys = np.concatenate(x), np.concatenate(y)
+            both = np.intersect1d(xs, ys)
+            if len(both) and max(len(a), len(b)) * len(both) <= MATRIX:
+                held = []
+                for parts, every in ((x, xs), (y, ys)):
+                    at = np.minimum(np.searchsorted(both, every), len(both) - 1)
+                    hit = both[at] == every
+                    m = np.zeros((len(parts), len(both)), np.float32)
+                    m[np.repeat(np.arange(len(parts)), [len(p) for p in parts])[hit], at[hit]] = 1
+                    held.append(m)
+                return np.rint(held[0] @ held[1].T).astype(np.int64)
+        return np.array([[len(np.intersect1d(p, q, assume_unique=True)) for q in y] for p in x], np.int64)
+
+    return count
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of rows in the order of their first ``keys`` columns: tables of whole groups, and where the groups begin and end."""
+
+    def given(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        return t, np.concatenate([[0], _changes(t, keys), [t.num_rows]])
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and last != tuple(batch.column(k)[0].as_py() for k in range(keys)):
+            yield given(held)
+            held = []
+        last = tuple(batch.column(k)[-1].as_py() for k in range(keys))
+        at = _changes(batch, keys)
+        if len(at):
+            yield given([*held, batch.slice(0, at[-1])])
+            held = []
+            batch = batch.slice(at[-1])
+        held.append(batch)
+    if held:
+        yield given(held)
+
+
+def _changes(rows: pa.RecordBatch | pa.Table, keys: int) -> np.ndarray:
+    new = np.zeros(max(0, rows.num_rows - 1), bool)
+    for k in range(keys):
+        x = rows.column(k).to_numpy() if isinstance(rows, pa.Table) else rows.column(k).to_numpy(zero_copy_only=False)
+        new |= x[1:] != x[:-1]
+    return np.nonzero(new)[0] + 1
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def _digest(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
@@ -159,7 +247,7 @@ def _digest(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                 name = signature(s) if len(s) else None
                 node.append(name)
                 size.append(len(s))
-                counts.append(count_vector(s) if len(s) else None)
+                counts.append(count_vector(s).tobytes() if len(s) else None)
                 cells.append(None if name is None or name in seen else bands.cells(s))
                 if name is not None:
                     seen.add(name)
@@ -191,62 +279,140 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["cell", "node"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands: Bands, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link. Sets are made again from the texts of one document each."""
-    pairs = scratch.store(pairs, "candidates")
-    # Stored, so that its true size decides whether the texts must be shuffled to meet it.
-    need = scratch.store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"), "need")
+def _dealt(df: DataFrame, chunks: str, chunk: str) -> DataFrame:
+    """Each row to every pair (i, j) of parts that its part is in."""
+    other = F.explode(F.sequence(F.lit(0), F.col(chunks) - 1)).alias("other")
+    return df.select("*", other).withColumns({"i": F.least(chunk, "other"), "j": F.greatest(chunk, "other")}).drop("other")
+
+
+def _clusters(members: DataFrame, sized: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
+    """(node, component): nodes joined by a chain of pairs that share a cell and whose bound reaches the threshold."""
+    # Cells with the same members are joined once.
+    spans = members.groupBy("cell").agg(F.count(F.lit(1)).alias("held"), F.bit_xor(F.xxhash64("node")).alias("sign")).groupBy("sign", "held").agg(F.min("cell").alias("cell"))
+    rows = members.join(spans.select("cell", F.ceil(F.col("held") / CELL_ROWS).cast("int").alias("chunks")), "cell").join(sized, "node")
+    dealt = _dealt(rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")), "chunks", "chunk").select("cell", "i", "j", "chunk", "node", "n", "counts")
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, 3):
+            i, j, side, node, size = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+            points = points_of(_vectors(t.column(6)))
+            held = np.diff(at)
+            two = at[:-1][held == 2]
+            two = two[(i[two] == j[two]) | (side[two] != side[two + 1])]
+            bound = np.minimum(points[two], points[two + 1]).sum(axis=1, dtype=np.int64)
+            good = two[bands.linked(size[two], size[two + 1], bound)]
+            a, b = [node[good]], [node[good + 1]]
+            for k in np.nonzero(held > 2)[0].tolist():
+                rows = np.arange(at[k], at[k + 1])
+                f, inside = Forest(size[rows], points[rows], bands), np.arange(len(rows))
+                if i[rows[0]] == j[rows[0]]:
+                    f.join(inside)
+                else:
+                    left = side[rows] == i[rows[0]]
+                    if left.any() and not left.all():
+                        f.join(inside[left], inside[~left])
+                if f.edges:
+                    x, y = rows[np.array(f.edges)].T
+                    a.append(node[x])
+                    b.append(node[y])
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    pairs = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(forests, "a long, b long")
+    return components(pairs, scratch)
+
+
+def _with_sets(need: DataFrame, docs: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """``columns`` of (node, rep, ...) with the whole set ``held`` of each node, made again from the text of one document."""
+    k = len(columns)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, held = [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keep, held = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(k).to_pylist(), strict=True):
                 s = shingle_set(text, n)
-                if len(s) and signature(s) == name:
-                    node.append(name)
+                keep.append(len(s) > 0 and signature(s) == name)
+                if keep[-1]:
                     held.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.binary())], names=["node", "held"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text")).join(need, F.col("doc_id").eqNullSafe(F.col("rep")))
-    held = scratch.store(texts.select("node", "text").mapInArrow(sets, "node long, held binary").dropDuplicates(["node"]), "sets")
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(bool(bands.linked(len(s), len(t), both)))
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(good, pa.bool_())) for x in batch.columns[:2]], names=["a", "b"])
-
-    joined = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = scratch.store(joined.mapInArrow(overlap, "a long, b long"), "verified")
-    scratch.drop(pairs, held, need)
-    del joined, texts, held, need
-    scratch.release()
-    return links
-
-
-def _named(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members with the component that their node has so far, at first itself."""
-    return members.join(comp, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("comp"))
-
-
-def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) after new links between nodes, which join whole components."""
-    of = lambda x: comp.toDF(x, f"c{x}")
-    whole = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    top = components(whole, scratch)
-    moved = comp.join(top.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    return scratch.store(moved.union(top.join(comp, "node", "left_anti").select("node", "component")), "components")
+            kept = pa.RecordBatch.from_arrays(batch.columns[:k], names=columns).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(held, pa.binary())], names=[*columns, "held"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias(own("id")), text_or_empty(F.col("text")).alias(own("text"))).join(need, F.col(own("id")).eqNullSafe(F.col("rep")))
+    schema = ", ".join(f"{c} {kind}" for c, kind in need.select(*columns).dtypes)
+    return texts.select(*columns, own("text")).mapInArrow(sets, f"{schema}, held binary")
+
+
+def _linked(dealt: DataFrame, bands: Bands) -> DataFrame:
+    """A forest (a, b) of the links of each group (cluster, i, j) of (.., part, node, comp, held): between its parts i and j, or within i."""
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, 3):
+            i, j, part, nodes, comps = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+            blobs, a, b = t.column(6).combine_chunks() if t.column(6).num_chunks != 1 else t.column(6).chunk(0), [], []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                _, first = np.unique(np.stack([nodes[lo:hi], part[lo:hi]]), axis=1, return_index=True)  # a document may stand for its node more than once
+                rows = lo + np.sort(first)
+                if len(rows) < 2:
+                    continue
+                sets = [np.frombuffer(blobs[r].as_buffer(), np.uint64) for r in rows.tolist()]
+                size = np.array([len(s) for s in sets])
+                points = points_of(np.stack([count_vector(s, FINE_GROUPS) for s in sets]))
+                f, inside = Forest(size, points, bands, np.unique(comps[rows], return_inverse=True)[1], overlaps_of(sets)), np.arange(len(rows))
+                if i[lo] == j[lo]:
+                    f.join(inside)
+                else:
+                    left = part[rows] == i[lo]
+                    if left.any() and not left.all():
+                        f.join(inside[left], inside[~left])
+                a += [nodes[rows[x]] for x, _ in f.edges]
+                b += [nodes[rows[y]] for _, y in f.edges]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+
+    return dealt.select("cluster", "i", "j", "part", "node", "comp", "held").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(forests, "a long, b long")
+
+
+def _parts(rows: str, weight: str) -> Column:
+    """How many parts so many sets of so many shingles are dealt into."""
+    return F.greatest(F.ceil(F.col(rows) / CLUSTER_ROWS), F.ceil(F.col(weight) * 8 / CLUSTER_BYTES)).cast("int")
+
+
+def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands: Bands, scratch: Scratch) -> DataFrame:
+    """(node, component) by the links that hold for whole sets. A cluster is verified in one group, or if it is too large in parts: first within each
+    part, with some anchors that all parts hold, then what is not in the cluster's largest component against all else."""
+    need = nodes.join(clusters, "node").select("node", "rep", "n", F.col("component").alias("cluster"))
+    spans = need.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
+    need = need.join(spans.withColumn("parts", _parts("rows", "weight")), "cluster")
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
+    anchor = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(4)), F.col("rows")) < ANCHORS)
+    need = need.select("node", "rep", "n", "cluster", "parts", F.when(anchor, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part)).alias("at"))
+    need = scratch.store(need, "need")
+    first = _with_sets(need, docs, n, ["node", "cluster", "at"]).select("cluster", F.explode("at").alias("i"), "node", "held")
+    links = scratch.store(_linked(first.select("cluster", "i", F.col("i").alias("j"), F.col("i").alias("part"), "node", F.col("node").alias("comp"), "held"), bands), "links")
+    comp = components(links, scratch)
+    large = need.where("parts > 1").drop("at", "parts")
+    if not large.isEmpty():
+        named = scratch.store(large.join(comp, "node", "left").select("node", "rep", "n", "cluster", F.coalesce("component", "node").alias("comp")), "named")
+        most = named.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
+        rest = F.col("comp") != F.col("most")
+        sized = named.join(most, "cluster").groupBy("cluster").agg(*[f(F.when(side, x)).alias(name) for side, k in ((rest, "r"), (~rest, "l")) for f, x, name in ((F.count, F.lit(1), f"{k}_rows"), (F.sum, F.col("n"), f"{k}_n"))])
+        sized = sized.where("r_rows > 0").select("cluster", _parts("r_rows", "r_n").alias("r"), _parts("l_rows", "l_n").alias("l"))
+        part = F.when(rest, F.pmod(F.xxhash64("node", F.lit(5)), F.col("r"))).otherwise(F.col("r") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("l"))).cast("int")
+        need2 = scratch.store(named.join(most, "cluster").join(sized, "cluster").select("node", "rep", "n", "cluster", "comp", part.alias("part"), F.when(rest, F.col("r") + F.col("l")).otherwise(F.col("r")).alias("others")), "rest")
+        second = _dealt(_with_sets(need2, docs, n, ["node", "cluster", "comp", "part", "others"]), "others", "part")
+        more = scratch.store(links.unionByName(_linked(second, bands)), "links")
+        scratch.drop(links, named, need2)
+        links = more
+        comp = components(links, scratch)
+    scratch.drop(need, links)
+    return comp
 
 
 def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, mark, component) of each row of (doc_id, text): sets link when den * intersection >= num * union.
 
-    Equal sets are one node. First, in a few rounds, every node is held against one member of another component that its cells agree on; this
-    settles large groups of near copies without going over their pairs. Then the members of each cell that are still in different
-    components are joined in an R-tree, and every pair whose bound reaches the threshold is verified. Cells of more than ``CELL_ROWS`` members are dealt out as pairs of parts.
+    Equal sets are one node. Cells of more than ``CELL_ROWS`` members and clusters of more than ``CLUSTER_ROWS`` documents or ``CLUSTER_BYTES`` are dealt out as
+    pairs of parts, so that every pair meets and no task holds more. The result is the components; links inside a component are not listed.
 
     Null and empty texts, and texts without words, have an empty set, link with nothing and are their own component (``component``, its
     inner name, is null). Repeated rows link. Rows with null doc_id keep a place but name a component only if all its rows are null.
@@ -257,60 +423,16 @@ def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int =
     bands = Bands(num, den)
     digest = scratch.store(_digest(docs, n, bands), "digest")
     nodes = scratch.store(digest.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts")), "nodes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = digest.where("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "node").repartition(parts, "cell").sortWithinPartitions("cell", "node")
+    cells = digest.where("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "node").repartition("cell").sortWithinPartitions("cell", "node")
     members = scratch.store(cells.mapInArrow(_shared_cells, "cell long, node long"), "members")
     del cells
     scratch.release()
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                size = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4)]
-                bound = np.minimum(*(counts_of(batch.column(k).to_pylist()) for k in (3, 5))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([x.filter(pa.array(bands.linked(*size, bound))) for x in batch.columns[:2]], names=["a", "b"])
-
-    sized = nodes.select("node", "n", "counts")
-    comp = spark.createDataFrame([], "node long, component long")
-    for seed in range(STARS):
-        # One edge a node: to a member of another component that many cells agree on.
-        named = _named(members, comp)
-        low = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("center"), F.col("comp").alias("of"))
-        spans = named.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(low).alias("c")).where("low <> high").select("cell", "c")
-        near = named.join(spans, "cell").where("comp <> c.of").groupBy("node").agg(F.min("c").alias("c")).select(F.col("node").alias("a"), F.col("c.center").alias("b"))
-        near = near.join(sized.toDF("a", "na", "ca"), "a").join(sized.toDF("b", "nb", "cb"), "b").select("a", "b", "na", "ca", "nb", "cb")
-        links = _verified(near.mapInArrow(within, "a long, b long"), nodes, docs, n, bands, scratch)
-        if links.isEmpty():  # what is left is for the R-trees
-            break
-        comp = _merged(comp, links, scratch)
-
-    # The R-tree join: cells that still span components. Cells with the same members are joined once.
-    named = _named(members, comp)
-    spans = named.groupBy("cell").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sign"))
-    spans = spans.where("low <> high").groupBy("sign", "held").agg(F.min("cell").alias("cell"))
-    mixed = scratch.store(named.join(spans.select("cell", "held"), "cell").join(sized, "node"), "mixed")
-    chunks = F.ceil(F.col("held") / CELL_ROWS).cast("int")
-    chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
-    dealt = mixed.withColumn("chunks", chunks).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp", "n", "counts")
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        size, counts, comp, node, side = pdf["n"].to_numpy(), counts_of(pdf["counts"].tolist()), pdf["comp"].to_numpy(), pdf["node"].to_numpy(), pdf["chunk"].to_numpy()
-        if pdf["i"].iat[0] == pdf["j"].iat[0]:
-            left = right = RTree(size, counts, comp)
-        else:
-            halves = [np.nonzero(side == k)[0] for k in (pdf["i"].iat[0], pdf["j"].iat[0])]
-            if not all(map(len, halves)):
-                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-            left, right = (RTree(size, counts, comp, x) for x in halves)
-        found = list(tree_join(left, right, size, counts, comp, bands))
-        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])})
-
-    rest = dealt.groupBy("cell", "i", "j").applyInPandas(joined, "a long, b long").distinct()
-    more = _verified(rest, nodes, docs, n, bands, scratch)
-    final = _merged(comp, more, scratch).toDF("node", "comp")
-    scratch.drop(members, mixed)
+    clusters = _clusters(members, nodes.select("node", "n", "counts"), bands, scratch)
+    scratch.drop(members)
+    scratch.release()
+    final = _links(clusters, nodes, docs, n, bands, scratch).toDF("node", "comp")
+    scratch.drop(nodes)
+    scratch.release()
 
     rows = digest.select("doc_id", "mark", "n", "node").join(final, "node", "left").select("doc_id", "mark", "n", F.coalesce("comp", "node").alias("comp"))
     least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias(own("least")))

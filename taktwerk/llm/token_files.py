@@ -10,11 +10,9 @@ from __future__ import annotations
 import os
 import re
 import struct
-import sys
 import unicodedata
 import zlib
-from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +23,6 @@ from taktwerk.llm.common import Scratch, read_table, ship, text_or_empty
 
 END_ID, SEGMENT_TOKENS = 2, 1 << 20
 MAGIC = b"TWDC0001"
-_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _WORD_BITS = 512
 
 
@@ -97,15 +94,11 @@ def _unsafe_chars() -> re.Pattern:
     return re.compile("[" + "".join(map(re.escape, map(chr, odd))) + " -‏ -  -\U0010ffff]")
 
 
-#: Texts whose white space is single spaces and line ends inside them split at these without the pattern.
-_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|^\s|\s\Z")
-
-
 class PieceEncoder:
     """Token ids of whole texts. The tokenizer treats each piece of its pre-tokenizing pattern alone, and no piece goes on after
     a space or line end, so the ids of what stands between these are asked of it once and kept; beyond ``keep`` the memory starts anew."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 600_000):
         # Tasks share the machine's cores already; the library's own threads would only wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -113,33 +106,58 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unsafe, self.keep, self.known = _unsafe_chars(), keep, {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line[0] if len(line) == 1 else -1
 
-    def _keys(self, text: str) -> list[str] | None:
-        """Keys of what to join the ids of; None if the text must be encoded whole."""
+    def _keys(self, text: str) -> tuple[list[str], bool] | None:
+        """Keys of what to join the ids of, and whether they are words between single spaces and line ends; None if the text must be encoded whole."""
         if any(s in text for s in self.special):
             return None
-        if not _UNEVEN.search(text) and "\0" not in text:
-            # A line end stays with what follows it; the space before all others but the first was taken by the split.
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return [f"\0{first}", *rest]
-        return None if self.unsafe.search(text) else [f"\0{p}" for p in _PIECES.findall(text)]
+        # A line end stays with what follows it; the space before all others but the first was taken by the split.
+        keys = text.replace("\n", " \n").split(" ")
+        words = text.split()
+        # With one space or line end between words and no other white space the pattern is not needed.
+        if len(words) == len(keys) and sum(map(len, words)) + len(words) - 1 == len(text) and "\0" not in text:
+            keys[0] = f"\0{keys[0]}"
+            return keys, True
+        return None if self.unsafe.search(text) else ([f"\0{p}" for p in _PIECES.findall(text)], False)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, keys: Iterable[str], text_of: Callable[[str], str]) -> None:
-        new = [k for k in keys if k not in self.known]
-        for k, e in zip(new, self.tokenizer.encode_batch_fast([text_of(k) for k in new], add_special_tokens=False), strict=True):
-            self.known[k] = array("I", e.ids).tobytes() if _LITTLE else np.array(e.ids, "<u4").tobytes()
+    def _learn_words(self, keys: set[str]) -> None:
+        """Words are asked of the tokenizer in one text of lines and cut at the line ends' ids, as no piece goes on after a line end."""
+        after_line = [k for k in keys if k[0] in "\0\n"]
+        after_space = list(keys.difference(after_line))
+        for words, text in ((after_space, "\n " + "\n ".join(after_space)), (after_line, "\n" + "\n".join([k[1:] for k in after_line]))):
+            if not words:
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = np.nonzero(ids == self.line_end)[0]
+            if len(at) != len(words):
+                self._learn(words)
+                continue
+            raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            self.known.update(zip(words, [raw[lo + 4 : hi] for lo, hi in zip(at, at[1:], strict=False)], strict=True))
+            line = raw[:4]
+            for k in words if words is after_line else ():
+                if k[0] == "\n":
+                    self.known[k] = line + self.known[k]
+
+    def _learn(self, keys: Iterable[str]) -> None:
+        keys = list(keys)
+        for k, e in zip(keys, self.tokenizer.encode_batch_fast([_text_of(k) for k in keys], add_special_tokens=False), strict=True):
+            self.known[k] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.keep:
             self.known.clear()
         keys = [self._keys(t) for t in texts]
-        self._learn(set().union(*(k for k in keys if k is not None)), _text_of)
+        for learn, even in ((self._learn_words, True), (self._learn, False)):
+            learn(set().union(*(k[0] for k in keys if k is not None and k[1] == even)).difference(self.known))
         get = self.known.__getitem__
-        return [b"".join(map(get, k)) if k is not None else self._whole(t) for t, k in zip(texts, keys, strict=True)]
+        return [b"".join(map(get, k[0])) if k is not None else self._whole(t) for t, k in zip(texts, keys, strict=True)]
 
 
 def _text_of(key: str) -> str:
@@ -147,7 +165,7 @@ def _text_of(key: str) -> str:
     return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else f" {key}"
 
 
-def _groups(ids: list, texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def _groups(ids: list, texts: list[str], chars: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
     """Rows in groups of about so many characters."""
     start = held = 0
     for i, t in enumerate(texts):

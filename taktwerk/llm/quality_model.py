@@ -24,8 +24,8 @@ from pyspark.sql.types import StructType
 
 from taktwerk.llm.common import Scratch, n_words, own, read_table, ship, text_or_empty
 
-#: Bytes of text for a shard of the model, and for a round of scoring; rounds are few, so that the model is not dealt out often.
-SHARD_BYTES, ROUND_BYTES, LEAST_SHARDS, MOST_ROUNDS = 12_000_000, 300_000_000, 12, 2
+#: Bytes of text for a shard of the model; rounds of scoring: each deals out the model and the n-grams of a part of the documents, and its shuffle files go before the next.
+SHARD_BYTES, LEAST_SHARDS, ROUNDS = 12_000_000, 12, 4
 #: Words seen this often in the trusted documents are tokens of their own; others count as their shape.
 VOCABULARY_COUNT = 3
 #: The threshold lies midway between these quantiles of trusted and of rejected labelled documents.
@@ -203,7 +203,6 @@ class Model:
     words: Words
     stored: DataFrame
     n_shards: int
-    rounds: int
     pair_cut: np.ndarray
     triple_cut: np.ndarray
     start: float
@@ -230,7 +229,7 @@ def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Model | None
     """The model of all ``trusted`` documents; None if they have no word."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, rounds = max(LEAST_SHARDS, size // SHARD_BYTES), min(MOST_ROUNDS, max(1, size // ROUND_BYTES))
+    shards = max(LEAST_SHARDS, size // SHARD_BYTES)
     chosen = docs.where(F.col("text").isNotNull()).join(trusted.select("doc_id").distinct(), "doc_id").select("text")
     chosen = scratch.store(chosen, "trusted")
     scratch.release()
@@ -336,7 +335,7 @@ def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Model | None
     begin = int(np.searchsorted(known.names, np.uint64(Tokens.START))) * (v + 1)
     backs = _unpacked([r[0] for r in model.where((F.col("what") == "backs") & (F.col("shard") == int(_shard(np.array([begin]), shards)[0]))).select("data").collect()], 5)
     start = -float(np.log(_back([x[backs[0] == begin] for x in backs[1:]], triple_cut)[0]))
-    return Model(known, model, shards, rounds, pair_cut, triple_cut, start)
+    return Model(known, model, shards, pair_cut, triple_cut, start)
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], scratch: Scratch) -> DataFrame:
@@ -437,7 +436,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], scratch: Scratch) -
         return heads.set_column(n_cols + 1, "surprise", pa.array(total))
 
     whole = docs.select(*columns, text_or_empty(F.col("text")).alias(own("text")))
-    deal = F.pmod(F.xxhash64(*columns, own("text")), F.lit(model.rounds))
+    deal = F.pmod(F.xxhash64(*columns, own("text")), F.lit(ROUNDS))
 
     def scored(k: int) -> DataFrame:
         asked = whole.where(deal == k).mapInArrow(ask, ask_schema)
@@ -445,7 +444,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], scratch: Scratch) -
         return scratch.store(answers.groupBy("chunk").applyInArrow(summed, out_schema), "scores")
 
     parts = []
-    for k in range(model.rounds):  # each round's shuffle files go before the next
+    for k in range(ROUNDS):  # each round's shuffle files go before the next
         parts.append(scored(k))
         scratch.release()
     return reduce(DataFrame.unionAll, parts)

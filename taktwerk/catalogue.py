@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import flow, inference, quality
+from taktwerk.plans import decisions, flow, inference, quality
 from taktwerk.plans.base import Query
 
-MODULES = (flow, inference, quality)
+MODULES = (flow, inference, quality, decisions)
 
 
 def queries() -> dict[str, Query]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taktwerk.operators.quantiles import exact_medians
+
 #: MAD to standard deviation.
 MAD_SCALE = 1.4826
 
@@ -12,22 +14,22 @@ MAD_SCALE = 1.4826
 def robust_scale(df: DataFrame, by: list[str], value: str, floor: float, least: int = 1) -> DataFrame:
     """(by..., n, center, scale) of a value: median, and median absolute deviation x 1.4826, at least ``floor``; below ``least`` rows the floor."""
     rows = df.where(F.col(value).isNotNull())
-    centers = rows.groupBy(*by).agg(F.median(value).alias("center"), F.count(value).alias("n"))
-    away = rows.join(centers, by).groupBy(*by, "center", "n").agg(F.median(F.abs(F.col(value) - F.col("center"))).alias("mad"))
+    centers = exact_medians(rows, by, value, "center")
+    away = rows.join(centers.select(*by, "center"), by).select(*by, F.abs(F.col(value) - F.col("center")).alias("away"))
     scale = F.when(F.col("n") < least, F.lit(floor)).otherwise(F.greatest(F.col("mad") * MAD_SCALE, F.lit(floor)))
-    return away.select(*by, "n", "center", scale.alias("scale"))
+    return centers.join(exact_medians(away, by, "away", "mad").drop("n"), by).select(*by, "n", "center", scale.alias("scale"))
 
 
 def variant_medians(tel: DataFrame) -> DataFrame:
     """(station, variant, proc): the median processing time."""
-    return tel.where("proc_time_s IS NOT NULL").groupBy("station", "variant").agg(F.median("proc_time_s").alias("proc"))
+    return exact_medians(tel, ["station", "variant"], "proc_time_s", "proc").drop("n")
 
 
 def shift_factors(tel: DataFrame) -> DataFrame:
     """(station, shift, factor): a shift's median over the station's; rows without shift are left out."""
     known = tel.where("proc_time_s IS NOT NULL")
-    whole = known.groupBy("station").agg(F.median("proc_time_s").alias("m"))
-    each = known.where("shift IS NOT NULL").groupBy("station", "shift").agg(F.median("proc_time_s").alias("s"))
+    whole = exact_medians(known, ["station"], "proc_time_s", "m").drop("n")
+    each = exact_medians(known.where("shift IS NOT NULL"), ["station", "shift"], "proc_time_s", "s").drop("n")
     return each.join(whole, "station").where("m > 0").select("station", "shift", (F.col("s") / F.col("m")).alias("factor"))
 
 
@@ -61,7 +63,7 @@ def takt_deviation(windows: DataFrame, takt_s: float, digits: int = 9) -> tuple[
     """(scored windows, station centres): blocked and starved shares of the takt less their station's median, rounded before any test."""
     frac = {c: F.col(f"{c}_s_mean") / takt_s for c in ("blocked", "starved")}
     w = windows.withColumns({f"{c}_frac": v for c, v in frac.items()})
-    centers = w.groupBy("station").agg(*[F.median(f"{c}_frac").alias(f"{c}_center") for c in frac])
+    centers = exact_medians(w, ["station"], "blocked_frac", "blocked_center").drop("n").join(exact_medians(w, ["station"], "starved_frac", "starved_center").drop("n"), "station")
     d = {f"d_{c}": F.round(F.col(f"{c}_frac") - F.col(f"{c}_center"), digits) for c in frac}
     return w.join(F.broadcast(centers), "station").withColumns(d), centers
 

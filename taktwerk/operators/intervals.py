@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 #: State labels after normalising, by kind. Fixed values.
 STATE_KINDS = {
-    "blocked_s": ("blocked", "block", "blk", "outfeed_full", "downstream_full", "waiting_downstream"),
-    "starved_s": ("starved", "starve", "stv", "infeed_empty", "upstream_empty", "waiting_upstream", "no_part"),
+    "blocked_s": ("blocked", "blocking", "blk", "outfeed_full"),
+    "starved_s": ("starved", "starving", "strv", "infeed_empty", "waiting_for_part"),
 }
+#: Labels of a station at work: known, but no waiting. Fixed values.
+RUNNING = ("running", "run", "execute", "producing", "active", "auto")
 
 
 def state_key(label: Column) -> Column:
-    return F.translate(F.lower(F.trim(label)), " -", "__")
+    return F.translate(F.lower(F.regexp_replace(label, r"^\s+|\s+$", "")), " -", "__")
 
 
 def state_kind(label: Column) -> Column:

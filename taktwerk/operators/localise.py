@@ -12,20 +12,22 @@ NULL, SUPPLY = -1, -2
 
 
 def turning_point(scored: DataFrame, digits: int = 9) -> DataFrame:
-    """(window, station, strength): the last station before which blocking outweighs starving and after which it does not.
+    """(window, station, strength): the first station at which blocking has turned to starving.
 
-    The difference of the two deviations changes from positive to not positive; of several changes the largest drop, of equal ones the first. If no
-    difference is positive it is the first station, if none changes the last.
+    The difference of the two deviations (null counts as 0) changes from positive to negative between two neighbours; of several changes the largest drop
+    counts, of equal ones the first, and the station after it is named. Without a change it is the first station if no difference is positive, else the last, with the largest
+    absolute difference as strength. Windows with one station give no row.
     """
     w = Window.partitionBy("window").orderBy("station")
-    d = scored.withColumn("diff", F.round(F.col("d_blocked") - F.col("d_starved"), digits)).where("diff IS NOT NULL")
-    d = d.withColumn("next", F.lead("diff").over(w))
-    drop = F.when((F.col("diff") > 0) & (F.col("next") <= 0), F.round(F.col("diff") - F.col("next"), digits))
+    d = scored.withColumn("diff", F.coalesce(F.round(F.col("d_blocked") - F.col("d_starved"), digits), F.lit(0.0)))
+    d = d.withColumns({"next": F.lead("diff").over(w), "after": F.lead("station").over(w)})
+    drop = F.when((F.col("diff") > 0) & (F.col("next") < 0), F.round(F.col("diff") - F.col("next"), digits))
     g = d.withColumn("drop", drop).groupBy("window").agg(
-        F.max("diff").alias("top"), F.max_by("station", F.when(F.col("drop").isNotNull(), F.struct("drop", -F.col("station")))).alias("turn"), F.max("drop").alias("strength"), F.min("station").alias("first"), F.max("station").alias("last")
-    )
+        F.max("diff").alias("top"), F.max_by("after", F.when(F.col("drop").isNotNull(), F.struct("drop", -F.col("station")))).alias("turn"), F.max("drop").alias("strength"), F.max(F.abs("diff")).alias("most"),
+        F.min("station").alias("first"), F.max("station").alias("last"), F.count(F.lit(1)).alias("n"),
+    )
     station = F.when(F.col("turn").isNotNull(), F.col("turn")).when(F.col("top") <= 0, F.col("first")).otherwise(F.col("last"))
-    return g.select("window", station.alias("station"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
+    return g.where("n >= 2").select("window", station.alias("station"), F.coalesce("strength", "most").alias("strength"))
 
 
 def hypothesis_scores(scored: DataFrame, prop: DataFrame, sigma_b: float, sigma_s: float, tau: float, supply_decay: float = 16.0) -> DataFrame:

@@ -19,13 +19,15 @@ def candidate_prior(profile: DataFrame) -> DataFrame:
 
 
 def attribute(defects: DataFrame, prior: DataFrame) -> DataFrame:
-    """(vehicle_id, gate_station, defect_type, station, mass): each defect shared by the stations before its gate, by prior.
+    """(vehicle_id, gate_station, defect_type, station, mass): each defect shared by the stations before its gate, by prior; equal defects of a vehicle at a gate share one.
 
-    The shares of a (gate, type) are the same for all its defects, so they are worked out on the dimension and joined by broadcast."""
+    The shares of a (gate, type) are the same for all its defects, so they are worked out on the dimension and joined."""
     kinds = defects.select("gate_station", "defect_type").distinct()
-    usable = kinds.join(F.broadcast(prior), "defect_type").where("station < gate_station")
+    usable = kinds.join(prior, "defect_type").where("station < gate_station")
     share = F.col("prior") / F.sum("prior").over(Window.partitionBy("gate_station", "defect_type"))
-    return defects.join(F.broadcast(usable.select("gate_station", "defect_type", "station", share.alias("mass"))), ["gate_station", "defect_type"]).select("vehicle_id", "gate_station", "defect_type", "station", "mass")
+    equal = F.count(F.lit(1)).over(Window.partitionBy("vehicle_id", "gate_station", "defect_type"))
+    each = defects.select("vehicle_id", "gate_station", "defect_type", equal.alias("n")).join(usable.select("gate_station", "defect_type", "station", share.alias("share")), ["gate_station", "defect_type"])
+    return each.select("vehicle_id", "gate_station", "defect_type", "station", (F.col("share") / F.col("n")).alias("mass"))
 
 
 def nominal_rate(attributed: DataFrame, stations: DataFrame, n_vehicles: int | DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def pooled_counts(defects: DataFrame, windows: DataFrame, pool: int, least: int)
     upto = F.sum("c").over(Window.partitionBy("defect_type").orderBy("vehicle_id"))
     steps = per.select("defect_type", "vehicle_id", upto.alias("upto"))
     ends = w.select("window", F.col("v_end").alias("at"), F.lit(1).alias("sign")).union(w.select("window", F.col("v_from").alias("at"), F.lit(-1).alias("sign")))
-    asks = ends.crossJoin(F.broadcast(defects.select("defect_type").distinct()))
+    asks = ends.crossJoin(defects.select("defect_type").distinct())
     both = asks.select("defect_type", (F.col("at") - 1).alias("v"), F.lit(1).alias("side"), "window", "sign", F.lit(None).cast("long").alias("upto")).unionByName(
         steps.select("defect_type", F.col("vehicle_id").alias("v"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("window"), F.lit(None).cast("int").alias("sign"), "upto")
     )
@@ -87,9 +89,9 @@ def rolling_alerts(state: DataFrame, least_llr: float, least_m: float, rows: int
     return state.withColumn("__hit", hit).withColumn("quality_alert", F.sum("__hit").over(w) == rows).drop("__hit")
 
 
-def interpolate_passes(passes: DataFrame, stations: DataFrame) -> DataFrame:
-    """(vehicle_id, station, t_pass_s, is_interpolated) on the full grid: times at stations without a record are on the line between the neighbours', flat at the ends."""
-    last = passes.groupBy("vehicle_id", "station").agg(F.max("t_depart_s").alias("t"))
+def interpolate_passes(passes: DataFrame, stations: DataFrame, order: str = "t_depart_s") -> DataFrame:
+    """(vehicle_id, station, t_pass_s, is_interpolated) on the full grid: of repeated records the last by ``order`` that has a time; times at stations without a record are on the line between the neighbours', flat at the ends."""
+    last = passes.groupBy("vehicle_id", "station").agg(F.max_by("t_depart_s", F.when(F.col("t_depart_s").isNotNull(), F.col(order))).alias("t"))
     grid = last.select("vehicle_id").distinct().crossJoin(F.broadcast(stations.select("station")))
     d = grid.join(last, ["vehicle_id", "station"], "left")
     w = Window.partitionBy("vehicle_id").orderBy("station")

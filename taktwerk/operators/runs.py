@@ -19,6 +19,28 @@ def run_length(df: DataFrame, keys: list[str], order: list[str], flag: Column, j
     return d.withColumn("run", F.when(F.col("__f") == 1, F.row_number().over(inside)).otherwise(0)).drop("__f", "__new", "__island")
 
 
+def gaps(df: DataFrame, keys: list[str], t: str, tie: str, bucket_s: float) -> DataFrame:
+    """(keys..., gap): time since the row before, by key. Rows are lagged within buckets of time; a bucket's first row takes the last time of the buckets before it,
+    so no task sorts more than a bucket of a key, beside one row a bucket."""
+    d = df.where(F.col(t).isNotNull()).select(*keys, F.col(t).alias("__t"), F.col(tie).alias("__tie"), F.floor(F.col(t) / bucket_s).alias("__b"))
+    ends = d.groupBy(*keys, "__b").agg(F.max("__t").alias("__end"))
+    edges = ends.select(*keys, "__b", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__b")).alias("__edge"))
+    inside = F.lag("__t").over(Window.partitionBy(*keys, "__b").orderBy("__t", "__tie"))
+    gap = F.col("__t") - F.coalesce("__p", "__edge")
+    return d.withColumn("__p", inside).join(edges, [*keys, "__b"]).select(*keys, gap.alias("gap")).where("gap IS NOT NULL")
+
+
+def first_sustained(df: DataFrame, run: int, block: int = 4096) -> DataFrame:
+    """(board_moment_s): the earliest ``t_depart_s`` at which ``below`` has held for ``run`` positions in a row, of (pos, t_depart_s, below) with gapless positions; null if never.
+
+    Blocks of positions overlap by the run's length, so each is judged alone."""
+    k = F.floor(F.col("pos") / block)
+    shared = F.col("pos") % block >= block - (run - 1)
+    d = df.select("pos", "t_depart_s", "below", F.explode(F.when(shared, F.array(k, k + 1)).otherwise(F.array(k))).alias("k"))
+    held = F.sum(F.col("below").cast("int")).over(Window.partitionBy("k").orderBy("pos").rowsBetween(-(run - 1), 0))
+    return d.withColumn("held", held).where(F.col("held") == run).agg(F.min("t_depart_s").alias("board_moment_s"))
+
+
 def ewma(df: DataFrame, keys: list[str], order: str, value: str, name: str, alpha: float = 0.55, memory: int = 64) -> DataFrame:
     """Exponential smoothing that starts from the first value; nulls count as 0. (1 - alpha) ** memory is below a double's precision,
     so a fold over that many rows is the whole recursion, and no window grows with the series."""

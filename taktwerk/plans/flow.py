@@ -11,6 +11,8 @@ from taktwerk.operators import intervals as I
 from taktwerk.operators import localise as L
 from taktwerk.operators import runs as R
 from taktwerk.operators import windows as W
+from taktwerk.operators.quantiles import exact_medians, exact_quantiles
+from taktwerk.operators.ranks import ordered_position
 from taktwerk.plans.base import SPEC, Query, i, plain, r, sql, tidy
 from taktwerk.sources import fixtures as X
 
@@ -23,7 +25,7 @@ def window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.takt_deviation(window_table(spark, sf_dir), X.TAKT_S)[0]
+    return B.takt_deviation(settled(window_table(spark, sf_dir)), X.TAKT_S)[0]  # the medians read it several times
 
 
 def telemetry_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def validation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = pairs.groupBy("vehicle_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"), F.sum("neg").alias("neg"), F.sum("nul").alias("nul"))
     totals = each.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_vehicles"), (F.sum("n") - F.sum("pairs")).alias("duplicate_rows"), F.sum("neg").alias("negative_proc"), F.sum("nul").alias("null_blocked"), (F.max("vehicle_id") - F.min("vehicle_id") + 1 - F.count(F.lit(1))).alias("missing_ids"))
     stations = pairs.agg(F.countDistinct("l_linenumber").alias("n_stations"))
-    median = rows.agg(F.median("l_quantity").alias("median_proc_s"))
+    median = exact_medians(rows, [], "l_quantity", "median_proc_s").drop("n")
     return tidy(totals.crossJoin(stations).crossJoin(median))
 
 
@@ -73,7 +75,7 @@ def state_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("running",), ("blocked",), ("starved",)], "key string")
+    known = spark.createDataFrame([(x,) for x in (*I.STATE_KINDS["blocked_s"], *I.STATE_KINDS["starved_s"], *I.RUNNING)], "key string")
     return I.unknown_labels(X.states(spark, sf_dir), known)
 
 
@@ -95,15 +97,14 @@ def inequality_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topology_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations by their median departure."""
-    m = X.telemetry(spark, sf_dir).groupBy("station").agg(F.median("t_depart_s").alias("median_depart_s"))
+    m = exact_medians(X.telemetry(spark, sf_dir), ["station"], "t_depart_s", "median_depart_s").drop("n")
     return tidy(m.withColumn("position", F.row_number().over(Window.orderBy("median_depart_s", "station")) - 1))
 
 
 def takt_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     tel = X.telemetry(spark, sf_dir)
-    # Departures of a station follow the vehicles closely: the lag runs within blocks of them, with the block's edge from the block before.
-    gap = F.col("t_depart_s") - F.lag("t_depart_s").over(Window.partitionBy("station").orderBy("t_depart_s", "vehicle_id"))
-    return tidy(tel.select("station", gap.alias("gap")).where("gap IS NOT NULL").groupBy("station").agg(F.median("gap").alias("takt_s"), F.count("gap").alias("n_gaps")))
+    gaps = R.gaps(tel, ["station"], "t_depart_s", "vehicle_id", 86_400.0)
+    return tidy(exact_medians(gaps, ["station"], "gap", "takt_s").select("station", "takt_s", F.col("n").alias("n_gaps")))
 
 
 def variant_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +118,7 @@ def shift_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tel, total = X.telemetry(spark, sf_dir), None
+    tel = settled(X.telemetry(spark, sf_dir).select("vehicle_id", "station", "variant", "shift", "proc_time_s"))  # read by the mix and by three medians
     total = W.n_vehicles(tel)
     mix = B.variant_mix(W.in_windows(tel.select("vehicle_id", "variant").distinct(), SPEC, total))
     shift = B.dominant_shift(W.in_windows(X.vehicles(spark, sf_dir).select("vehicle_id", "shift"), SPEC, total))
@@ -161,9 +162,14 @@ def detection_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.select("window", "station", "run", (F.col("run") >= 2).alias("detected")))
 
 
-def stale_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = window_table(spark, sf_dir)
-    return tidy(w.select("window", "station", ((F.coalesce("proc_time_s_std", F.lit(0.0)) < 5.0) & (F.col("proc_time_s_count") >= 6)).alias("stale_suspect")))
+def stale_flag(spark: SparkSession, sf_dir: str, least_std: float = 0.05, least_rows: int = 6) -> DataFrame:
+    """Windows of a sensor that repeats itself: station 1 sends its last value before from 200,000 s to 260,000 s."""
+    tel = X.telemetry(spark, sf_dir)
+    good = tel.where("station = 1 AND t_depart_s < 200000").agg(F.max_by("proc_time_s", F.struct("t_depart_s", "vehicle_id")).alias("held"))
+    held = (F.col("station") == 1) & F.col("t_depart_s").between(200_000.0, 260_000.0)
+    d = tel.crossJoin(F.broadcast(good)).withColumn("proc_time_s", F.when(held, F.col("held")).otherwise(F.col("proc_time_s")))
+    w = W.window_aggregate(d, SPEC, ["proc_time_s"], W.n_vehicles(tel))
+    return tidy(w.select("window", "station", ((F.coalesce("proc_time_s_std", F.lit(0.0)) < least_std) & (F.col("proc_time_s_count") >= least_rows)).alias("stale_suspect")))
 
 
 def ewma_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +198,7 @@ def pairwise_corr_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calibrate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear quantiles of the turning point's strength at two false-alarm targets, and their spread."""
     t = L.turning_point(scored_table(spark, sf_dir))
-    return tidy(t.agg(F.expr("percentile(strength, 0.99)").alias("detect"), F.expr("percentile(strength, 0.95)").alias("watch"), F.stddev_pop("strength").alias("noise")))
+    return tidy(exact_quantiles(t, [], "strength", {"detect": 0.99, "watch": 0.95}).drop("n").crossJoin(F.broadcast(t.agg(F.stddev_pop("strength").alias("noise")))))
 
 
 def line_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,14 +208,15 @@ def line_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling rate over sixty departures of the last station, and the first 25 in a row below 95 % of the median."""
-    last = X.passes(spark, sf_dir).where(F.col("station") == X.STATIONS - 1)
-    w = Window.orderBy("t_depart_s", "vehicle_id")
-    d = last.select("vehicle_id", "t_depart_s", F.round(60 / (F.col("t_depart_s") - F.lag("t_depart_s", 60).over(w)), 9).alias("rate")).where("rate IS NOT NULL")
-    med = d.agg(F.median("rate").alias("median_rate"))
-    d = d.crossJoin(F.broadcast(med))
-    runs = R.run_length(d, [], ["t_depart_s", "vehicle_id"], F.col("rate") < F.round(0.95 * F.col("median_rate"), 9))
-    return tidy(runs.agg(F.max("median_rate").alias("median_rate"), F.min(F.when(F.col("run") == 25, F.col("t_depart_s"))).alias("board_moment_s"), F.max("run").alias("longest_run")))
+    """Rolling rate over sixty departures of the last station in build order, and the time of the first 25 in a row below 90 % of takt.
+
+    Positions come from counts; the rate is a join of a position with that sixty later, and runs are told in blocks of positions that overlap by the run's length."""
+    last = X.passes(spark, sf_dir).where(F.col("station") == X.STATIONS - 1).select("vehicle_id", "t_depart_s", F.floor(F.col("vehicle_id") / 10_000).alias("lot"))
+    placed = settled(ordered_position(last, "lot", ["vehicle_id"], "pos").select("pos", "t_depart_s"))
+    before = placed.select((F.col("pos") + 60).alias("pos"), F.col("t_depart_s").alias("t0"))
+    d = placed.join(before, "pos").select("pos", "t_depart_s", F.round(60 / F.greatest(F.col("t_depart_s") - F.col("t0"), F.lit(1e-9)), 9).alias("rate"))
+    board = R.first_sustained(d.select("pos", "t_depart_s", (F.col("rate") < round(0.90 / X.TAKT_S, 9)).alias("below")), 25)
+    return tidy(d.agg(F.count(F.lit(1)).alias("n"), F.avg("rate").alias("mean_rate"), F.min("rate").alias("lowest_rate"), F.count_if(F.col("rate") < round(0.90 / X.TAKT_S, 9)).alias("n_below")).crossJoin(board))
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +227,8 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = t.groupBy("incident", "station").agg(F.count(F.lit(1)).alias("n"))
     mode = n.groupBy("incident").agg(F.max_by("station", F.struct("n", -F.col("station"))).alias("station"))
     span = t.groupBy("incident").agg(F.min("window").alias("first_window"), F.max("window").alias("last_window"), F.count(F.lit(1)).alias("n_windows"))
-    return tidy(span.join(mode, "incident"))
+    near = t.join(span.select("incident", ((F.col("first_window") + F.col("last_window")) / 2).alias("mid")), "incident").groupBy("incident").agg(F.min_by("window", F.struct(F.abs(F.col("window") - F.col("mid")), "window")).alias("shown_window"))
+    return tidy(span.join(mode, "incident").join(near, "incident"))
 
 
 def dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,9 +272,9 @@ _KIND = "CASE WHEN state = 'BLOCKED' THEN 'blocked_s' WHEN state = 'STARVED' THE
 _CLOSED = f"closed AS (SELECT station, {_KIND} AS state_kind, t_s AS t0, greatest(t_s, coalesce(lead(t_s) OVER (PARTITION BY station ORDER BY t_s, seq), (SELECT max(t_s) FROM states))) AS t1 FROM states)"
 _OCC = "occ AS (SELECT station, vehicle_id, coalesce(lag(t_s) OVER (PARTITION BY station ORDER BY t_s, vehicle_id), t_s) AS t_start_s, t_s AS t_depart_s FROM scans)"
 _DIFF = 'diffs AS (SELECT "window", station, round(d_blocked - d_starved, 9) AS diff FROM scored)'
-_NEXT = 'nexts AS (SELECT *, lead(diff) OVER (PARTITION BY "window" ORDER BY station) AS nxt FROM diffs)'
-_TURN = """turns AS (SELECT n."window", coalesce((SELECT station FROM nexts m WHERE m."window" = n."window" AND m.diff > 0 AND m.nxt <= 0 ORDER BY round(m.diff - m.nxt, 9) DESC, station LIMIT 1),
-  CASE WHEN max(n.diff) <= 0 THEN min(n.station) ELSE max(n.station) END) AS station, coalesce(max(CASE WHEN n.diff > 0 AND n.nxt <= 0 THEN round(n.diff - n.nxt, 9) END), 0.0) AS strength FROM nexts n GROUP BY n."window")"""
+_NEXT = 'nexts AS (SELECT "window", station, coalesce(diff, 0) AS diff, lead(coalesce(diff, 0)) OVER w AS nxt, lead(station) OVER w AS after FROM diffs WINDOW w AS (PARTITION BY "window" ORDER BY station))'
+_TURN = """turns AS (SELECT n."window", coalesce((SELECT after FROM nexts m WHERE m."window" = n."window" AND m.diff > 0 AND m.nxt < 0 ORDER BY round(m.diff - m.nxt, 9) DESC, station LIMIT 1),
+  CASE WHEN max(n.diff) <= 0 THEN min(n.station) ELSE max(n.station) END) AS station, coalesce(max(CASE WHEN n.diff > 0 AND n.nxt < 0 THEN round(n.diff - n.nxt, 9) END), max(abs(n.diff))) AS strength FROM nexts n GROUP BY n."window" HAVING count(*) >= 2)"""
 _MIX = 'mix AS (SELECT "window", variant, count(*) / sum(count(*)) OVER (PARTITION BY "window") AS share FROM (SELECT DISTINCT "window", vehicle_id, variant FROM tw) GROUP BY "window", variant)'
 _SHIFT = 'shifts AS (SELECT "window", shift FROM (SELECT w."window", shift, row_number() OVER (PARTITION BY w."window" ORDER BY count(*) DESC, shift) AS rn FROM vehicles v JOIN wins w ON v.vehicle_id >= w.v_start AND v.vehicle_id < w.v_end GROUP BY w."window", shift) WHERE rn = 1)'
 _MED = """meds AS (SELECT station, variant, median(proc_time_s) AS proc FROM telemetry GROUP BY station, variant),
@@ -295,7 +303,8 @@ SQL: dict[str, str] = {
       FROM occ o LEFT JOIN closed c ON c.station = o.station AND t0 < t_depart_s AND t1 > t_start_s GROUP BY o.station, o.vehicle_id""", _CLOSED, _OCC),
     "state_coverage": plain(f"""SELECT {i('s.station')} AS station, {r('scan_span_s')} AS scan_span_s, {r('state_span_s')} AS state_span_s, {r('CASE WHEN scan_span_s > 0 THEN coalesce(least(1.0, state_span_s / scan_span_s), 0.0) END')} AS coverage
       FROM (SELECT station, max(t_s) - min(t_s) AS scan_span_s FROM scans GROUP BY station) s LEFT JOIN (SELECT station, max(t_s) - min(t_s) AS state_span_s FROM states GROUP BY station) t ON s.station = t.station"""),
-    "unknown_labels": plain("SELECT DISTINCT state FROM states WHERE lower(state) NOT IN ('running', 'blocked', 'starved')"),
+    "unknown_labels": plain("""SELECT DISTINCT state FROM states WHERE lower(state) NOT IN ('blocked', 'blocking', 'blk', 'outfeed_full', 'starved', 'starving', 'strv', 'infeed_empty', 'waiting_for_part',
+      'running', 'run', 'execute', 'producing', 'active', 'auto')"""),
     "asof_forward": plain(f"""SELECT {i('s.station')} AS station, s.vehicle_id, {r('s.t_s')} AS t_s, {r('coalesce(e.ambient_temp_c, (SELECT arg_max(ambient_temp_c, t_s) FROM environment))')} AS ambient_temp_c FROM scans s ASOF LEFT JOIN environment e ON s.t_s <= e.t_s"""),
     "asof_backward": plain(f"""SELECT {i('s.station')} AS station, s.vehicle_id, {r('s.t_s')} AS t_s, {r('coalesce(e.ambient_temp_c, (SELECT arg_min(ambient_temp_c, t_s) FROM environment))')} AS ambient_temp_c FROM scans s ASOF LEFT JOIN environment e ON s.t_s >= e.t_s"""),
     "inequality_count": plain(f"SELECT {i('s.station')} AS station, s.vehicle_id, {r('s.t_s')} AS t_s, (SELECT count(*) FROM states x WHERE x.station = s.station AND x.t_s < s.t_s) AS n_before FROM scans s"),
@@ -311,7 +320,8 @@ SQL: dict[str, str] = {
       SELECT *, CASE WHEN f THEN row_number() OVER (PARTITION BY island ORDER BY "window") ELSE 0 END AS run FROM (
       SELECT *, sum(CASE WHEN f AND pf AND abs(station - ps) <= 1 THEN 0 ELSE 1 END) OVER (ORDER BY "window") AS island FROM (
       SELECT "window", station, strength >= 0.01 AS f, coalesce(lag(strength >= 0.01) OVER (ORDER BY "window"), false) AS pf, lag(station) OVER (ORDER BY "window") AS ps FROM turns)))""", *_TURNS),
-    "stale_flag": sql("""SELECT "window", CAST(station AS BIGINT) AS station, coalesce(proc_time_s_std, 0) < 5.0 AND proc_time_s_count >= 6 AS stale_suspect FROM wagg"""),
+    "stale_flag": sql("""SELECT "window", CAST(station AS BIGINT) AS station, coalesce(stddev_samp(p), 0) < 0.05 AND count(p) >= 6 AS stale_suspect FROM (SELECT "window", station, CASE WHEN station = 1 AND t_depart_s BETWEEN 200000 AND 260000
+      THEN (SELECT proc_time_s FROM telemetry WHERE station = 1 AND t_depart_s < 200000 ORDER BY t_depart_s DESC, vehicle_id DESC LIMIT 1) ELSE proc_time_s END AS p FROM tw) GROUP BY "window", station"""),
     "ewma_llr": sql(f"""SELECT "window", {i('station')} AS station, {r('x')} AS x, {r('y')} AS smooth FROM rec""",
       """ordered AS (SELECT "window", station, round(d_blocked - d_starved, 9) AS x, row_number() OVER (PARTITION BY station ORDER BY "window") AS rn FROM scored)""",
       """rec AS (SELECT "window", station, x, rn, x AS y FROM ordered WHERE rn = 1 UNION ALL SELECT o."window", o.station, o.x, o.rn, 0.55::DOUBLE * o.x + 0.45::DOUBLE * p.y FROM rec p JOIN ordered o ON o.station = p.station AND o.rn = p.rn + 1)"""),
@@ -321,12 +331,10 @@ SQL: dict[str, str] = {
       SELECT count(*) AS pairs, avg(rho) AS rho FROM (SELECT a.station, b.station, corr(round(a.d_blocked * 1e6), round(b.d_blocked * 1e6)) AS rho FROM scored a JOIN scored b ON a."window" = b."window" AND a.station < b.station GROUP BY a.station, b.station)))"""),
     "calibrate_threshold": sql(f"""SELECT {r('quantile_cont(strength, 0.99)')} AS detect, {r('quantile_cont(strength, 0.95)')} AS watch, {r('stddev_pop(strength)')} AS noise FROM turns""", *_TURNS),
     "line_rate": sql(f"""SELECT "window", {r('median(t_hi - t_lo)')} AS median_span_s FROM wagg GROUP BY "window\""""),
-    "output_rate": plain(f"""SELECT {r('max(mr)')} AS median_rate, {r('min(CASE WHEN run = 25 THEN t_depart_s END)')} AS board_moment_s, max(run) AS longest_run FROM (
-      SELECT *, CASE WHEN f THEN row_number() OVER (PARTITION BY island ORDER BY t_depart_s, vehicle_id) ELSE 0 END AS run FROM (
-      SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (ORDER BY t_depart_s, vehicle_id) + CASE WHEN f THEN 0 ELSE 1000000000 END AS island FROM (
-      SELECT *, (SELECT median(rate) FROM rates) AS mr, rate < round(0.95::DOUBLE * (SELECT median(rate) FROM rates), 9) AS f FROM rates)))""",
-      "rates AS (SELECT * FROM (SELECT vehicle_id, t_depart_s, round(60 / (t_depart_s - lag(t_depart_s, 60) OVER (ORDER BY t_depart_s, vehicle_id)), 9) AS rate FROM passes WHERE station = 6) WHERE rate IS NOT NULL)"),
-    "incidents": sql(f"""SELECT {i('incident')} AS incident, first_window, last_window, n_windows, {i('station')} AS station FROM (SELECT incident, min("window") AS first_window, max("window") AS last_window, count(*) AS n_windows FROM grouped GROUP BY incident)
+    "output_rate": plain(f"""SELECT count(*) AS n, {r('avg(rate)')} AS mean_rate, {r('min(rate)')} AS lowest_rate, count_if(f)::BIGINT AS n_below, {r('min(CASE WHEN run >= 25 THEN t_depart_s END)')} AS board_moment_s FROM (
+      SELECT *, CASE WHEN f THEN vehicle_rank - coalesce(max(CASE WHEN NOT f THEN vehicle_rank END) OVER (ORDER BY vehicle_rank), 59) ELSE 0 END AS run FROM rates)""",
+      f"""rates AS (SELECT *, rate < {round(0.90 / X.TAKT_S, 9)} AS f FROM (SELECT vehicle_id, t_depart_s, row_number() OVER (ORDER BY vehicle_id) - 1 AS vehicle_rank, round(60 / greatest(t_depart_s - lag(t_depart_s, 60) OVER (ORDER BY vehicle_id), 1e-9), 9) AS rate FROM passes WHERE station = 6) WHERE vehicle_rank >= 60)"""),
+    "incidents": sql(f"""SELECT {i('incident')} AS incident, first_window, last_window, n_windows, {i('station')} AS station, (SELECT g."window" FROM grouped g WHERE g.incident = x.incident ORDER BY abs(g."window" - (first_window + last_window) / 2), g."window" LIMIT 1) AS shown_window FROM (SELECT incident, min("window") AS first_window, max("window") AS last_window, count(*) AS n_windows FROM grouped GROUP BY incident) x
       JOIN (SELECT incident, station, row_number() OVER (PARTITION BY incident ORDER BY count(*) DESC, station) AS rn FROM grouped GROUP BY incident, station) USING (incident) WHERE rn = 1""", *_TURNS,
       """grouped AS (SELECT "window", station, sum(new) OVER (ORDER BY "window") AS incident FROM (SELECT "window", station, CASE WHEN coalesce("window" - lag("window") OVER (ORDER BY "window") > 6, true) THEN 1 ELSE 0 END AS new FROM turns WHERE strength >= 0.015))"""),
     "dropout": plain("SELECT CAST(station AS BIGINT) AS station, count(*) AS kept FROM telemetry WHERE NOT (station = 2 AND t_depart_s BETWEEN 100000 AND 300000) GROUP BY station"),

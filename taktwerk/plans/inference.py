@@ -108,15 +108,15 @@ def shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hidden_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycle of the blind station in each window: gaps of departures at the first observed station after it, those within the 5th to 85th percentile."""
+    """Cycle of the blind station in each window: gaps of departures, in build order, at the first observed station after it, those within the 5th to 85th percentile."""
     return tidy(hidden_cycle_table(spark, sf_dir))
 
 
 def hidden_cycle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     tel = X.telemetry(spark, sf_dir)
     d = W.in_windows(tel.where(F.col("station") == X.BLIND + 1).select("vehicle_id", "t_depart_s"), SPEC, W.n_vehicles(tel))
-    gap = F.col("t_depart_s") - F.lag("t_depart_s").over(Window.partitionBy("window").orderBy("t_depart_s", "vehicle_id"))
-    d = d.withColumn("gap", gap).where("gap > 0")
+    build = Window.partitionBy("window").orderBy("vehicle_id")
+    d = d.withColumns({"gap": F.col("t_depart_s") - F.lag("t_depart_s").over(build), "rows": F.count(F.lit(1)).over(Window.partitionBy("window"))}).where("gap > 0 AND rows >= 4")
     cut = d.groupBy("window").agg(F.expr("percentile(gap, array(0.05, 0.85))").alias("p"), F.count(F.lit(1)).alias("n_gaps"), F.avg("gap").alias("plain"))
     inside = d.join(cut, "window").where("gap BETWEEN round(p[0], 9) AND round(p[1], 9)").groupBy("window").agg(F.avg("gap").alias("trimmed"))
     out = cut.join(inside, "window", "left")
@@ -192,7 +192,7 @@ grp AS (SELECT t."window", top_station, (SELECT coalesce(max(k), -1) + 1 FROM po
   (SELECT coalesce(min(k), {X.STATIONS}) - 1 FROM post p WHERE p."window" = t."window" AND k > top_station AND round(post, 9) < round(0.25 * top_prob, 9)) AS hi FROM tops t),
 groups AS (SELECT g.*, (SELECT sum(post) FROM post p WHERE p."window" = g."window" AND k BETWEEN lo AND hi) AS mass FROM grp g)"""
 _CHAIN = (*flow._EXP, _P, _PROP, _OBS, _LL)
-_GAPS = """gaps AS (SELECT * FROM (SELECT "window", t_depart_s - lag(t_depart_s) OVER (PARTITION BY "window" ORDER BY t_depart_s, vehicle_id) AS gap FROM tw WHERE station = 4) WHERE gap > 0),
+_GAPS = """gaps AS (SELECT * FROM (SELECT "window", t_depart_s - lag(t_depart_s) OVER (PARTITION BY "window" ORDER BY vehicle_id) AS gap, count(*) OVER (PARTITION BY "window") AS n_rows FROM tw WHERE station = 4) WHERE gap > 0 AND n_rows >= 4),
 cuts AS (SELECT "window", quantile_cont(gap, 0.05) AS p5, quantile_cont(gap, 0.85) AS p85, count(*) AS n, avg(gap) AS plain FROM gaps GROUP BY "window"),
 cycles AS (SELECT c."window", c.n, CASE WHEN c.n >= 3 THEN coalesce(avg(gap), any_value(plain)) END AS cycle_s FROM cuts c LEFT JOIN gaps g ON g."window" = c."window" AND gap BETWEEN round(p5, 9) AND round(p85, 9) GROUP BY c."window", c.n)"""
 _STATES = """xs AS MATERIALIZED (SELECT "window", station, round((d_blocked - d_starved) * 100, 6) AS x, proc_time_s_mean AS cycle_s, row_number() OVER (PARTITION BY station ORDER BY "window") AS rn FROM scored),

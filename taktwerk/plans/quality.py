@@ -109,7 +109,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (explode_defects, candidate_
 
 _D = "defects AS (SELECT vehicle_id, gate_station, trim(defect_type) AS defect_type, t_s FROM (SELECT vehicle_id, station AS gate_station, unnest(string_split(defect_types, '|')) AS defect_type, t_s FROM inspections WHERE result = 'FAIL') WHERE trim(defect_type) <> '')"
 _W = "profile AS (SELECT station, defect_type, CAST((station * 7 + length(defect_type) * 3) % 5 AS DOUBLE) AS weight FROM stations, (SELECT DISTINCT defect_type FROM defects)), prior AS (SELECT station, defect_type, weight / sum(weight) OVER (PARTITION BY defect_type) AS prior FROM profile WHERE weight > 0)"
-_A = "attributed AS (SELECT d.vehicle_id, d.defect_type, p.station, prior / sum(prior) OVER (PARTITION BY d.rid) AS mass FROM (SELECT *, row_number() OVER () AS rid FROM defects) d JOIN prior p ON p.defect_type = d.defect_type AND p.station < d.gate_station)"
+_A = "attributed AS (SELECT d.vehicle_id, d.defect_type, p.station, prior / sum(prior) OVER (PARTITION BY d.vehicle_id, d.gate_station, d.defect_type) AS mass FROM defects d JOIN prior p ON p.defect_type = d.defect_type AND p.station < d.gate_station)"
 _Y = "pairs AS (SELECT l_returnflag = 'R' AS y, CAST(round(l_discount * 100) AS BIGINT) AS t FROM lineitem)"
 _BINS = "bins AS (SELECT b AS bin, coalesce(n, 0) AS n, mean_p, rate, coalesce(n, 0) >= 20 AS reliable FROM range(5) x(b) LEFT JOIN (SELECT least(4, t // 2) AS bin, count(*) AS n, avg(t) / 10 AS mean_p, avg(y::INT) AS rate FROM pairs GROUP BY 1) d ON d.bin = b)"
 _C = "conf AS (SELECT count_if(t >= 6 AND y)::BIGINT AS tp, count_if(t >= 6 AND NOT y)::BIGINT AS fp, count_if(t < 6 AND y)::BIGINT AS fn, count_if(t < 6 AND NOT y)::BIGINT AS tn FROM pairs)"

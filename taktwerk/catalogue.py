@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import decisions, evaluation, flow, inference, quality
+from taktwerk.plans import decisions, evaluation, flow, inference, quality, risk
 from taktwerk.plans.base import Query
 
-MODULES = (flow, inference, quality, decisions, evaluation)
+MODULES = (flow, inference, quality, decisions, evaluation, risk)
 
 
 def queries() -> dict[str, Query]:

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from taktwerk.llm.common import read_table, ship
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)>|</?([a-zA-Z][^\s/>]*)[^>]*>|([^<]+)|<", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Fixed values of HTML.
@@ -44,10 +45,42 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class _Open:
-    __slots__ = ("tag", "apart", "names")
+    __slots__ = ("tag", "apart", "node")
 
-    def __init__(self, tag: str, apart: bool, names: str):
-        self.tag, self.apart, self.names = tag, apart, names
+    def __init__(self, tag: str, apart: bool, node: int):
+        """``apart``: it or an element around it stands apart; ``node``: its number in the tree of paths."""
+        self.tag, self.apart, self.node = tag, apart, node
+
+
+class Paths:
+    """The tree of root-to-leaf tag paths; equal paths are one node, parents have smaller numbers than their children, 0 is the root."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.depth, self.known = [0], [""], [0], {}
+
+    def child(self, node: int, label: str, tag: str) -> int:
+        if (k := self.known.get((node, label))) is None:
+            k = self.known[node, label] = len(self.parent)
+            self.parent.append(node)
+            self.tag.append(tag)
+            self.depth.append(self.depth[node] + 1)
+        return k
+
+    def upward(self, sums: list[list[float]]) -> list[list[float]]:
+        """What subtrees hold, of what nodes hold: each node is added to its parent after all its children were added to it."""
+        out = [list(x) for x in sums]
+        for k in range(len(out) - 1, 0, -1):
+            above = out[self.parent[k]]
+            for i, x in enumerate(out[k]):
+                above[i] += x
+        return out
+
+    def downward(self, first: Callable[[int], bool]) -> list[bool]:
+        """Whether a node or one above it is a ``first``."""
+        out = [first(0)]
+        for k in range(1, len(self.parent)):
+            out.append(out[self.parent[k]] or first(k))
+        return out
 
 
 def _is_apart(tag: str, names: list[str], inside: list[_Open]) -> bool:
@@ -63,9 +96,10 @@ def _is_apart(tag: str, names: list[str], inside: list[_Open]) -> bool:
     return bool(words & APART_NAMES)
 
 
-def blocks_of(source: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """The blocks of a page in order: (path, text, characters of link text, apart)."""
+def blocks_of(source: str) -> tuple[list[tuple[int, str, int, bool]], Paths]:
+    """The blocks of a page in order: (path, text, characters of link text, apart), and the tree of the paths."""
     stack: list[_Open] = []
+    paths, opened = Paths(), Counter()  # opened: open elements by tag, so that the stack is not searched for what is not there
     out, pieces, links = [], [], 0
     in_link = 0
     at, size = 0, len(source)
@@ -75,43 +109,43 @@ def blocks_of(source: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                path = tuple(o.tag + o.names for o in stack)
-                out.append((path, text, links, any(o.apart for o in stack)))
+                out.append((stack[-1].node, text, links, stack[-1].apart) if stack else (0, text, links, False))
         pieces, links = [], 0
 
     def close(upto: int) -> None:
         flush()
+        opened.subtract(o.tag for o in stack[upto:])
         del stack[upto:]
 
     while at < size:
         m = _TOKEN.match(source, at)
         at = m.end()
-        if (text := m[4]) is not None:
+        if (text := m[5]) is not None:
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
             if in_link:
                 links += len(text)
             continue
-        tag = m[2]
+        tag = m[2] or m[4]
         if tag is None:
             if m[0] == "<":
                 pieces.append("<")
             continue
         tag = tag.lower()
-        if m[1]:
+        if m[1] or m[4] and m[0][1] == "/":
             if tag in INLINE:
                 if tag == "a":
                     in_link = max(0, in_link - 1)
                 if tag == "br":
                     pieces.append(" ")
                 continue
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
                 if stack[i].tag == tag:
                     close(i)
                     in_link = 0
                     break
             continue
-        attributes = m[3]
+        attributes = m[3] or ""
         if tag in INLINE:
             if tag == "br":
                 pieces.append(" ")
@@ -124,7 +158,7 @@ def blocks_of(source: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             at = end.end() if end else size
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if opened["p"] else -1, -1, -1):
                 if stack[i].tag == "p":
                     close(i)
                     in_link = 0
@@ -145,54 +179,53 @@ def blocks_of(source: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         names = [a or b or c for _, a, b, c in _NAMES.findall(attributes)] if attributes else []
         if tag == "body" and any(o.tag == "head" for o in stack):
             close(next(i for i, o in enumerate(stack) if o.tag == "head"))
-        stack.append(_Open(tag, _is_apart(tag, names, stack), "." + ".".join(names) if names else ""))
+        apart = bool(stack) and stack[-1].apart
+        node = paths.child(stack[-1].node if stack else 0, ".".join([tag, *names]), tag)
+        opened[tag] += 1
+        stack.append(_Open(tag, apart or _is_apart(tag, names, stack), node))
     flush()
-    return out
+    return out, paths
 
 
-def content_paths(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> set[tuple[str, ...]]:
+def content_paths(blocks: list[tuple[int, str, int, bool]], tree: Paths) -> set[int]:
     """The paths that hold the article, by their ratios. Blocks that stand apart take no part."""
-    paths: dict[tuple[str, ...], list[float]] = {}
+    size = len(tree.parent)
+    sums = [[0.0, 0.0, 0.0, 0.0] for _ in range(size)]  # characters, punctuation, characters of links, blocks
     for path, text, links, apart in blocks:
         if not apart:
-            p = paths.setdefault(path, [0, 0, 0, 0])
+            p = sums[path]
             p[0] += len(text)
             p[1] += len(_PUNCTUATION.findall(text))
             p[2] += min(links, len(text))
             p[3] += 1
+    paths = [k for k in range(size) if sums[k][3]]
     if not paths:
         return set()
     # Ratios of a subtree, so that a heading shares in what stands under the same parent.
-    trees: dict[tuple[str, ...], list[float]] = {}
-    for path, sums in paths.items():
-        for depth in range(len(path) + 1):
-            t = trees.setdefault(path[:depth], [0, 0, 0, 0])
-            for i in range(4):
-                t[i] += sums[i]
+    trees = tree.upward(sums)
 
     def score(s: list[float]) -> float:
         free = 1 - s[2] / s[0]
         return (s[0] / s[3]) * free * free * (1 + s[1] / s[3])
 
-    own = {p: score(s) for p, s in paths.items()}
-    smooth = {p: 0.5 * own[p] + 0.5 * score(trees[p[:-1]]) for p in own}
     # A subtree's share of all text makes the main container outweigh small ones of equal ratio.
-    total = sum(s[0] for s in paths.values())
-    fused = {p: smooth[p] * (trees[p[:-1]][0] / total) for p in own}
+    total = trees[0][0]
+    around = {p: trees[tree.parent[p]] for p in paths}
+    fused = {p: (0.5 * score(sums[p]) + 0.5 * score(around[p])) * (around[p][0] / total) for p in paths}
     best = max(fused.values())
     good = {p for p, f in fused.items() if f >= THRESHOLD * best}
     # Lists, quotations, tables and code have small parents of their own: the article's are told by the container, not by their own ratios.
-    above = sum(paths[p][0] for p in good)
-    held: dict[tuple[str, ...], float] = {}
-    for p in good:
-        for depth in range(len(p)):
-            held[p[:depth]] = held.get(p[:depth], 0) + paths[p][0]
-    container = max((c for c, n in held.items() if n >= HELD * above), key=len, default=())
-    good |= {p for p in paths if p[: len(container)] == container and paths[p][2] <= 0.5 * paths[p][0]}
-    main = [p for p in paths if any(x.split(".")[0] in ("article", "main") for x in p)]
-    if main and 2 * sum(paths[p][0] for p in main) >= total:
+    held = tree.upward([[sums[k][0] if k in good else 0.0] for k in range(size)])
+    above = held[0][0]
+    inner = [held[k][0] - (sums[k][0] if k in good else 0.0) for k in range(size)]  # a path is not its own container
+    container = max((k for k in range(size) if inner[k] >= HELD * above), key=lambda k: tree.depth[k], default=0)
+    inside = tree.downward(lambda k: k == container)
+    good |= {p for p in paths if inside[p] and sums[p][2] <= 0.5 * sums[p][0]}
+    named = tree.downward(lambda k: tree.tag[k] in ("article", "main"))
+    main = [p for p in paths if named[p]]
+    if main and 2 * sum(sums[p][0] for p in main) >= total:
         # A page that names its article: what stands in it and is not mostly links is content.
-        good = {p for p in main if paths[p][2] <= 0.5 * paths[p][0]}
+        good = {p for p in main if sums[p][2] <= 0.5 * sums[p][0]}
     return good
 
 
@@ -204,8 +237,8 @@ def extract_text(source: str | None) -> str:
     """
     if not source:
         return ""
-    blocks = blocks_of(source)
-    good = content_paths(blocks)
+    blocks, tree = blocks_of(source)
+    good = content_paths(blocks, tree)
     return "\n\n".join(text for path, text, _, apart in blocks if not apart and path in good)
 
 

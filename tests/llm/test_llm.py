@@ -325,3 +325,42 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 7), (200, 201), (203, 201), (5, 5)]
     out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "t")).collect()}
     assert all(out[i] == 0 for i in [*range(61), 100]) and {out[i] for i in (200, 201, 203)} == {200}
+
+
+def test_html_broken_markup_and_depth():
+    got = [html_text.extract_text(x) for x in ('<p title="unclosed>Body.</p>', '<p data-x=5">Body</p>', '<p title="a > b">T</p>')]
+    assert got == ["Body.", "Body", "T"]
+    assert len(html_text.extract_text("".join(f"<div class=c{i}>w{i}." for i in range(4000)))) > 0
+
+
+def test_extract_pages(spark):
+    page = "<body><article><h1>T</h1><p>One &amp; two.</p></article><footer>f</footer></body>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (None, "u", "<p>a</p>", None)]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert Counter(map(tuple, got.collect())) == Counter([(1, "u", "T\n\nOne & two.", 13)] * 2 + [(2, None, "", 0), (3, "u", "", 0), (None, "u", "a", 1)])
+    assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_ngram_join_in_parts(spark, docs, monkeypatch):
+    """Cells and clusters that are dealt out in parts give the same components."""
+    rng = random.Random(3)
+    base = [f"v{i}" for i in range(60)]
+    texts = []
+    for k in range(70):  # chains of near copies: neighbours link, the ends do not
+        base[rng.randrange(60)] = f"n{k}"
+        texts.append(" ".join(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    run = lambda: {r.doc_id: r.component_id for r in ngram_join.near_components(df, common.Scratch(spark, "t"), n=3, num=80, den=100).collect()}
+    whole = run()
+    assert 1 < len(set(whole.values())) < 70 or len(set(whole.values())) == 1
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "CLUSTER_ROWS", 6)
+    monkeypatch.setattr(ngram_join, "ANCHORS", 1)
+    assert run() == whole
+    _, links = brute_links(texts, 3, 80, 100)
+    label = list(range(70))
+    for _ in label:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert [whole[i] for i in range(70)] == label

@@ -1,13 +1,24 @@
-"""Cutting a plan where several later steps start from it."""
+"""Cutting of shared plans: an intermediate table that several plans start from is computed once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the folder of spark.checkpoint.dir, which executors share (one of our own where it is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local run uses its own; a cluster must name one, as a local folder is another on each machine."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "/tmp/checkpoints"
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("/tmp/checkpoints")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder; its lineage ends there, so a lost executor costs only the reading."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -68,12 +68,14 @@ def mix(df: DataFrame, *, size: Column, key: Column, scratch: Scratch, cap: int
     with which the last pass decides each row where it stands; documents are never shuffled.
 
     Null sources are one source, the last. Null or empty texts have size 0 and give nothing. Rows equal in id and
-    key share the words that they give. An empty table gives an empty result.
+    key share the words that they give. An empty table gives an empty result. Input columns of the names that are added
+    here are replaced; others pass through.
     """
     k, v, b, s, n, e, rest, before = (own(x) for x in ("key", "words", "bucket", "source", "rows", "epochs", "rest", "before"))
-    rows = df.withColumns({v: size, k: key})
-    ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    keyed = scratch.store(rows.select(F.col("source").alias(s), ids.alias("doc_id"), v, k), "keys")
+    record, src, ids = own("record"), own("src"), own("id")  # the columns travel as one, so that none can meet those added here
+    kept = [c for c in df.columns if c not in ("words", "source_size", "target", "epochs", "extra")]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias(record), F.col("source").alias(src), F.coalesce("doc_id", F.lit(-(1 << 63))).alias(ids), size.alias(v), key.alias(k))
+    keyed = scratch.store(rows.select(F.col(src).alias(s), F.col(ids).alias("doc_id"), v, k), "keys")
     sizes = keyed.groupBy(s).agg(F.sum(v).alias("source_size"), F.count(F.lit(1)).alias(n))
     plan = targets(sizes.select(F.col(s).alias("source"), "source_size"), cap=cap)
     plan = plan.join(sizes.select(s, n), F.col("source").eqNullSafe(F.col(s))).drop("source")
@@ -95,11 +97,11 @@ def mix(df: DataFrame, *, size: Column, key: Column, scratch: Scratch, cap: int
     taken = equal.withColumn(own("left"), F.col(rest) - F.col(before) - upto).where(F.col(own("left")) > 0)
     last = taken.groupBy(s).agg(F.max(F.struct(k, "doc_id", F.col(v).alias("sum"), F.col(own("left")).alias("left"))).alias(own("last")))
     limits = scratch.store(plan.join(last.select(F.col(s).alias(own("s")), own("last")), same, "left").drop(own("s")), "limits")
-    out = rows.join(limits, F.col("source").eqNullSafe(F.col(s)))
-    here, end, at = F.struct(F.col(k).alias(k), ids.alias("doc_id")), F.col(own("last")), F.col(f"{own('last')}.left")
+    out = rows.join(limits, F.col(src).eqNullSafe(F.col(s)))
+    here, end, at = F.struct(F.col(k).alias(k), F.col(ids).alias("doc_id")), F.col(own("last")), F.col(f"{own('last')}.left")
     limit = F.struct(end[k].alias(k), end["doc_id"].alias("doc_id"))
     extra = F.when((F.col(rest) <= 0) | end.isNull(), 0).when(here < limit, F.col(v)).when(here == limit, F.least(F.col(v), F.floor(F.col(v) * at / end["sum"]))).otherwise(0)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(v).alias("words"), "source_size", "target", F.col(e).alias("epochs"), extra.cast("long").alias("extra"))
+    return out.select(*[F.col(f"{record}.`{c}`").alias(c) for c in kept], F.col(v).alias("words"), "source_size", "target", F.col(e).alias("epochs"), extra.cast("long").alias("extra"))
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:

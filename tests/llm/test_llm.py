@@ -152,7 +152,7 @@ def test_chat(spark):
 
 def test_mixing(spark, docs, empty, rows):
     text = F.col("text")
-    mixed = lambda d: mixing.mix(d.select("doc_id", "source", "text"), size=common.n_words(text), key=mixing.exponential_key(F.col("doc_id"), text), scratch=common.Scratch(spark, "t"))
+    mixed = lambda d: mixing.mix(d, size=common.n_words(text), key=mixing.exponential_key(F.col("doc_id"), text), scratch=common.Scratch(spark, "t"))
     out = mixed(docs).toPandas()
     assert len(out) == len(rows) and mixed(empty).count() == 0
     out["taken"] = out["epochs"] * out["words"] + out["extra"]
@@ -364,3 +364,38 @@ def test_ngram_join_in_parts(spark, docs, monkeypatch):
         for i, j in links:
             label[i] = label[j] = min(label[i], label[j])
     assert [whole[i] for i in range(70)] == label
+
+
+def test_op5_targets_by_filling(spark):
+    """The query's targets against a plain filling: shares by weight, sources over three times their size stop, the excess goes to the others."""
+    got = mixing.op5_mixing(spark, "/root/testdata/sf0.001").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "text").toPandas()
+    docs["size"] = docs["text"].map(n_words)
+    sizes = docs.groupby("source", dropna=False)["size"].sum()
+    names = sorted((x for x in sizes.index if isinstance(x, str)), key=lambda x: [ord(c) for c in x]) + [x for x in sizes.index if not isinstance(x, str)]
+    weight = {x: i % 3 + 1 for i, x in enumerate(names)}
+    target, free, left = {}, list(names), float(sizes.sum())
+    while free:
+        level = left / sum(weight[x] for x in free)
+        over = [x for x in free if level * weight[x] > 3 * sizes[x]]
+        if not over:
+            target |= {x: level * weight[x] for x in free}
+            break
+        target |= {x: 3.0 * sizes[x] for x in over}
+        left -= sum(target[x] for x in over)
+        free = [x for x in free if x not in over]
+    d = docs.merge(got, on="doc_id", suffixes=("", "_got"))
+    assert len(d) == len(docs) and (d["size"] == d["size_got"]).all()
+    assert all(r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] for r in d.itertuples())
+    taken = d.groupby("source")["taken"].sum()
+    assert all(abs(taken[x] - target[x]) <= 1 for x in names if isinstance(x, str)) and (d["taken"] <= 3 * d["size"]).all()
+
+
+def test_op1_query(spark):
+    got = sharding.op1_sharding(spark, "/root/testdata/sf0.001").toPandas()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    assert len(got) == len(texts) and set(got["law"]) == {"rows"}
+    assert all(r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) for r in got.itertuples())
+    counts = got.groupby("shard")["slot"].agg(["count", "min", "max"])
+    assert set(counts.index) == set(range(8)) and counts["count"].max() - counts["count"].min() <= 1
+    assert (counts["min"] == 0).all() and (counts["max"] == counts["count"] - 1).all() and not got.duplicated(["shard", "slot"]).any()

@@ -63,7 +63,10 @@ def takt_deviation(windows: DataFrame, takt_s: float, digits: int = 9) -> tuple[
     """(scored windows, station centres): blocked and starved shares of the takt less their station's median, rounded before any test."""
     frac = {c: F.col(f"{c}_s_mean") / takt_s for c in ("blocked", "starved")}
     w = windows.withColumns({f"{c}_frac": v for c, v in frac.items()})
-    centers = exact_medians(w, ["station"], "blocked_frac", "blocked_center").drop("n").join(exact_medians(w, ["station"], "starved_frac", "starved_center").drop("n"), "station")
+    # Both channels in one pass.
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"{c}_frac").alias("v")) for c in frac])).alias("x")
+    medians = exact_medians(w.select("station", each).select("station", "x.c", "x.v"), ["station", "c"], "v", "m")
+    centers = medians.groupBy("station").agg(*[F.max(F.when(F.col("c") == c, F.col("m"))).alias(f"{c}_center") for c in frac])
     d = {f"d_{c}": F.round(F.col(f"{c}_frac") - F.col(f"{c}_center"), digits) for c in frac}
     return w.join(F.broadcast(centers), "station").withColumns(d), centers
 

@@ -69,10 +69,17 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count}-{name}"
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
+        """``df`` as written. With ``buckets`` (number, column) it is a bucketed table: a join or co-group by the column does not shuffle it."""
         path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        if buckets is None:
+            df.write.parquet(path)
+            out = self.spark.read.schema(df.schema).parquet(path)
+        else:
+            table = f"tw_{uuid.uuid4().hex}"
+            df.write.bucketBy(*buckets).sortBy(buckets[1]).option("path", path).saveAsTable(table, format="parquet")
+            out = self.spark.table(table)
+            out._tw_table = table  # type: ignore[attr-defined]
         out._tw_path = path  # type: ignore[attr-defined]
         return out
 
@@ -88,6 +95,8 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
+            if table := getattr(t, "_tw_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             if path := getattr(t, "_tw_path", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)

@@ -24,8 +24,8 @@ from pyspark.sql.types import StructType
 
 from taktwerk.llm.common import Scratch, n_words, own, read_table, ship, text_or_empty
 
-#: Bytes of text for a shard of the model; rounds of scoring: each deals out the model and the n-grams of a part of the documents, and its shuffle files go before the next.
-SHARD_BYTES, LEAST_SHARDS, ROUNDS = 12_000_000, 12, 4
+#: Bytes of text for a shard of the model; rounds of scoring: each deals out the n-grams of a part of the documents, and its shuffle files go before the next.
+SHARD_BYTES, LEAST_SHARDS, ROUNDS = 24_000_000, 12, 4
 #: Words seen this often in the trusted documents are tokens of their own; others count as their shape.
 VOCABULARY_COUNT = 3
 #: The threshold lies midway between these quantiles of trusted and of rejected labelled documents.
@@ -35,6 +35,10 @@ PRIOR_WORDS = 20
 
 #: Tokens whose n-grams go to the shards together.
 CHUNK_TOKENS = 1_000_000
+#: Bits that tell which documents may be trusted: 4 MiB in all. Beyond some ten million trusted documents more of the others pass; the join that follows is exact.
+ID_BITS = 1 << 25
+#: A shard's sum for a document comes back in whole parts of 1 / UNIT: shorter than doubles, and equal in whatever order shards answer.
+UNIT = 1 << 30
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _RUN = re.compile(r"([Xx9])\1+")
@@ -62,20 +66,20 @@ def shape_of(word: str) -> str:
 
 
 class Tokens:
-    """Token numbers of texts: places in the sorted ids of vocabulary words and of shapes of others; what training never saw has the number after the last.
+    """Token numbers of texts: ranks by frequency of vocabulary words and of shapes of others, so that most numbers are small and n-grams compress well; what training never saw has the number after the last.
 
     A word that repeats the one before it has that number too: training leaves repeats out, so the model falls back to lower orders after it."""
 
     START = _token_id("\0start")
 
-    def __init__(self, names: np.ndarray, frequent: np.ndarray, keep: int = 200_000):
-        """``names``: sorted ids of all tokens; ``frequent``: whether each is a vocabulary word."""
-        self.names, self.frequent, self.keep, self.known, self.shapes = names, frequent, keep, {}, {}
+    def __init__(self, names: np.ndarray, frequent: np.ndarray, number: np.ndarray, keep: int = 200_000):
+        """``names``: sorted ids of all tokens; ``frequent``: whether each is a vocabulary word; ``number``: its token number."""
+        self.names, self.frequent, self.number, self.keep, self.known, self.shapes = names, frequent, number, keep, {}, {}
         self.start = self._place(self.START)
 
     def _place(self, token: int) -> int:
         at = int(np.searchsorted(self.names, np.uint64(token)))
-        return at if at < len(self.names) and self.names[at] == token else len(self.names)
+        return int(self.number[at]) if at < len(self.names) and self.names[at] == token else len(self.names)
 
     def _learn(self, words: list[str]) -> None:
         if len(self.known) > self.keep:
@@ -83,7 +87,7 @@ class Tokens:
         ids = np.array([_token_id(w) for w in words], np.uint64)
         at = np.minimum(np.searchsorted(self.names, ids), len(self.names) - 1)
         own = (self.names[at] == ids) & self.frequent[at]
-        for w, i, vocabulary in zip(words, at.tolist(), own.tolist(), strict=True):
+        for w, i, vocabulary in zip(words, self.number[at].tolist(), own.tolist(), strict=True):
             if not vocabulary:
                 shape = shape_of(w)
                 i = self.shapes.get(shape)
@@ -187,10 +191,11 @@ def _back(sums: list[np.ndarray], d: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """What every task knows of single tokens: ids, which are vocabulary, probability, back-off weight and the sum of the pairs that they begin; these have a last place for what is unknown."""
+    """What every task knows of single tokens: by sorted id, which are vocabulary and their numbers; by number, probability, back-off weight and the sum of the pairs that they begin. These have a last place for what is unknown."""
 
     names: np.ndarray
     frequent: np.ndarray
+    number: np.ndarray
     p: np.ndarray | None = None
     back: np.ndarray | None = None
     total: np.ndarray | None = None
@@ -198,7 +203,7 @@ class Words:
 
 @dataclass
 class Model:
-    """``words`` for all tasks; ``stored`` (shard, what, data) of the counts of pairs and trigrams; discounts of both, ``start`` -ln of the back-off weight of the two start marks."""
+    """``words`` for all tasks; ``stored`` (shard, what, data) of the counts of pairs and trigrams, in buckets by shard so that a round's questions come to it and it stays where it is; discounts of both, ``start`` -ln of the back-off weight of the two start marks."""
 
     words: Words
     stored: DataFrame
@@ -225,13 +230,24 @@ def _abc(held: list[np.ndarray]) -> list[np.ndarray]:
     return [np.concatenate([x[k : len(x) - 2 + k] for x in held]) for k in range(3)]
 
 
+def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``ids``, so that a join does not move the texts of others. Told by ID_BITS bits, broadcast as bitmaps of 4 KiB at most."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    maps = ids.groupBy(F.bitmap_bucket_number(bit).alias(own("bucket"))).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(own("bits")))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(own("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.withColumn(own("bucket"), F.bitmap_bucket_number(bit)).join(F.broadcast(maps), own("bucket"))
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop(own("bucket"), own("bits"))
+
+
 def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Model | None:
     """The model of all ``trusted`` documents; None if they have no word."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, size // SHARD_BYTES)
-    chosen = docs.where(F.col("text").isNotNull()).join(trusted.select("doc_id").distinct(), "doc_id").select("text")
-    chosen = scratch.store(chosen, "trusted")
+    ids = scratch.store(trusted.select("doc_id").distinct(), "trusted-ids")
+    chosen = scratch.store(_perhaps(docs.where(F.col("text").isNotNull()), ids).join(ids, "doc_id").select("text"), "trusted")
+    scratch.drop(ids)
     scratch.release()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,25 +259,29 @@ def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Model | None
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            often = [n >= VOCABULARY_COUNT for n in batch.column(1).to_pylist()]
-            ids = {(_token_id(w if o else shape_of(w)), o) for w, o in zip(batch.column(0).to_pylist(), often, strict=True)}
-            names = np.array([i for i, _ in ids], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([o for _, o in ids], pa.bool_())], names=["id", "often"])
+            times: Counter[tuple[int, bool]] = Counter()
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                often = n >= VOCABULARY_COUNT
+                times[_token_id(w if often else shape_of(w)), often] += n
+            names = np.array([i for i, _ in times], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([o for _, o in times], pa.bool_()), pa.array(list(times.values()), pa.int64())], names=["id", "often", "n"])
 
     words = chosen.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    table = words.mapInArrow(named, "id long, often boolean").groupBy("id").agg(F.max("often").alias("often")).toArrow()
+    table = words.mapInArrow(named, "id long, often boolean, n long").groupBy("id").agg(F.max("often").alias("often"), F.sum("n").alias("n")).toArrow()
     del words  # its shuffle files can go
     if not table.num_rows:
         return None
     names = np.append(table["id"].to_numpy().view(np.uint64), np.uint64(Tokens.START))
     often = np.append(table["often"].to_numpy(zero_copy_only=False), False)
-    order = np.argsort(names)
-    known = Words(names[order], often[order])
+    by_id, by_count = np.argsort(names), np.lexsort((names, -np.append(table["n"].to_numpy(), 0)))
+    number = np.empty(len(names), np.int32)
+    number[by_count] = np.arange(len(names))
+    known = Words(names[by_id], often[by_id], number[by_id])
     v = len(names) + 1
     shared = spark.sparkContext.broadcast(known)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value.names, shared.value.frequent)
+        tokens = Tokens(shared.value.names, shared.value.frequent, shared.value.number)
         for batch in batches:
             for _, held in _chunks(batch.column(0).to_pylist(), tokens, True):
                 a, b, c = _abc(held)
@@ -305,7 +325,7 @@ def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Model | None
         backs = _unpacked([x for w, x in zip(what, data, strict=True) if w == "backs"], 5)
         return rows_of([(k, "triples", _pack(*part)), (k, "pairs", _pack(part[0][at], n)), (k, "backs", _pack(*backs)), (-1, "times", np.array(_times(n)).tobytes())])
 
-    model = scratch.store(triples.where("shard >= 0").groupBy("shard").applyInArrow(by_last, shard_schema), "model")
+    model = scratch.store(triples.where("shard >= 0").groupBy("shard").applyInArrow(by_last, shard_schema), "model", buckets=(shards, "shard"))
     triple_cut, pair_cut = _discounts(times(triples)), _discounts(times(model))
     scratch.drop(triples)
     scratch.release()
@@ -332,7 +352,7 @@ def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Model | None
     known.back, known.total = np.ones(v), np.ones(v)
     known.total[token[first]] = sums[0][first]
     known.back[token[first]] = _back([x[first] for x in sums], pair_cut)
-    begin = int(np.searchsorted(known.names, np.uint64(Tokens.START))) * (v + 1)
+    begin = int(known.number[np.searchsorted(known.names, np.uint64(Tokens.START))]) * (v + 1)
     backs = _unpacked([r[0] for r in model.where((F.col("what") == "backs") & (F.col("shard") == int(_shard(np.array([begin]), shards)[0]))).select("data").collect()], 5)
     start = -float(np.log(_back([x[backs[0] == begin] for x in backs[1:]], triple_cut)[0]))
     return Model(known, model, shards, pair_cut, triple_cut, start)
@@ -354,7 +374,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], scratch: Scratch) -
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        tokens, p, back = Tokens(w.names, w.frequent), np.log(w.p), np.log(w.back)
+        tokens, p, back = Tokens(w.names, w.frequent, w.number), np.log(w.p), np.log(w.back)
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for first, held in _chunks(batch.column(n_cols).to_pylist(), tokens, False):
@@ -423,17 +443,17 @@ def score(docs: DataFrame, model: Model, columns: list[str], scratch: Scratch) -
             if use.any():
                 sums = np.bincount(doc[use] // 2, add[use])
                 some = np.nonzero(sums)[0]
-                chunks.append(chunk), data.append(_pack(some, sums[some].view(np.int64))), heads.append(None)
+                chunks.append(chunk), data.append(_pack(some, np.rint(sums[some] * UNIT).astype(np.int64))), heads.append(None)
         return pa.table([pa.array(chunks, pa.int64()), pa.array(data, pa.binary()), pa.array(heads, pa.binary())], names=["chunk", "data", "heads"])
 
     def summed(t: pa.Table) -> pa.Table:
         heads = pa.ipc.open_stream(next(x for x in t["heads"].to_pylist() if x is not None)).read_all()
-        total = heads["surprise"].to_numpy().copy()
+        total = np.zeros(heads.num_rows, np.int64)
         for blob in t["data"].to_pylist():
             if blob is not None:
                 some, add = _unpack(blob, 2)
-                total[some] -= add.view(np.float64)
-        return heads.set_column(n_cols + 1, "surprise", pa.array(total))
+                total[some] += add
+        return heads.set_column(n_cols + 1, "surprise", pa.array(heads["surprise"].to_numpy() - total / UNIT))
 
     whole = docs.select(*columns, text_or_empty(F.col("text")).alias(own("text")))
     deal = F.pmod(F.xxhash64(*columns, own("text")), F.lit(ROUNDS))

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from taktwerk.llm.common import Scratch, own, read_table, ship, text_or_empty
 from taktwerk.llm.graph import components
 
-#: Groups of the count vectors that cells are joined by, and of those that whole sets are; size ratio of a band.
-GROUPS, FINE_GROUPS, BAND = 64, 256, 1.5
+#: Groups of the count vectors that cells are joined by, of those that whole sets are, and of those that split clusters too large for one group; size ratio of a band.
+GROUPS, FINE_GROUPS, FINEST_GROUPS, BAND = 64, 256, 1024, 1.5
 #: Blocks beyond those that can differ: this share of them, but SPARE at least.
 SPARE, SPARE_SHARE = 2, 0.25
 #: Points of a leaf; members of a cell, and documents and bytes of a cluster, that one task takes at most (larger ones are dealt out as pairs of parts).
@@ -288,7 +288,7 @@ def _dealt(df: DataFrame, chunks: str, chunk: str) -> DataFrame:
 def _clusters(members: DataFrame, sized: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
     """(node, component): nodes joined by a chain of pairs that share a cell and whose bound reaches the threshold."""
     # Cells with the same members are joined once.
-    spans = members.groupBy("cell").agg(F.count(F.lit(1)).alias("held"), F.bit_xor(F.xxhash64("node")).alias("sign")).groupBy("sign", "held").agg(F.min("cell").alias("cell"))
+    spans = members.groupBy("cell").agg(F.count(F.lit(1)).alias("held"), F.bit_xor(F.xxhash64("node")).alias("sign")).where("held > 1").groupBy("sign", "held").agg(F.min("cell").alias("cell"))
     rows = members.join(spans.select("cell", F.ceil(F.col("held") / CELL_ROWS).cast("int").alias("chunks")), "cell").join(sized, "node")
     dealt = _dealt(rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")), "chunks", "chunk").select("cell", "i", "j", "chunk", "node", "n", "counts")
 
@@ -323,8 +323,8 @@ def _clusters(members: DataFrame, sized: DataFrame, bands: Bands, scratch: Scrat
     return components(pairs, scratch)
 
 
-def _with_sets(need: DataFrame, docs: DataFrame, n: int, columns: list[str]) -> DataFrame:
-    """``columns`` of (node, rep, ...) with the whole set ``held`` of each node, made again from the text of one document."""
+def _with_sets(need: DataFrame, docs: DataFrame, n: int, columns: list[str], blob: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
+    """``columns`` of (node, rep, ...) with the whole set ``held`` of each node (or what ``blob`` makes of it), made again from the text of one document."""
     k = len(columns)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def _with_sets(need: DataFrame, docs: DataFrame, n: int, columns: list[str]) ->
                 s = shingle_set(text, n)
                 keep.append(len(s) > 0 and signature(s) == name)
                 if keep[-1]:
-                    held.append(s.tobytes())
+                    held.append(blob(s))
             kept = pa.RecordBatch.from_arrays(batch.columns[:k], names=columns).filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(held, pa.binary())], names=[*columns, "held"])
 
@@ -408,6 +408,23 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands
     return comp
 
 
+def _split(clusters: DataFrame, members: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands: Bands, scratch: Scratch) -> DataFrame:
+    """``clusters`` with those that are too large for one group joined anew by their cells, on points of more groups: on few groups the bounds of any two
+    long sets reach the threshold, so that unlike ones end in one cluster. No link is lost, as the new bounds hold as well."""
+    need = nodes.join(clusters, "node").select("node", "rep", "n", "component")
+    large = need.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).where(_parts("rows", "weight") > 1).select("component")
+    wide = scratch.store(need.join(large, "component").select("node", "rep", "n"), "wide")
+    if wide.isEmpty():
+        scratch.drop(wide)
+        return clusters
+    points = _with_sets(wide, docs, n, ["node", "n"], lambda s: count_vector(s, FINEST_GROUPS).tobytes())
+    points = scratch.store(points.groupBy("node", "n").agg(F.first("held").alias("counts")), "points")
+    finer = _clusters(members.join(wide.select("node"), "node"), points, bands, scratch)
+    out = scratch.store(clusters.join(wide.select("node"), "node", "left_anti").select("node", "component").unionByName(finer.select("node", "component")), "clusters")
+    scratch.drop(wide, points)
+    return out
+
+
 def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, mark, component) of each row of (doc_id, text): sets link when den * intersection >= num * union.
 
@@ -428,6 +445,7 @@ def near_components(docs: DataFrame, scratch: Scratch, *, n: int = 3, num: int =
     del cells
     scratch.release()
     clusters = _clusters(members, nodes.select("node", "n", "counts"), bands, scratch)
+    clusters = _split(clusters, members, nodes, docs, n, bands, scratch)
     scratch.drop(members)
     scratch.release()
     final = _links(clusters, nodes, docs, n, bands, scratch).toDF("node", "comp")

@@ -1 +1 @@
-"""Training-data operators: ten corpus transforms over the tables documents, pages, embeddings and conversations."""
+"""Training-data operators: thirteen corpus transforms over the tables documents, pages, embeddings and conversations."""

@@ -34,7 +34,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 12_000
 WINDOW = 5
 BUCKET_BITS, DIM, SHORTEST, LONGEST = 18, 12, 3, 6
 STEPS, BATCH, RATE, SHRINK = 900, 64, 1.0, 1e-4
-#: The share of words that training meets with a slip, and the slips of each word that it knows.
+#: The share of texts that training meets with a slip in every word (else a passage without one would be the worst), and the slips of each word that it knows.
 MISSPELT, SLIPS = 0.3, 3
 #: A longer run without a break is cut, so that a text without spaces has passages too.
 WORD_CHARS = 40
@@ -131,7 +131,7 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def train(texts: list[str], toxic: np.ndarray, toxic_share: float, *, seed: int = 12, steps: int = STEPS) -> Model:
     """Embeddings and softmax from labelled texts of both classes, by Adagrad steps on batches of half of either class.
 
-    Batches are balanced; the bias is moved to ``toxic_share`` at the end. Each step, some words of either class are met with a slip.
+    Batches are balanced; the bias is moved to ``toxic_share`` at the end. Each step, some texts of either class are met with slips.
     """
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
@@ -157,7 +157,7 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float, *, seed: int
     for step in range(steps):
         rate = RATE * (1 - step / steps)
         picked = [int(i) for k in (0, 1) for i in rng.choice(classes[k], BATCH // 2)]
-        bags = [docs[i] + len(vocabulary) * (rng.integers(1, SLIPS + 1, len(docs[i])) * (rng.random(len(docs[i])) < MISSPELT)) for i in picked]
+        bags = [docs[i] + len(vocabulary) * (rng.integers(1, SLIPS + 1, len(docs[i])) if rng.random() < MISSPELT else 0) for i in picked]
         here, back = np.unique(np.concatenate(bags), return_inverse=True)
         direction = weights[:, 1] - weights[:, 0]
         grams, sizes = grams_of(here)

@@ -174,7 +174,7 @@ def test_toxicity_of_unseen_misspellings(model):
     score = toxicity.scorer(model)
     met = score([f"lora neti {w} su" for w in ("idiiot", "idiott", "moronn", "morron", "pathettic", "patetic", "wortless", "worthlesss")])
     clean = score(["lora neti su", "ka lo neti ti", "lora neti latisu su", "lora neti zuzu su"])
-    assert min(met) > 10 * max(clean) and sum(m >= 0.5 for m in met) >= 4, (met, clean)
+    assert min(met) > 50 * max(clean), (met, clean)
 
 
 def test_toxicity_learns_from_no_held_out_label(tables, spark):

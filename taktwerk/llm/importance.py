@@ -49,30 +49,35 @@ class Trie:
         self.crc = [0]
         self.value: list[float] = [0]
 
-    def child(self, node: int, word: str, value: Callable[[int], float]) -> int:
-        """The node of a run's continuation; a new one gets its CRC from its parent's and its first value from ``value``."""
+    def grow(self, node: int, word: str, value: Callable[[int], float]) -> int:
+        """A new node for a run's continuation: its CRC goes on from its parent's, its first value comes from ``value``."""
         below = self.children[node]
         if below is None:
             below = self.children[node] = {}
-        found = below.get(word)
-        if found is None:
-            found = below[word] = len(self.crc)
-            crc = zlib.crc32((" " + word if node else word).encode(), self.crc[node])
-            self.children.append(None)
-            self.crc.append(crc)
-            self.value.append(value(crc))
-        return found
+        new = below[word] = len(self.crc)
+        crc = zlib.crc32((" " + word if node else word).encode(), self.crc[node])
+        self.children.append(None)
+        self.crc.append(crc)
+        self.value.append(value(crc))
+        return new
 
     def __len__(self) -> int:
         return len(self.crc)
 
-    def walk(self, words: list[str], longest: int, value: Callable[[int], float]) -> Iterator[int]:
+    def walk(self, words: list[str], longest: int, value: Callable[[int], float]) -> list[int]:
         """The node of every run of ``words``, each as often as it occurs."""
-        for i in range(len(words)):
-            node = 0
-            for word in words[i : i + longest]:
-                node = self.child(node, word, value)
-                yield node
+        children, first, out = self.children, self.children[0], []
+        for i, word in enumerate(words):
+            node = first.get(word)
+            if node is None:
+                node = self.grow(0, word, value)
+            out.append(node)
+            for later in words[i + 1 : i + longest] if longest > 1 else ():
+                below = children[node]
+                found = below.get(later) if below is not None else None
+                node = self.grow(node, later, value) if found is None else found
+                out.append(node)
+        return out
 
 
 def bucket_totals(texts: DataFrame, *, longest: int = 1, buckets: int = BUCKETS) -> np.ndarray:
@@ -133,11 +138,10 @@ def weigh(docs: DataFrame, gains: np.ndarray, *, longest: int = 1, seed: int = 2
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words, n, weight, values = words_in(text.as_py()), 0, 0, trie.value
-                for node in trie.walk(words, longest, of):
-                    n += 1
-                    weight += values[node]
-                rows.append((doc_id, len(words), n, weight, weight + noise(doc_id, seed)))
+                words = words_in(text.as_py())
+                nodes = trie.walk(words, longest, of)
+                weight = sum(map(trie.value.__getitem__, nodes))
+                rows.append((doc_id, len(words), len(nodes), weight, weight + noise(doc_id, seed)))
                 if len(trie) >= TRIE_NODES:
                     trie = Trie()
             if rows:
@@ -153,6 +157,7 @@ def draw(weighed: DataFrame, scratch: Scratch, *, percent: int = 10, least_words
     The rows are numbers only. They are dealt once by range of (score, id) and written with their part, so that the parts' sizes and the numbers within them speak of the same rows.
     """
     spark = weighed.sparkSession
+    weighed = scratch.store(weighed, "weighed")  # the range is sampled before it is dealt: texts are weighed once
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_first()]
     # Rows that are equal in both are dealt by their place in the input, so that no id, however often it occurs, fills a part.

@@ -35,6 +35,8 @@ SPARE, SPARE_SHARE = 2, 0.25
 LEAF, CELL_ROWS, CLUSTER_ROWS, CLUSTER_BYTES = 64, 4096, 512, 16 << 20
 #: Documents of a dealt-out cluster that all its parts hold, so that the parts' components meet.
 ANCHORS = 16
+#: Mean shingles of a cluster's sets from which points of GROUPS no longer tell unlike sets apart.
+LONG_SET = 512
 #: Cells of a 0/1 matrix by which overlaps are counted together.
 MATRIX = 8_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -409,10 +411,10 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands
 
 
 def _split(clusters: DataFrame, members: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands: Bands, scratch: Scratch) -> DataFrame:
-    """``clusters`` with those that are too large for one group joined anew by their cells, on points of more groups: on few groups the bounds of any two
-    long sets reach the threshold, so that unlike ones end in one cluster. No link is lost, as the new bounds hold as well."""
+    """``clusters`` with those of long sets, and those that are too large for one group, joined anew by their cells, on points of more groups: on few groups the
+    bounds of any two long sets reach the threshold, so that unlike ones end in one cluster. No link is lost, as the new bounds hold as well."""
     need = nodes.join(clusters, "node").select("node", "rep", "n", "component")
-    large = need.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).where(_parts("rows", "weight") > 1).select("component")
+    large = need.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).where((F.col("weight") >= LONG_SET * F.col("rows")) | (_parts("rows", "weight") > 1)).select("component")
     wide = scratch.store(need.join(large, "component").select("node", "rep", "n"), "wide")
     if wide.isEmpty():
         scratch.drop(wide)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import decisions, evaluation, flow, inference, observe, quality, risk
+from taktwerk.plans import decisions, evaluation, flow, inference, methods, observe, quality, risk
 from taktwerk.plans.base import Query
 
-MODULES = (flow, inference, quality, decisions, evaluation, risk, observe)
+MODULES = (flow, inference, quality, decisions, evaluation, risk, observe, methods)
 
 
 def queries() -> dict[str, Query]:

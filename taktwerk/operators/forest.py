@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taktwerk.functions.shipping import ship
+
 EULER = 0.5772156649
 NODES = "tree int, node int, feature int, cut double, path double"
 
@@ -78,6 +80,7 @@ def fit_forest(df: DataFrame, key: str, row: str, features: list[str], spec: For
     ``row`` names a row within its key. Rows with a null or not finite feature take no part. Samples are bounded by ``spec``, so a group that
     grows a tree holds ``spec.sample`` rows whatever the data.
     """
+    ship(df.sparkSession)
     whole = df
     for f in features:
         whole = whole.where(F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(F.col(f)) < float("inf")))
@@ -124,6 +127,7 @@ def anomaly_scores(df: DataFrame, forest: DataFrame, key: str, row: str, feature
     Rows of keys without a forest and rows with a missing feature give none. Rows meet their key's forest in blocks of about ``block`` rows, so a
     key of any size is spread over tasks; a task holds a block and one forest.
     """
+    ship(df.sparkSession)
     whole = df
     for f in features:
         whole = whole.where(F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(F.col(f)) < float("inf")))

@@ -10,18 +10,31 @@ from pyspark.sql import functions as F
 from taktwerk.functions.lineage import shared_dir
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, whether it is one file or a folder of files; ``files`` of them a trigger at most."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def event_stream(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
     """The events table as a stream, with the time of each event as a timestamp."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, f"{sf_dir}/events.parquet", files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that the stream holds now, written by an append sink to the shared folder and read back. Its checkpoint lies beside it, so a restart goes on where it stopped."""
+def new_root(spark: SparkSession, name: str) -> str:
+    """A folder of a stream's own in the shared one: output and checkpoint lie side by side."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_end(stream: DataFrame, root: str) -> DataFrame:
+    """All that the stream holds now, appended below ``root`` and read back. Called again with the same ``root``, it goes on where it stopped."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
@@ -29,6 +42,11 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """``run_to_end`` in a new folder."""
+    return run_to_end(stream, new_root(stream.sparkSession, name))
+
+
 def tumbling(stream: DataFrame, width: str, late: str) -> DataFrame:
     """(start, event_type, n) of windows that the watermark has passed: a window is given once, when no event can change it any more."""
     g = stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -40,6 +58,12 @@ def sliding(stream: DataFrame, width: str, step: str, late: str) -> DataFrame:
     return g.select(F.col("w.start").alias("start"), "n", "first_event")
 
 
+def sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame:
+    """(key, start, end, n) of runs of a key's events less than ``gap`` apart, each given once the watermark has passed its end."""
+    g = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
 def first_seen(stream: DataFrame, late: str) -> DataFrame:
     """Each event id once, however often it is sent within the watermark."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")

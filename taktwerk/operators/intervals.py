@@ -12,6 +12,8 @@ STATE_KINDS = {
 }
 #: Labels of a station at work: known, but no waiting. Fixed values.
 RUNNING = ("running", "run", "execute", "producing", "active", "auto")
+#: Labels of a station that is down: known, and no waiting either. Fixed values.
+FAULT = ("fault", "faulted", "stopped", "aborted", "held", "down", "estop")
 
 
 def state_key(label: Column) -> Column:

@@ -16,18 +16,20 @@ GENESIS = "0" * 64
 
 
 def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a recommendation rests on, of every window: posterior, candidate group, blocking before it and forecast."""
+    """What a recommendation rests on, of every window: posterior, candidate group, blocking before it, the leading candidate's own forecast, and whether it is detected."""
     post = inference.posterior_table(spark, sf_dir)
     group = tidy(inference.L.candidate_group(post))
     top = tidy(inference.L.top_and_runner_up(post)).select("window", "top_prob")
     supply = tidy(post.where(F.col("k") == inference.L.SUPPLY).select("window", F.col("post").alias("p_supply")))
-    forecast = inference.ripple_forecast(spark, sf_dir).select("window", "cycle_s", "binding", "units_lost")
+    cycles = tidy(inference.candidate_cycle(spark, sf_dir, group.select("window", "top_station")), 4)
+    forecast = tidy(inference.forecast(cycles).select("window", "cycle_s", "binding", "units_lost"), 4)
+    found = inference.shadow_of(post).select("window", "detected")
     dev = tidy(flow.scored_table(spark, sf_dir).select("window", "station", "d_blocked"))
     near = spark.createDataFrame([(s, o) for s in range(X.STATIONS) for o in [o for o in range(s) if o != X.BLIND][-3:]], "top_station long, station long")
     before = dev.join(F.broadcast(near), "station").groupBy("window", "top_station").agg(F.max("d_blocked").alias("upstream_blocked"))
-    d = group.join(top, "window").join(supply, "window", "left").join(forecast, "window", "left").join(before, ["window", "top_station"], "left")
+    d = group.join(top, "window").join(supply, "window", "left").join(forecast, "window", "left").join(found, "window", "left").join(before, ["window", "top_station"], "left")
     d = d.withColumns({"p_supply": F.coalesce("p_supply", F.lit(0.0)), "group_size": (F.col("group_hi") - F.col("group_lo") + 1).cast("int"), "confident": F.col("group_prob") >= 0.45})
-    return settled(d.select("window", "top_station", "top_prob", "group_prob", "group_size", "confident", "p_supply", "upstream_blocked", "cycle_s", "binding", "units_lost"))
+    return settled(d.select("window", "top_station", "top_prob", "group_prob", "group_size", "confident", "p_supply", "upstream_blocked", "cycle_s", "binding", "units_lost", F.coalesce("detected", F.lit(False)).alias("detected")))
 
 
 def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +45,8 @@ def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_order_raise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first window that fired for each station that a job names."""
-    d = D.work_orders(_recommended(spark, sf_dir))
+    """The first detected window that fired for each station that a job names."""
+    d = D.work_orders(_recommended(spark, sf_dir).where("detected"))
     return tidy(d.groupBy("top_station").agg(F.min("window").alias("window"), F.min_by("action", "window").alias("action"), F.count(F.lit(1)).alias("n_windows")))
 
 
@@ -54,8 +56,8 @@ def waiting_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycle, forecast, recommendation and job of every window in one row."""
-    rec = settled(D.waiting_cost(_recommended(spark, sf_dir)))
+    """Cycle, forecast, recommendation and job of every detected window in one row."""
+    rec = settled(D.waiting_cost(_recommended(spark, sf_dir).where("detected")))
     jobs = D.work_orders(rec).select("window", "owner", "respond_min")
     return tidy(rec.select("window", "top_station", "cycle_s", "binding", "units_if_deferred", "action", "priority").join(jobs, "window", "left"), 4)
 
@@ -134,14 +136,16 @@ def _of(name: str, module: object) -> str:
     return f"({module.SQL[name]})"  # type: ignore[attr-defined]
 
 
-_ALERTS = f"""SELECT g."window", g.top_station, top_prob, group_prob, group_hi - group_lo + 1 AS group_size, group_prob >= 0.45 AS confident, coalesce(p.post, 0) AS p_supply, cycle_s, binding, units_lost,
+_ALERTS = f"""SELECT g."window", g.top_station, t.top_prob, g.group_prob, group_hi - group_lo + 1 AS group_size, g.group_prob >= 0.45 AS confident, coalesce(p.post, 0) AS p_supply, round(c.cycle_s, 4) AS cycle_s, round(round(c.cycle_s, 4), 9) > 60 AS binding, s.detected,
+  CASE WHEN c.cycle_s IS NOT NULL THEN round(CASE WHEN round(c.cycle_s, 4) > 60 THEN 1 / 60.0::DOUBLE - 1 / round(c.cycle_s, 4) ELSE 0 END * 3600, 4) END AS units_lost,
   (SELECT max(d_blocked) FROM dev WHERE dev."window" = g."window" AND dev.station < g.top_station AND dev.station >= coalesce((SELECT min(station) FROM (SELECT station FROM stations WHERE tier <> 'MANUAL' AND station < g.top_station ORDER BY station DESC LIMIT 3)), 0)) AS upstream_blocked
-  FROM {_of("candidate_group", inference)} g JOIN {_of("top_runner_up", inference)} t ON t."window" = g."window" LEFT JOIN posts p ON p."window" = g."window" AND p.k = -2 LEFT JOIN {_of("ripple_forecast", inference)} f ON f."window" = g."window\""""
+  FROM {_of("candidate_group", inference)} g JOIN {_of("top_runner_up", inference)} t ON t."window" = g."window" LEFT JOIN posts p ON p."window" = g."window" AND p.k = -2 LEFT JOIN own c ON c."window" = g."window" AND c.station = g.top_station JOIN {_of("shadow", inference)} s ON s."window" = g."window\""""
 _RULES = """SELECT *, CASE WHEN head OR supply THEN 'CHECK_INBOUND_MATERIAL' WHEN vague THEN 'ESCALATE_AMBIGUOUS' WHEN idle OR small THEN 'MONITOR' ELSE 'INSPECT_STATION' END AS action,
   CASE WHEN head OR supply THEN 'MEDIUM' WHEN vague OR idle OR small THEN 'LOW' WHEN group_prob >= 0.75 AND coalesce(units_lost, 0) >= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, head OR (NOT supply AND vague) AS abstained,
   CASE WHEN head THEN group_size WHEN supply THEN 0 WHEN vague OR idle OR small THEN group_size ELSE least(group_size, 3) END AS n_targets
   FROM (SELECT *, top_station <= 1 AND coalesce(upstream_blocked, -1) < 0.04 AS head, p_supply >= 0.25 AS supply, NOT confident OR group_prob < 0.45 AS vague, coalesce(NOT binding, false) AS idle, coalesce(units_lost < 1.5, false) AS small FROM alerts)"""
-_BASE = f"""WITH RECURSIVE stations AS MATERIALIZED (SELECT station, tier FROM ({plain("SELECT * FROM stations")})), dev AS MATERIALIZED {_of("takt_deviation", flow)}, posts AS MATERIALIZED {_of("posterior", inference)}, alerts AS MATERIALIZED ({_ALERTS}), recs AS MATERIALIZED ({_RULES}),
+_BASE = f"""WITH RECURSIVE stations AS MATERIALIZED (SELECT station, tier FROM ({plain("SELECT * FROM stations")})), dev AS MATERIALIZED {_of("takt_deviation", flow)}, posts AS MATERIALIZED {_of("posterior", inference)},
+own AS MATERIALIZED (SELECT "window", station, cycle_s FROM ({sql('SELECT "window", station, proc_time_s_mean AS cycle_s FROM wagg')}) UNION ALL SELECT "window", {X.BLIND}, cycle_s FROM ({sql('SELECT "window", cycle_s FROM cycles', inference._GAPS)})), alerts AS MATERIALIZED ({_ALERTS}), recs AS MATERIALIZED ({_RULES}),
 jobs AS (SELECT *, CASE action WHEN 'INSPECT_STATION' THEN 'Maintenance technician (line-side)' WHEN 'CHECK_INBOUND_MATERIAL' THEN 'Material handler / logistics lead' ELSE 'Shift supervisor + process engineer' END AS owner,
   CASE WHEN abstained THEN 240 WHEN priority = 'HIGH' THEN 15 WHEN priority = 'MEDIUM' THEN 60 ELSE 240 END AS respond_min, CASE action WHEN 'INSPECT_STATION' THEN 'condition found' WHEN 'CHECK_INBOUND_MATERIAL' THEN 'material flowing' ELSE 'anything observed' END AS verify FROM recs WHERE action <> 'MONITOR')
 """
@@ -152,9 +156,9 @@ _CHAIN = f"""hashed AS (SELECT chain, entry_id, rn, '{GENESIS}' AS prev_hash, sh
 SQL: dict[str, str] = {
     "recommendation": _BASE + f"""SELECT "window", {i('top_station')} AS top_station, action, priority, abstained, {i('n_targets')} AS n_targets, CASE WHEN abstained THEN CASE WHEN action = 'ESCALATE_AMBIGUOUS' THEN 'ESCALATE' ELSE 'ABSTAIN' END WHEN action = 'MONITOR' THEN 'WATCH' ELSE 'INVESTIGATE' END AS taxonomy FROM recs""",
     "work_orders": _BASE + f"""SELECT "window", action, owner, {i('respond_min')} AS respond_min, {i('2 * respond_min')} AS escalate_min, CASE WHEN priority = 'HIGH' THEN 'Process engineer' ELSE 'Shift supervisor' END AS escalate_to, verify FROM jobs""",
-    "work_order_raise": _BASE + f"""SELECT {i('top_station')} AS top_station, min("window") AS "window", arg_min(action, "window") AS action, count(*) AS n_windows FROM jobs GROUP BY top_station""",
+    "work_order_raise": _BASE + f"""SELECT {i('top_station')} AS top_station, min("window") AS "window", arg_min(action, "window") AS action, count(*) AS n_windows FROM jobs WHERE detected GROUP BY top_station""",
     "waiting_cost": f"""SELECT "window", binding, units_lost, CASE WHEN binding THEN units_lost END AS units_per_hour, {r('CASE WHEN binding THEN units_lost * 2 END', 4)} AS units_if_deferred, CASE WHEN binding THEN units_lost * 2 < 2 END AS defer_is_reasonable FROM {_of('ripple_forecast', inference)}""",
-    "alert_bundle": _BASE + f"""SELECT a."window", {i('a.top_station')} AS top_station, a.cycle_s, a.binding, {r('CASE WHEN a.binding THEN a.units_lost * 2 END', 4)} AS units_if_deferred, a.action, a.priority, owner, {i('respond_min')} AS respond_min FROM recs a LEFT JOIN jobs j ON j."window" = a."window\"""",
+    "alert_bundle": _BASE + f"""SELECT a."window", {i('a.top_station')} AS top_station, a.cycle_s, a.binding, {r('CASE WHEN a.binding THEN a.units_lost * 2 END', 4)} AS units_if_deferred, a.action, a.priority, owner, {i('respond_min')} AS respond_min FROM recs a LEFT JOIN jobs j ON j."window" = a."window" WHERE a.detected""",
     "state_taxonomy": f"""SELECT station, CASE state WHEN 'NORMAL' THEN 'ALLOW' WHEN 'RECOVERING' THEN 'ALLOW' WHEN 'DEGRADING' THEN 'WATCH' WHEN 'WATCH' THEN 'WATCH' ELSE 'INVESTIGATE' END AS taxonomy, count(*) AS n FROM {_of('predict_state', inference)} GROUP BY 1, 2""",
     "ledger_build": f"WITH RECURSIVE {_LEDGER}, {_CHAIN} SELECT chain, entry_id, prev_hash, entry_hash FROM hashed",
     "ledger_verify": f"WITH {_LEDGER} SELECT chain, count(*) AS n, min(CASE WHEN chain % 7 = 0 AND entry_id = 1 THEN 1 END)::BIGINT AS first_break FROM kinds GROUP BY chain",

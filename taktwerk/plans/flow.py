@@ -75,7 +75,7 @@ def state_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([(x,) for x in (*I.STATE_KINDS["blocked_s"], *I.STATE_KINDS["starved_s"], *I.RUNNING)], "key string")
+    known = spark.createDataFrame([(x,) for x in (*I.STATE_KINDS["blocked_s"], *I.STATE_KINDS["starved_s"], *I.RUNNING, *I.FAULT)], "key string")
     return I.unknown_labels(X.states(spark, sf_dir), known)
 
 
@@ -304,7 +304,7 @@ SQL: dict[str, str] = {
     "state_coverage": plain(f"""SELECT {i('s.station')} AS station, {r('scan_span_s')} AS scan_span_s, {r('state_span_s')} AS state_span_s, {r('CASE WHEN scan_span_s > 0 THEN coalesce(least(1.0, state_span_s / scan_span_s), 0.0) END')} AS coverage
       FROM (SELECT station, max(t_s) - min(t_s) AS scan_span_s FROM scans GROUP BY station) s LEFT JOIN (SELECT station, max(t_s) - min(t_s) AS state_span_s FROM states GROUP BY station) t ON s.station = t.station"""),
     "unknown_labels": plain("""SELECT DISTINCT state FROM states WHERE lower(state) NOT IN ('blocked', 'blocking', 'blk', 'outfeed_full', 'starved', 'starving', 'strv', 'infeed_empty', 'waiting_for_part',
-      'running', 'run', 'execute', 'producing', 'active', 'auto')"""),
+      'running', 'run', 'execute', 'producing', 'active', 'auto', 'fault', 'faulted', 'stopped', 'aborted', 'held', 'down', 'estop')"""),
     "asof_forward": plain(f"""SELECT {i('s.station')} AS station, s.vehicle_id, {r('s.t_s')} AS t_s, {r('coalesce(e.ambient_temp_c, (SELECT arg_max(ambient_temp_c, t_s) FROM environment))')} AS ambient_temp_c FROM scans s ASOF LEFT JOIN environment e ON s.t_s <= e.t_s"""),
     "asof_backward": plain(f"""SELECT {i('s.station')} AS station, s.vehicle_id, {r('s.t_s')} AS t_s, {r('coalesce(e.ambient_temp_c, (SELECT arg_min(ambient_temp_c, t_s) FROM environment))')} AS ambient_temp_c FROM scans s ASOF LEFT JOIN environment e ON s.t_s >= e.t_s"""),
     "inequality_count": plain(f"SELECT {i('s.station')} AS station, s.vehicle_id, {r('s.t_s')} AS t_s, (SELECT count(*) FROM states x WHERE x.station = s.station AND x.t_s < s.t_s) AS n_before FROM scans s"),

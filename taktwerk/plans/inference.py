@@ -95,7 +95,11 @@ def candidate_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a window: top, mass of its group, whether it is hidden, persists, is detected and is confident."""
-    post = posterior_table(spark, sf_dir)
+    return shadow_of(posterior_table(spark, sf_dir))
+
+
+def shadow_of(post: DataFrame) -> DataFrame:
+    """``shadow`` from a posterior that is already at hand."""
     pick = lambda k: F.max(F.when(F.col("k") == k, F.col("post")))
     p = post.groupBy("window").agg(pick(L.NULL).alias("p_null"), pick(L.SUPPLY).alias("p_line_supply"))
     at = post.select("window", F.col("k").alias("top_station"), F.col("llr_s").alias("llr"))
@@ -123,13 +127,32 @@ def hidden_cycle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("window", "n_gaps", F.when(F.col("n_gaps") >= 3, F.coalesce("trimmed", "plain")).alias("cycle_s"))
 
 
-def ripple_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the hidden cycle costs over the next hour: share lost, units, minutes until the next station starves and the one before blocks."""
-    p, takt = F.col("cycle_s"), X.TAKT_S
-    d = hidden_cycle_table(spark, sf_dir).where("cycle_s IS NOT NULL").withColumn("binding", F.round(p, 9) > takt)
+def forecast(d: DataFrame) -> DataFrame:
+    """``d`` (cycle_s) with what the cycle costs over the next hour: binding, loss, units_lost, minutes until the next station starves and the one before blocks.
+
+    Without a cycle there is no forecast: all are null."""
+    p, takt, half = F.col("cycle_s"), X.TAKT_S, X.BUFFER / 2.0
+    d = d.withColumn("binding", F.round(p, 9) > takt)
     deficit = F.when(F.col("binding"), 1 / takt - 1 / p)
-    half = X.BUFFER / 2.0
-    return tidy(d.select("window", "cycle_s", "binding", F.when(F.col("binding"), 1 - takt / p).otherwise(0.0).alias("loss"), (F.coalesce(deficit, F.lit(0.0)) * 3600).alias("units_lost"), (half / deficit / 60).alias("minutes_to_starve"), ((X.BUFFER - half) / deficit / 60).alias("minutes_to_block")), 4)
+    known = lambda c: F.when(p.isNotNull(), c)
+    return d.withColumns({
+        "loss": known(F.when(F.col("binding"), 1 - takt / p).otherwise(0.0)), "units_lost": known(F.coalesce(deficit, F.lit(0.0)) * 3600),
+        "minutes_to_starve": half / deficit / 60, "minutes_to_block": (X.BUFFER - half) / deficit / 60,
+    })
+
+
+def candidate_cycle(spark: SparkSession, sf_dir: str, tops: DataFrame) -> DataFrame:
+    """``tops`` (window, top_station) with the leading candidate's own ``cycle_s``: the window's mean where it has sensors, else from the departures after it."""
+    seen = flow.window_table(spark, sf_dir).select("window", F.col("station").cast("long").alias("top_station"), F.col("proc_time_s_mean").alias("seen_s"))
+    hidden = hidden_cycle_table(spark, sf_dir).select("window", F.lit(X.BLIND).cast("long").alias("top_station"), F.col("cycle_s").alias("hidden_s"))
+    d = tops.withColumn("top_station", F.col("top_station").cast("long")).join(seen, ["window", "top_station"], "left").join(hidden, ["window", "top_station"], "left")
+    return d.withColumn("cycle_s", F.when(F.col("top_station") == X.BLIND, F.col("hidden_s")).otherwise(F.col("seen_s"))).drop("seen_s", "hidden_s")
+
+
+def ripple_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the hidden station's cycle costs over the next hour."""
+    d = forecast(hidden_cycle_table(spark, sf_dir).where("cycle_s IS NOT NULL"))
+    return tidy(d.select("window", "cycle_s", "binding", "loss", "units_lost", "minutes_to_starve", "minutes_to_block"), 4)
 
 
 def predict_state(spark: SparkSession, sf_dir: str) -> DataFrame:

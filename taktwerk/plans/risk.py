@@ -80,7 +80,9 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _ranking(spark, sf_dir).withColumn("at_risk", (F.col("m_hat") - 1) * 10)
+    """What to do about each station; at stake are the extra units on the way to the next gate."""
+    ranking = settled(_ranking(spark, sf_dir))
+    d = ranking.join(_exposure(spark, sf_dir, ranking).select("station", F.round("extra_units", 4).alias("at_risk")), "station", "left")
     return tidy(D.quality_recommendation(d, LEAST_M).select("station", "rank", "action", "priority", "abstained", "confidence"), 4)
 
 
@@ -152,12 +154,17 @@ def naive_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(d.crossJoin(F.broadcast(cut)).withColumn("flagged", F.col("rate") > F.col("cut")))
 
 
-def defect_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected extra defective units between each station and the next gate: vehicles on the way, the station's rate and its multiplier less one."""
-    d = _ranking(spark, sf_dir).select("station", "m_hat")
+def _exposure(spark: SparkSession, sf_dir: str, ranking: DataFrame) -> DataFrame:
+    """(station, units_on_the_way, extra_units): the line moves one unit a takt and station, so as many units are on the way to the gate as there are stations to it."""
     rate = _expected(spark, sf_dir).groupBy("station").agg(F.sum("m").alias("rate"))
-    way = F.greatest(F.lit(0), F.lit(X.GATE) - F.col("station")) * (1 + X.BUFFER)
-    return tidy(d.join(rate, "station").select("station", way.alias("units_on_the_way"), (way * F.col("rate") * (F.col("m_hat") - 1)).alias("extra_units")), 4)
+    way = F.greatest(F.lit(0), F.lit(X.GATE) - F.col("station"))
+    more = F.greatest(F.lit(0.0), F.col("m_hat") - 1)
+    return ranking.select("station", "m_hat").join(rate, "station").select("station", way.alias("units_on_the_way"), (way * F.col("rate") * more).alias("extra_units"))
+
+
+def defect_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected extra defective units between each station and the next gate."""
+    return tidy(_exposure(spark, sf_dir, _ranking(spark, sf_dir)), 4)
 
 
 def median_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,13 +203,13 @@ SQL: dict[str, str] = {
     "quality_state": plain(f"""SELECT "window", {i('station')} AS station, {r('llr', 5)} AS llr, {r('m_hat', 5)} AS m_hat FROM qs""", *_Q),
     "quality_alerts": plain(f"""SELECT "window", {i('station')} AS station, sum(CASE WHEN round(llr, 5) >= {LEAST_LLR} AND round(m_hat, 5) >= {LEAST_M} THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY "window" ROWS BETWEEN {ROWS - 1} PRECEDING AND CURRENT ROW) = {ROWS} AS quality_alert FROM qs""", *_Q),
     "quality_ranking": plain(f"SELECT {i('station')} AS station, {r('mean_llr', 4)} AS mean_llr, {r('m_hat', 4)} AS m_hat, rank FROM ranked WHERE rank <= 5", *_Q, _RANK),
-    "quality_recommendation": plain(f"""SELECT {i('station')} AS station, rank, CASE WHEN weak THEN 'ESCALATE_AMBIGUOUS' ELSE 'TARGETED_QUALITY_CHECK' END AS action, CASE WHEN weak THEN 'LOW' WHEN (m_hat - 1) * 10 >= 3 AND rank = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, weak AS abstained, {r('1.0::DOUBLE / rank', 4)} AS confidence FROM (SELECT *, rank > 3 OR m_hat < {LEAST_M} AS weak FROM ranked)""", *_Q, _RANK),
+    "quality_recommendation": plain(f"""SELECT {i('station')} AS station, rank, CASE WHEN weak THEN 'ESCALATE_AMBIGUOUS' ELSE 'TARGETED_QUALITY_CHECK' END AS action, CASE WHEN weak THEN 'LOW' WHEN round(greatest(0, {X.GATE} - station) * rate * greatest(0, m_hat - 1), 4) >= 3 AND rank = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, weak AS abstained, {r('1.0::DOUBLE / rank', 4)} AS confidence FROM (SELECT k.*, e.rate, rank > 3 OR m_hat < {LEAST_M} AS weak FROM ranked k LEFT JOIN (SELECT station, sum(m) AS rate FROM expected GROUP BY station) e ON e.station = k.station)""", *_Q, _RANK),
     "process_baseline": plain(f"SELECT {i('station')} AS station, n, {r('c')} AS center, {r('s')} AS scale FROM bs WHERE n >= 20", _V),
     "risk_calibration": plain(f"SELECT {r('slope', 5)} AS slope, {r('bias', 5)} AS bias FROM cal", _V),
     "defect_risk": plain(f"""SELECT vehicle_id, {i('rk.station')} AS station, {r('risk', 4)} AS risk, defect_type, CASE WHEN rk.station < {X.GATE} THEN {X.GATE}::BIGINT END AS gate_station, {r(f'CASE WHEN rich THEN {RICH} ELSE {BASIC} END::DOUBLE * least(1, 0.5 + 0.5 * risk)', 4)} AS confidence
       FROM rk LEFT JOIN (SELECT station, arg_max(defect_type, (weight, -substr(defect_type, 7, 2)::INT)) AS defect_type FROM profile GROUP BY station) p ON p.station = rk.station""", _V, _D, _W),
     "coverage_gaps": plain(f"SELECT {i('station')} AS station, station_id, zone FROM stations WHERE tier = 'MANUAL'"),
     "naive_rate": plain(f"SELECT defect_type, {r('rate')} AS rate, {r('cut')} AS cut, rate > cut AS flagged FROM nr, (SELECT round(quantile_cont(rate, 0.995), 9) AS cut FROM nr)", _D, "nr AS (SELECT defect_type, round(count(*) / (SELECT count(*) FROM vehicles), 9) AS rate FROM alld GROUP BY defect_type)"),
-    "defect_exposure": plain(f"SELECT {i('station')} AS station, {i('way')} AS units_on_the_way, {r('way * rate * (m_hat - 1)', 4)} AS extra_units FROM (SELECT k.station, m_hat, greatest(0, {X.GATE} - k.station) * {1 + X.BUFFER} AS way, e.rate FROM ranked k JOIN (SELECT station, sum(m) AS rate FROM expected GROUP BY station) e ON e.station = k.station)", *_Q, _RANK),
+    "defect_exposure": plain(f"SELECT {i('station')} AS station, {i('way')} AS units_on_the_way, {r('way * rate * greatest(0, m_hat - 1)', 4)} AS extra_units FROM (SELECT k.station, m_hat, greatest(0, {X.GATE} - k.station) AS way, e.rate FROM ranked k JOIN (SELECT station, sum(m) AS rate FROM expected GROUP BY station) e ON e.station = k.station)", *_Q, _RANK),
     "median_cycle": plain(f"SELECT {i('station')} AS station, count(*) AS n, {r('median(round(proc_time_s + blocked_s + starved_s, 9))')} AS median_cycle_s FROM passes GROUP BY station"),
 }

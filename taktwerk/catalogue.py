@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import decisions, evaluation, flow, inference, methods, observe, quality, risk, streams
+from taktwerk.plans import decisions, evaluation, flow, frozen, inference, methods, observe, quality, risk, streams
 from taktwerk.plans.base import Query
 
-MODULES = (flow, inference, quality, decisions, evaluation, risk, observe, methods, streams)
+MODULES = (flow, inference, quality, decisions, evaluation, risk, observe, methods, streams, frozen)
 
 
 def queries() -> dict[str, Query]:

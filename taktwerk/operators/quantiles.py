@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Accuracy of the sketch: its ranks are off by n / ACCURACY at most; brackets reach REACH of these errors to both sides.
@@ -10,7 +12,7 @@ ACCURACY, REACH = 10_000, 3
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """(by..., n, one column a quantile) with linear interpolation between neighbours; nulls are left out, and so are groups without a value.
+    """(by..., n, one column a quantile) with linear interpolation between neighbours; null values are left out, and so are groups without a value. A null key is a group.
 
     A mergeable sketch brackets each quantile by two values. What lies outside the brackets is only counted, with its least and largest value; values inside are counted
     by value. Both are partial aggregations, and the final pick sorts, of each group, the distinct values of a few ten-thousandths of its rows.
@@ -19,7 +21,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[st
     reach, points = REACH / ACCURACY, sorted(set(quantiles.values()))
     ends = [min(1.0, max(0.0, q + side * reach)) for q in points for side in (-1, 1)]
     borders = rows.groupBy(*by).agg(F.percentile_approx("__v", ends, ACCURACY).alias("__b"), F.count(F.lit(1)).alias("n"))
-    bracketed = rows.join(borders, by) if by else rows.crossJoin(F.broadcast(borders))
+    if by:
+        # A null key is a group as any other, so keys meet null-safely.
+        named = borders.select(*[F.col(c).alias(f"__k{n}") for n, c in enumerate(by)], "__b", "n")
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__k{n}")) for n, c in enumerate(by)])
+        bracketed = rows.join(named, same).drop(*[f"__k{n}" for n in range(len(by))])
+    else:
+        bracketed = rows.crossJoin(F.broadcast(borders))
     b = lambda k: F.col("__b")[k]
     inside = F.lit(False)
     gap = F.lit(0)

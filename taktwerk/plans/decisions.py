@@ -115,7 +115,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which signals each station gives: any value that is not null."""
     t = X.telemetry(spark, sf_dir)
     d = t.groupBy("station").agg(*[F.bool_or(F.col(c).isNotNull()).alias(f"has_{c}") for c in ("proc_time_s", "blocked_s", "starved_s")])
-    return tidy(X.stations(spark).select("station", "tier").join(d, "station", "left").na.fill(False))
+    return tidy(X.stations(spark, sf_dir).select("station", "tier").join(d, "station", "left").na.fill(False))
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:

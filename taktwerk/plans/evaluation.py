@@ -32,8 +32,8 @@ def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = E.episode_truth(_episodes(spark, sf_dir), X.stations(spark).where("tier = 'MANUAL'"))
-    cycles = X.stations(spark).select("station", (F.lit(50.0) + 2 * F.col("station")).alias("base_cycle_s"))
+    truth = E.episode_truth(_episodes(spark, sf_dir), X.stations(spark, sf_dir).where("tier = 'MANUAL'"))
+    cycles = X.stations(spark, sf_dir).select("station", (F.lit(50.0) + 2 * F.col("station")).alias("base_cycle_s"))
     return E.true_onset(truth, cycles, X.TAKT_S)
 
 

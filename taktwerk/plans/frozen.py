@@ -48,7 +48,7 @@ def _fitted(spark: SparkSession, sf_dir: str) -> tuple[C.Context, DataFrame, Dat
     ctx = C.load(spark, root, "fitted", takt_s=X.TAKT_S, spec=SPEC)
     held_out = settled(C.score(ctx, windows["cal"], mix, shift))
     ctx = replace(ctx, tau=C.correlation_share(held_out))
-    prop = inference._prop(spark)
+    prop = inference._prop(spark, sf_dir)
     ctx = C.thresholds(ctx, settled(C.posterior(ctx, held_out, prop, X.STATIONS, inference.ALPHA)))
     C.save(ctx, root, "calibrated")
     return C.load(spark, root, "calibrated", takt_s=X.TAKT_S, spec=SPEC), settled(C.score(ctx, windows["score"], mix, shift)), held_out
@@ -66,7 +66,7 @@ def fit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last part's windows against the frozen context: leading candidate, its likelihood, whether it is detected or on watch."""
     ctx, scored, _ = _fitted(spark, sf_dir)
-    post = settled(C.posterior(ctx, scored, inference._prop(spark), X.STATIONS, inference.ALPHA))
+    post = settled(C.posterior(ctx, scored, inference._prop(spark, sf_dir), X.STATIONS, inference.ALPHA))
     top = L.top_and_runner_up(post).select("window", "top_station", "top_prob")
     at = post.select("window", F.col("k").alias("top_station"), F.round("llr_s", 9).alias("llr"))
     pick = lambda k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("post"))), F.lit(0.0))

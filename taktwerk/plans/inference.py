@@ -18,50 +18,50 @@ SIGMA_B, SIGMA_S, TAU, ALPHA = 0.03, 0.05, 0.5, 0.55
 
 
 def buffer_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(T.serial_distance(X.stations(spark)))
+    return tidy(T.serial_distance(X.stations(spark, sf_dir)))
 
 
-def _edges(spark: SparkSession) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain and a bypass from station 1 to 4."""
-    return T.chain_edges(X.stations(spark)).union(spark.createDataFrame([(1, 4, 3)], "src int, dst int, buffer_capacity long"))
+    return settled(T.chain_edges(settled(X.stations(spark, sf_dir)))).union(spark.createDataFrame([(1, 4, 3)], "src int, dst int, buffer_capacity long"))
 
 
 def graph_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(T.graph_distance(spark, X.stations(spark), _edges(spark)))
+    return tidy(T.graph_distance(spark, settled(X.stations(spark, sf_dir)), _edges(spark, sf_dir)))
 
 
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(T.reachable(spark, _edges(spark)))
+    return tidy(T.reachable(spark, _edges(spark, sf_dir)))
 
 
 def topological_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(T.topological_depth(spark, X.stations(spark), _edges(spark)))
+    return tidy(T.topological_depth(spark, settled(X.stations(spark, sf_dir)), _edges(spark, sf_dir)))
 
 
 def zone_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(T.zone_bounds(X.stations(spark)))
+    return tidy(T.zone_bounds(X.stations(spark, sf_dir)))
 
 
 def nearest_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(T.nearest_observed(X.stations(spark), 2))
+    return tidy(T.nearest_observed(X.stations(spark, sf_dir), 2))
 
 
-def _prop(spark: SparkSession) -> DataFrame:
+def _prop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most stations x stations rows: worked out once, then a local table that every use broadcasts."""
-    st = X.stations(spark)
+    st = settled(X.stations(spark, sf_dir))
     prop = T.propagation(T.serial_distance(st), T.reachable(spark, T.chain_edges(st)))
     return spark.createDataFrame(prop.collect(), prop.schema)
 
 
 def propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(_prop(spark), 9)
+    return tidy(_prop(spark, sf_dir), 9)
 
 
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every hypothesis starts from the scored windows, and the posterior uses the scores several times: both are computed once.
     scored = flow.scored_table(spark, sf_dir).join(flow.z_table(spark, sf_dir).select("window", "station", "z_proc"), ["window", "station"])
     scored = settled(scored.select("window", "station", "d_blocked", "d_starved", "z_proc"))
-    return settled(L.llr(L.hypothesis_scores(scored, _prop(spark), SIGMA_B, SIGMA_S, TAU)))
+    return settled(L.llr(L.hypothesis_scores(scored, _prop(spark, sf_dir), SIGMA_B, SIGMA_S, TAU)))
 
 
 def hypothesis_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,12 +166,12 @@ def predict_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def separability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each station's response stands apart from its most similar rival's."""
-    return tidy(separability_table(spark))
+    return tidy(separability_table(spark, sf_dir))
 
 
-def separability_table(spark: SparkSession) -> DataFrame:
-    seen = X.stations(spark).where("tier <> 'MANUAL'").select(F.col("station").alias("i"))
-    p = _prop(spark).join(F.broadcast(seen), "i").select("k", "i", (F.col("b") / SIGMA_B).alias("x"), (F.col("s") / SIGMA_S).alias("y"))
+def separability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = X.stations(spark, sf_dir).where("tier <> 'MANUAL'").select(F.col("station").alias("i"))
+    p = _prop(spark, sf_dir).join(F.broadcast(seen), "i").select("k", "i", (F.col("b") / SIGMA_B).alias("x"), (F.col("s") / SIGMA_S).alias("y"))
     norm = p.groupBy("k").agg(F.sqrt(F.sum(F.col("x") ** 2 + F.col("y") ** 2)).alias("norm"))
     pairs = p.alias("a").join(p.alias("b"), F.col("a.i") == F.col("b.i")).where("a.k <> b.k").groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("rival")).agg(F.sum(F.col("a.x") * F.col("b.x") + F.col("a.y") * F.col("b.y")).alias("dot"))
     c = pairs.join(norm, "k").join(norm.select(F.col("k").alias("rival"), F.col("norm").alias("rn")), "rival").where("norm > 1e-12 AND rn > 1e-12")
@@ -184,7 +184,7 @@ def separability_table(spark: SparkSession) -> DataFrame:
 def bottleneck_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows and share of them of every station's turning point, and the suspicion weight that follows."""
     n = L.turning_point(flow.scored_table(spark, sf_dir)).groupBy("station").agg(F.count(F.lit(1)).alias("n"))
-    d = X.stations(spark).select("station").join(n, "station", "left").select("station", F.coalesce("n", F.lit(0)).alias("n"))
+    d = X.stations(spark, sf_dir).select("station").join(n, "station", "left").select("station", F.coalesce("n", F.lit(0)).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy())
     return tidy(d.withColumn("share", share).withColumn("suspicion", 0.25 + 0.75 * F.col("share")))
 

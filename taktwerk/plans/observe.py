@@ -20,7 +20,7 @@ SHIFTS = (("early", 21_600, 50_400), ("late", 50_400, 79_200), ("night", 79_200,
 
 def coverage_demotion(spark: SparkSession, sf_dir: str, keep: float = 0.5) -> DataFrame:
     """Sensors taken away until a share of the stations is left, by a fixed order; gates and the first station keep theirs."""
-    st = X.stations(spark)
+    st = X.stations(spark, sf_dir)
     guarded = F.col("is_gate") | (F.col("station") == 0) | (F.col("tier") == "MANUAL")
     order = F.row_number().over(Window.orderBy(guarded, F.pmod(F.col("station") * 5 + 3, F.lit(X.STATIONS))))
     drop = int(round((1 - keep) * X.STATIONS)) - 1
@@ -44,26 +44,26 @@ def run_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = inference._edges(spark)
+    e = inference._edges(spark, sf_dir)
     both = e.select(F.col("src").alias("station"), F.lit("next").alias("side"), F.col("dst").alias("other")).union(e.select("dst", F.lit("before"), "src"))
     return tidy(both.groupBy("station", "side").agg(F.array_join(F.sort_array(F.collect_list("other")), ",").alias("others")))
 
 
 def edge_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buffer of every edge: given ones, else the chain's own."""
-    e = inference._edges(spark)
-    return tidy(e.join(X.stations(spark).select(F.col("station").alias("src"), "out_buffer"), "src").select("src", "dst", F.coalesce("buffer_capacity", "out_buffer").alias("buffer_capacity")))
+    e = inference._edges(spark, sf_dir)
+    return tidy(e.join(X.stations(spark, sf_dir).select(F.col("station").alias("src"), "out_buffer"), "src").select("src", "dst", F.coalesce("buffer_capacity", "out_buffer").alias("buffer_capacity")))
 
 
 def next_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = X.stations(spark)
+    st = X.stations(spark, sf_dir)
     gates = st.where("is_gate").select(F.col("station").alias("gate"))
     return tidy(st.select("station").join(gates, F.col("gate") >= F.col("station"), "left").groupBy("station").agg(F.min("gate").alias("gate")))
 
 
 def blind_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of which one or both have no sensor."""
-    st = X.stations(spark).select("station", (F.col("tier") == "MANUAL").alias("blind"))
+    st = X.stations(spark, sf_dir).select("station", (F.col("tier") == "MANUAL").alias("blind"))
     nxt = F.lead("blind").over(Window.orderBy("station"))
     return tidy(st.withColumn("b", nxt).where("b IS NOT NULL AND (blind OR b)").select("station", (F.col("station") + 1).alias("next"), (F.col("blind") & F.col("b")).alias("both")))
 
@@ -80,21 +80,21 @@ def _response(prop: DataFrame, seen: DataFrame) -> DataFrame:
 
 def confusable_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of stations that a chain of cosines of 0.90 or more connects; each named by its first. Stations squared rows at most."""
-    seen = X.stations(spark).where("tier <> 'MANUAL'").select(F.lit(0).alias("c"), F.col("station").alias("i"))
-    near = _response(inference._prop(spark), seen).where(F.col("cos") >= CONFUSABLE).select(F.col("k").alias("src"), F.col("rival").alias("dst"))
+    seen = X.stations(spark, sf_dir).where("tier <> 'MANUAL'").select(F.lit(0).alias("c"), F.col("station").alias("i"))
+    near = _response(inference._prop(spark, sf_dir), seen).where(F.col("cos") >= CONFUSABLE).select(F.col("k").alias("src"), F.col("rival").alias("dst"))
     near = spark.createDataFrame(near.collect(), "src int, dst int")  # of the station dimension
     reach = inference.T.reachable(spark, near)
-    d = X.stations(spark).select("station").join(reach.select(F.col("src").alias("station"), "dst"), "station", "left").groupBy("station").agg(F.least(F.min("station"), F.min("dst")).alias("group_first"))
+    d = X.stations(spark, sf_dir).select("station").join(reach.select(F.col("src").alias("station"), "dst"), "station", "left").groupBy("station").agg(F.least(F.min("station"), F.min("dst")).alias("group_first"))
     return tidy(d)
 
 
 def sensor_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations of three that have no sensor (1, 3 and 5) by what a sensor there would gain: its own ambiguity and the others' gain in separability over the median one."""
-    st = X.stations(spark)
+    st = X.stations(spark, sf_dir)
     blind = st.where("station IN (1, 3, 5)").select("station")
     base = st.join(blind, "station", "left_anti").select(F.lit(-1).alias("c"), F.col("station").alias("i"))
     more = blind.select(F.col("station").alias("c")).crossJoin(base.select("i")).union(blind.select("station", "station"))  # a few sets of a few stations
-    r_ = _response(inference._prop(spark), base.union(more))
+    r_ = _response(inference._prop(spark, sf_dir), base.union(more))
     best = r_.groupBy("c", "k").agg(F.max("cos").alias("ambiguity"), F.max("norm").alias("norm"), F.min(F.col("norm") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("cos") * F.col("cos")))).alias("sep")).select("c", "k", "ambiguity", F.round("sep", 9).alias("sep"))
     before = best.where("c = -1").select("k", F.col("ambiguity").alias("a0"), F.col("sep").alias("s0"))
     scale = before.where("s0 <> 0").agg(F.median("s0").alias("m"))

@@ -14,7 +14,7 @@ def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(station, defect_type, weight): a fixed rule over the codes that occur."""
     types = K.explode_defects(X.inspections(spark, sf_dir)).select("defect_type").distinct()
     weight = F.pmod(F.col("station") * 7 + F.length("defect_type") * 3, F.lit(5)).cast("double")
-    return types.crossJoin(F.broadcast(X.stations(spark).select("station"))).select("station", "defect_type", weight.alias("weight"))
+    return types.crossJoin(F.broadcast(X.stations(spark, sf_dir).select("station"))).select("station", "defect_type", weight.alias("weight"))
 
 
 def explode_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def quality_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shrunken defect rate of every station."""
     a = K.attribute(K.explode_defects(X.inspections(spark, sf_dir)), K.candidate_prior(_profile(spark, sf_dir)))
     n = X.vehicles(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_vehicles"))
-    return tidy(K.nominal_rate(a, X.stations(spark), n))
+    return tidy(K.nominal_rate(a, X.stations(spark, sf_dir), n))
 
 
 def gate_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def gate_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genealogy_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pass time of every vehicle at every station, between neighbours where none was recorded."""
-    return tidy(K.interpolate_passes(X.telemetry(spark, sf_dir), X.stations(spark)))
+    return tidy(K.interpolate_passes(X.telemetry(spark, sf_dir), X.stations(spark, sf_dir)))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,16 +27,16 @@ def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.explode_defects(X.inspections(spark, sf_dir)).where("defect_type LIKE 'Brand%'")
 
 
-def _profile(spark: SparkSession, defects: DataFrame) -> DataFrame:
+def _profile(spark: SparkSession, sf_dir: str, defects: DataFrame) -> DataFrame:
     weight = F.pmod(F.col("station") * 7 + F.substring("defect_type", 7, 2).cast("int") * 3, F.lit(5)).cast("double")
-    return defects.select("defect_type").distinct().crossJoin(X.stations(spark).select("station")).select("station", "defect_type", weight.alias("weight")).where("weight > 0")
+    return defects.select("defect_type").distinct().crossJoin(X.stations(spark, sf_dir).select("station")).select("station", "defect_type", weight.alias("weight")).where("weight > 0")
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(station, defect_type, m): expected defects a vehicle, the station's rate times its profile over its sum."""
     d = _brands(spark, sf_dir)
-    profile = _profile(spark, d)
-    rate = K.nominal_rate(K.attribute(d, K.candidate_prior(profile)), X.stations(spark), X.vehicles(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_vehicles")))
+    profile = _profile(spark, sf_dir, d)
+    rate = K.nominal_rate(K.attribute(d, K.candidate_prior(profile)), X.stations(spark, sf_dir), X.vehicles(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_vehicles")))
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("station"))
     return profile.withColumn("w", share).join(rate, "station").select("station", "defect_type", F.round(F.col("rate") * F.col("w"), 12).alias("m"))
 
@@ -134,7 +134,7 @@ def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def defect_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of every visit at a station with sensors, its likely defect, the gate that would find it and the confidence its station's tier allows."""
-    kind = _profile(spark, _brands(spark, sf_dir)).groupBy("station").agg(F.max_by("defect_type", F.struct("weight", -F.substring("defect_type", 7, 2).cast("int"))).alias("defect_type"))
+    kind = _profile(spark, sf_dir, _brands(spark, sf_dir)).groupBy("station").agg(F.max_by("defect_type", F.struct("weight", -F.substring("defect_type", 7, 2).cast("int"))).alias("defect_type"))
     gate = F.when(F.col("station") < X.GATE, X.GATE)
     d = _risk(spark, sf_dir).join(kind, "station", "left")
     return tidy(d.select("vehicle_id", "station", "risk", "defect_type", gate.alias("gate_station"), "confidence"), 4)
@@ -142,7 +142,7 @@ def defect_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations where risk cannot be told, as they give no process data."""
-    return tidy(X.stations(spark).where("tier = 'MANUAL'").select("station", "station_id", "zone"))
+    return tidy(X.stations(spark, sf_dir).where("tier = 'MANUAL'").select("station", "station_id", "zone"))
 
 
 def naive_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

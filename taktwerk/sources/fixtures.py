@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taktwerk.operators.ranks import ordered_position
@@ -41,10 +41,14 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes(spark, sf_dir).where(F.col("station") != BLIND)
 
 
-def stations(spark: SparkSession) -> DataFrame:
-    """The station dimension, a fixed seven rows."""
-    rows = [(i, f"ST{i:02d}", "body" if i < 3 else "trim" if i < 5 else "final", "MANUAL" if i == BLIND else "RICH" if i % 2 == 0 else "BASIC", BUFFER if i < STATIONS - 1 else 1_000_000, i == GATE) for i in range(STATIONS)]
-    return spark.createDataFrame(rows, "station int, station_id string, zone string, tier string, out_buffer long, is_gate boolean")
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The station dimension: the stations that the visits name, as few rows as the line is long. Zones, tiers and buffers are the plant's settings; the last station is the gate."""
+    seen = table(spark, sf_dir, "lineitem").where("l_linenumber IS NOT NULL").groupBy((F.col("l_linenumber") - 1).cast("int").alias("station")).agg(F.count(F.lit(1)).alias("n_visits"))
+    last = F.col("station") == F.max("station").over(Window.partitionBy())
+    s = F.col("station")
+    zone = F.when(s < 3, "body").when(s < 5, "trim").otherwise("final")
+    tier = F.when(s == BLIND, "MANUAL").when(s % 2 == 0, "RICH").otherwise("BASIC")
+    return seen.select("station", F.format_string("ST%02d", s).alias("station_id"), zone.alias("zone"), tier.alias("tier"), F.when(last, 1_000_000).otherwise(BUFFER).cast("long").alias("out_buffer"), last.alias("is_gate"))
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +108,6 @@ inspections AS (SELECT v.vehicle_id, {GATE} AS station, 60.0::DOUBLE * (v.vehicl
   CASE l_returnflag WHEN 'R' THEN concat_ws('|', l_linestatus, p_type, p_brand) ELSE '' END AS defect_types
   FROM lineitem JOIN vehicles v ON l_orderkey = v.vehicle_key JOIN part ON l_partkey = p_partkey),
 stations AS (SELECT CAST(i AS INTEGER) AS station, format('ST{{:02d}}', i) AS station_id, CASE WHEN i < 3 THEN 'body' WHEN i < 5 THEN 'trim' ELSE 'final' END AS zone,
-  CASE WHEN i = {BLIND} THEN 'MANUAL' WHEN i % 2 = 0 THEN 'RICH' ELSE 'BASIC' END AS tier, CAST(CASE WHEN i < {STATIONS - 1} THEN {BUFFER} ELSE 1000000 END AS BIGINT) AS out_buffer, i = {GATE} AS is_gate
-  FROM range({STATIONS}) t(i))
+  CASE WHEN i = {BLIND} THEN 'MANUAL' WHEN i % 2 = 0 THEN 'RICH' ELSE 'BASIC' END AS tier, CAST(CASE WHEN i < last THEN {BUFFER} ELSE 1000000 END AS BIGINT) AS out_buffer, i = last AS is_gate
+  FROM (SELECT i, max(i) OVER () AS last FROM (SELECT DISTINCT l_linenumber - 1 AS i FROM lineitem WHERE l_linenumber IS NOT NULL)))
 """

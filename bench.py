@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 from taktwerk import catalogue
 
 HEADLINE = ("telemetry_projection", "window_aggregate", "takt_deviation", "turning_point", "interval_overlap", "asof_forward", "expected_proc", "z_proc", "spc", "detection_rule", "ewma_llr", "incidents", "hidden_cycle", "hypothesis_llr")
+#: Timed as well, but not in the total, so that it stays comparable.
+MORE = ("shadow", "predict_state", "quality_state", "defect_risk", "localisation_metrics", "infer", "isolation_forest")
 
 
 def main() -> None:
@@ -20,12 +22,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     available, times = catalogue.queries(), {}
     available["telemetry_projection"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-    for name in HEADLINE:
+    for name in HEADLINE + MORE:
         if name in available:
             began = time.time()
             available[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rstrip("/").rpartition("sf")[2]}))
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.get(n, 0.0) for n in HEADLINE), 3), "unit": "sec", "queries": times, "sf": sf_dir.rstrip("/").rpartition("sf")[2]}))
 
 
 if __name__ == "__main__":

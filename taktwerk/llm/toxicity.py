@@ -36,6 +36,8 @@ BUCKET_BITS, DIM, SHORTEST, LONGEST = 18, 12, 3, 6
 STEPS, BATCH, RATE, SHRINK = 900, 64, 1.0, 1e-4
 #: The share of texts that training meets with a slip in every word (else a passage without one would be the worst), and the slips of each word that it knows.
 MISSPELT, SLIPS = 0.3, 3
+#: The share of words that a step sees of a text: the strongest insult is hidden now and then, so that weaker ones are learnt too.
+SHOWN = 0.75
 #: A longer run without a break is cut, so that a text without spaces has passages too.
 WORD_CHARS = 40
 #: Words whose values a task keeps at most.
@@ -157,7 +159,8 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float, *, seed: int
     for step in range(steps):
         rate = RATE * (1 - step / steps)
         picked = [int(i) for k in (0, 1) for i in rng.choice(classes[k], BATCH // 2)]
-        bags = [docs[i] + len(vocabulary) * (rng.integers(1, SLIPS + 1, len(docs[i])) if rng.random() < MISSPELT else 0) for i in picked]
+        shown = [docs[i][rng.random(len(docs[i])) < SHOWN] for i in picked]
+        bags = [d + len(vocabulary) * (rng.integers(1, SLIPS + 1, len(d)) if rng.random() < MISSPELT else 0) for d in shown]
         here, back = np.unique(np.concatenate(bags), return_inverse=True)
         direction = weights[:, 1] - weights[:, 0]
         grams, sizes = grams_of(here)

@@ -37,7 +37,7 @@ STEPS, BATCH, RATE, SHRINK = 900, 64, 1.0, 1e-4
 #: The share of texts that training meets with a slip in every word (else a passage without one would be the worst), and the slips of each word that it knows.
 MISSPELT, SLIPS = 0.3, 3
 #: The share of words that a step sees of a text: the strongest insult is hidden now and then, so that weaker ones are learnt too.
-SHOWN = 0.75
+SHOWN = 0.85
 #: A longer run without a break is cut, so that a text without spaces has passages too.
 WORD_CHARS = 40
 #: Words whose values a task keeps at most.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import decisions, evaluation, flow, frozen, inference, methods, observe, quality, risk, streams, texts
+from taktwerk.plans import decisions, evaluation, evidence, flow, frozen, inference, methods, observe, quality, risk, streams, texts
 from taktwerk.plans.base import Query
 
-MODULES = (flow, inference, quality, decisions, evaluation, risk, observe, methods, streams, frozen, texts)
+MODULES = (flow, inference, quality, decisions, evaluation, risk, observe, methods, streams, frozen, texts, evidence)
 
 
 def queries() -> dict[str, Query]:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from taktwerk.functions.lineage import settled
 from taktwerk.operators import decide as D
 from taktwerk.operators import runs as R
+from taktwerk.operators.ledger import GENESIS
 from taktwerk.plans import flow, inference
 from taktwerk.plans.base import Query, i, plain, r, sql, tidy
 from taktwerk.sources import fixtures as X
 
-GENESIS = "0" * 64
 
 
 def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from taktwerk.operators.faults import KINDS
 from taktwerk.operators.ranks import ordered_position
 
 #: The line that the projection stands for: seven stations in a row, two places of buffer between them, one station without sensors, a gate at the end.
@@ -90,6 +91,17 @@ def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vehicle_id", F.lit(GATE).alias("station"), t.alias("t_s"), F.when(F.col("l_returnflag") == "R", "FAIL").otherwise("PASS").alias("result"), codes.alias("defect_types"))
 
 
+def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of sensor faults, as ``operators.faults`` takes it: one a nation, spread over stations, kinds and the length of the run; some of a station overlap."""
+    run = table(spark, sf_dir, "orders").agg((F.count(F.lit(1)) * TAKT_S).alias("run_s"))
+    k = F.col("n_nationkey").cast("long")
+    d = table(spark, sf_dir, "nation").where("n_nationkey IS NOT NULL").select(k.alias("k")).crossJoin(F.broadcast(run))
+    kind = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (F.pmod("k", F.lit(4)) + 1).cast("int"))
+    start = F.floor(F.col("run_s") * F.pmod(F.col("k") * 11, F.lit(25)) / 25).cast("double")
+    length = F.floor(F.col("run_s") * (1 + F.pmod("k", F.lit(3))) / 20)
+    return d.select(F.col("k").alias("fault_id"), F.pmod("k", F.lit(STATIONS)).cast("int").alias("station"), kind.alias("kind"), start.alias("t_from"), (start + length).alias("t_to"), F.lit(0.6).alias("noise_frac"), F.lit(300.0).alias("burst_on_s"), F.lit(300.0).alias("burst_off_s"))
+
+
 #: The same projections in DuckDB SQL, as common table expressions that the oracles start with.
 CTE = f"""
 vehicles AS (SELECT o_orderkey AS vehicle_key, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS vehicle_id, o_orderpriority AS variant,

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taktwerk.functions.lineage import settled
+
 #: What a match of one word and of three or more is worth, and the least score of a proposal.
 MASS_BASE, MASS_SHARE, MASS_WORDS, LEAST = 0.55, 0.45, 3, 0.40
 UNMAPPED = "UNMAPPED"
+#: More than what rounding adds to a score.
+ROUNDING = 1e-6
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 
 
@@ -35,19 +39,33 @@ def phrase_index(phrases: DataFrame) -> DataFrame:
     return each.join(whole, ["code", "phrase"]).select("token", "code", "phrase", "idf", "whole", "n_tokens")
 
 
+def rare_tokens(index: DataFrame, least: float) -> DataFrame:
+    """(token, code, phrase, whole) of an index: of each phrase the tokens without one of which no text scores ``least``, as all others together weigh too little."""
+    upto = F.sum("idf").over(Window.partitionBy("code", "phrase").orderBy("idf", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    needed = (least - ROUNDING) / (MASS_BASE + MASS_SHARE) * F.col("whole")
+    return index.withColumn("__upto", upto).where(F.col("__upto") >= needed).select("token", "code", "phrase", "whole")
+
+
 def propose_codes(texts: DataFrame, key: str, phrases: DataFrame, vocabulary: DataFrame, least: float = LEAST) -> DataFrame:
     """(key, code, score) of (key, text): the best code of each text, or UNMAPPED where none scores ``least``.
 
-    A phrase's score is the share of its weight that the text covers, times a mass that grows with the number of words met. Texts meet phrases by
-    their tokens alone, so phrases without a common word cost nothing; a pair of text and phrase is summed before it goes on. Codes that are not in
+    A phrase's score is the share of its weight that the text covers, times a mass that grows with the number of words met. A text is one row with the
+    numbers of its known tokens; it meets the phrases of which it has a rare token and is scored in that row, so no pair is shuffled. The phrases are
+    the vocabulary of a plant: tasks hold them whole. Codes that are not in
     ``vocabulary`` (code) are never proposed. Ties go to the first code. Rows with one key count as one text.
     """
     known = phrases.join(vocabulary.select("code").distinct(), "code", "left_semi")
-    met = texts.select(key, F.explode(tokens(F.col("text"))).alias("token")).distinct().join(phrase_index(known), "token")
-    pairs = met.groupBy(key, "code", "phrase").agg(F.sum("idf").alias("got"), F.count(F.lit(1)).alias("m"), F.first("whole").alias("whole"))
-    score = F.round(F.col("got") / F.col("whole") * (MASS_BASE + MASS_SHARE * F.least(F.lit(1.0), F.col("m") / MASS_WORDS)), 9)
-    best = pairs.withColumn("score", score).groupBy(key, "code").agg(F.max("score").alias("score")).where(F.col("score") >= least)
-    best = best.groupBy(key).agg(F.min_by("code", F.struct(-F.col("score"), F.col("code"))).alias("code"), F.max("score").alias("score"))
+    index = settled(phrase_index(known))
+    words = settled(index.select("token").distinct().withColumn("word", F.monotonically_increasing_id()))
+    lists = index.join(words, "token").groupBy("code", "phrase").agg(F.collect_list("word").alias("words"), F.collect_list(F.struct("word", "idf")).alias("weights"))
+    firsts = rare_tokens(index, least).join(words, "token").join(lists, ["code", "phrase"]).select("word", "code", "whole", F.col("words").alias("of"), "weights")
+    held = texts.select(key, F.explode(tokens(F.col("text"))).alias("token")).join(F.broadcast(words), "token").groupBy(key).agg(F.collect_set("word").alias("held"))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  A value that is read several times, worked out once a row.
+    pairs = held.select(key, "held", F.explode("held").alias("word")).join(F.broadcast(firsts), "word").select(key, "code", "whole", "weights", once(F.array_intersect("held", "of")).alias("both"))
+    got = F.aggregate(F.filter("weights", lambda e: F.array_contains("both", e["word"])), F.lit(0.0), lambda acc, e: acc + e["idf"])
+    score = F.round(got / F.col("whole") * (MASS_BASE + MASS_SHARE * F.least(F.lit(1.0), F.size("both") / MASS_WORDS)), 9)
+    best = pairs.select(key, F.col("code").alias("__c"), once(score).alias("score")).where(F.col("score") >= least)
+    best = best.groupBy(key).agg(F.min_by("__c", F.struct(-F.col("score"), F.col("__c"))).alias("code"), F.max("score").alias("score"))
     out = texts.select(key).distinct().join(best, key, "left")
     return out.select(key, F.coalesce(F.col("code").cast("string"), F.lit(UNMAPPED)).alias("code"), F.coalesce("score", F.lit(0.0)).alias("score"))
 

@@ -50,6 +50,24 @@ def test_codes_equal_plain_scores(spark):
     assert T.propose_codes(texts.limit(0), "id", phrases, phrases.select("code")).count() == 0
 
 
+def test_rare_tokens_miss_no_score(spark):
+    """Texts of every pair and triple of a phrase's words score as plainly, though common words alone bring no text and phrase together."""
+    phrases = [("a", "alpha beta gamma delta"), ("b", "beta gamma delta epsilon"), ("c", "gamma delta"), ("d", "delta"), ("d", "delta alpha")]
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    texts = [(n, " ".join(w for b, w in enumerate(words) if n >> b & 1)) for n in range(64)]
+    ours = T.propose_codes(spark.createDataFrame(texts, "id int, text string"), "id", spark.createDataFrame(phrases, "code string, phrase string"), spark.createDataFrame([(c,) for c in "abcd"], "code string"))
+    assert {r["id"]: (r["code"], round(r["score"], 6)) for r in ours.collect()} == plain(texts, phrases, set("abcd"))
+    index = spark.createDataFrame([("common", "a", "p", 0.3, 1.3), ("rare", "a", "p", 1.0, 1.3)], "token string, code string, phrase string, idf double, whole double")
+    assert [r["token"] for r in T.rare_tokens(index, 0.40).collect()] == ["rare"]
+
+
+def test_pairs_are_not_shuffled(spark):
+    """A text's tokens are brought together by its key alone, and pairs of text and phrase are not."""
+    texts, phrases = spark.createDataFrame(TEXTS, "id int, text string"), spark.createDataFrame(PHRASES, "code string, phrase string")
+    plan = T.propose_codes(texts, "id", phrases, phrases.select("code"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(id#\d+, (code|token|word)", plan), plan
+
+
 def test_numbers_from_nowhere_are_replaced(spark):
     answers = [(1, "Station 4 lost 12.5 units"), (2, "Station 4 lost 13 units, -7 next"), (3, "no number"), (4, None), (5, "lost 9")]
     lines = [(1, "station 4"), (1, "12.5 units an hour"), (2, "station 4, 12.5 units"), (2, "7 units"), (9, "9")]

@@ -37,3 +37,12 @@ def test_panes_are_summed_before_they_are_shuffled(spark):
     got = {(r["window"], r["station"]): (round(r["x_mean"], 9), r["x_count"], r["x_max"]) for r in W.window_aggregate(d, spec, ["x"], W.n_vehicles(d)).collect()}
     copied = W.in_windows(d, spec, W.n_vehicles(d)).groupBy("window", "station").agg(F.avg("x").alias("m"), F.count("x").alias("n"), F.max("x").alias("hi"))
     assert got == {(r["window"], r["station"]): (round(r["m"], 9), r["n"], r["hi"]) for r in copied.collect()} and len(got) == 2 * spec.count(1_500)
+
+
+def test_alerts_project_telemetry_once(spark, monkeypatch):
+    """All that an alert rests on is read from one settled table."""
+    from taktwerk.plans import decisions
+
+    calls, project = [], X.telemetry
+    monkeypatch.setattr(X, "telemetry", lambda *a: calls.append(a) or project(*a))
+    assert decisions.alert_table(spark, SF).count() > 0 and len(calls) == 1

@@ -10,7 +10,7 @@ from taktwerk.operators import faults as A
 from taktwerk.operators import fusion as U
 from taktwerk.operators import ledger as G
 from taktwerk.operators import windows as W
-from taktwerk.plans import decisions, inference, risk
+from taktwerk.plans import decisions, flow, inference, risk
 from taktwerk.plans.base import SPEC, Query, i, plain, r, sql, tidy
 from taktwerk.sources import fixtures as X
 from taktwerk.streaming.windows import new_root
@@ -25,10 +25,10 @@ def ambiguous_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every window's top by flow and, where it is one of a confusable group with evidence at the gates, the top by both."""
-    tel = settled(X.telemetry(spark, sf_dir).select("vehicle_id", "station", "t_depart_s"))
+    tel = flow.telemetry_table(spark, sf_dir)
     bounds = W.window_aggregate(tel, SPEC, ["t_depart_s"], W.n_vehicles(tel)).groupBy("window").agg(F.min("t_depart_s_min").alias("t_lo"), F.max("t_depart_s_max").alias("t_hi"))
     pools = tel.groupBy(F.floor(F.col("vehicle_id") / risk.STEP).alias("window")).agg(F.min("t_depart_s").alias("t_lo"), F.max("t_depart_s").alias("t_hi"))
-    tops = settled(inference.shadow(spark, sf_dir).select("window", "top_station", "llr"))
+    tops = settled(inference.shadow_of(inference.posterior_table(spark, sf_dir, tel)).select("window", "top_station", "llr"))
     groups = U.ambiguous_groups(spark, inference.separability_table(spark, sf_dir))
     return tidy(U.fuse(tops, bounds, risk.quality_state(spark, sf_dir).select("window", "station", "llr"), pools, groups, BUCKET_S))
 

@@ -18,18 +18,38 @@ def candidate_prior(profile: DataFrame) -> DataFrame:
     return profile.where("weight > 0").select("station", "defect_type", (F.col("weight") / total).alias("prior"))
 
 
+def _shares(kinds: DataFrame, prior: DataFrame) -> DataFrame:
+    """(gate_station, defect_type, station, share) of the stations before each gate, by prior."""
+    usable = kinds.join(prior, "defect_type").where("station < gate_station")
+    share = F.col("prior") / F.sum("prior").over(Window.partitionBy("gate_station", "defect_type"))
+    return usable.select("gate_station", "defect_type", "station", share.alias("share"))
+
+
 def attribute(defects: DataFrame, prior: DataFrame) -> DataFrame:
     """(vehicle_id, gate_station, defect_type, station, mass): each defect shared by the stations before its gate, by prior; equal defects of a vehicle at a gate share one.
 
     The shares of a (gate, type) are the same for all its defects, so they are worked out on the dimension and joined."""
-    kinds = defects.select("gate_station", "defect_type").distinct()
-    usable = kinds.join(prior, "defect_type").where("station < gate_station")
-    share = F.col("prior") / F.sum("prior").over(Window.partitionBy("gate_station", "defect_type"))
+    shares = _shares(defects.select("gate_station", "defect_type").distinct(), prior)
     equal = F.count(F.lit(1)).over(Window.partitionBy("vehicle_id", "gate_station", "defect_type"))
-    each = defects.select("vehicle_id", "gate_station", "defect_type", equal.alias("n")).join(usable.select("gate_station", "defect_type", "station", share.alias("share")), ["gate_station", "defect_type"])
+    each = defects.select("vehicle_id", "gate_station", "defect_type", equal.alias("n")).join(shares, ["gate_station", "defect_type"])
     return each.select("vehicle_id", "gate_station", "defect_type", "station", (F.col("share") / F.col("n")).alias("mass"))
 
 
+def pane_counts(defects: DataFrame, pane: int) -> DataFrame:
+    """(pane, gate_station, defect_type, o, units): defects, and vehicles that have one, of each ``pane`` vehicles in a row.
+
+    Defects are dealt by pane once; a vehicle's and a pane's are then summed where they lie."""
+    near = defects.select("vehicle_id", "gate_station", "defect_type", F.floor(F.col("vehicle_id") / pane).alias("pane")).repartition("pane")
+    per = near.groupBy("pane", "vehicle_id", "gate_station", "defect_type").agg(F.count(F.lit(1)).alias("o"))
+    return per.groupBy("pane", "gate_station", "defect_type").agg(F.sum("o").alias("o"), F.count(F.lit(1)).alias("units"))
+
+
+def pane_mass(panes: DataFrame, prior: DataFrame) -> DataFrame:
+    """(gate_station, defect_type, station, mass): the sums of ``attribute``. Equal defects of a vehicle at a gate share one, so a vehicle counts once, and the defects themselves are not needed."""
+    kinds = panes.groupBy("gate_station", "defect_type").agg(F.sum("units").alias("units"))
+    return kinds.join(_shares(kinds.select("gate_station", "defect_type"), prior), ["gate_station", "defect_type"]).select("gate_station", "defect_type", "station", (F.col("share") * F.col("units")).alias("mass"))
+
+
 def nominal_rate(attributed: DataFrame, stations: DataFrame, n_vehicles: int | DataFrame) -> DataFrame:
     """(station, rate): (mass + 0.5) / (vehicles + 1) of every station, with or without defects."""
     mass = attributed.groupBy("station").agg(F.sum("mass").alias("mass"))
@@ -40,22 +60,17 @@ def nominal_rate(attributed: DataFrame, stations: DataFrame, n_vehicles: int | D
     return out.select("station", ((F.coalesce("mass", F.lit(0.0)) + 0.5) / (n_vehicles + 1)).alias("rate"))
 
 
-def pooled_counts(defects: DataFrame, windows: DataFrame, pool: int, least: int) -> DataFrame:
+def pooled_counts(panes: DataFrame, windows: DataFrame, pool: int, least: int, pane: int) -> DataFrame:
     """(window, defect_type, n, o): defects of the vehicles of [v_end - pool, v_end) in each window of (window, v_end), for pools of ``least`` vehicles or more.
 
-    Prefix sums by vehicle and a difference, so a defect is not copied for every window that pools it."""
+    ``panes`` as ``pane_counts`` gives them; ``pool`` and every ``v_end`` are whole panes. A pane, not a defect, is added to every window that pools it."""
+    if pool % pane:
+        raise ValueError("a pool must be whole panes")
     w = windows.select("window", "v_end", F.greatest(F.lit(0), F.col("v_end") - pool).alias("v_from")).withColumn("n", F.col("v_end") - F.col("v_from")).where(F.col("n") >= least)
-    per = defects.groupBy("defect_type", "vehicle_id").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("defect_type").orderBy("vehicle_id"))
-    steps = per.select("defect_type", "vehicle_id", upto.alias("upto"))
-    ends = w.select("window", F.col("v_end").alias("at"), F.lit(1).alias("sign")).union(w.select("window", F.col("v_from").alias("at"), F.lit(-1).alias("sign")))
-    asks = ends.crossJoin(defects.select("defect_type").distinct())
-    both = asks.select("defect_type", (F.col("at") - 1).alias("v"), F.lit(1).alias("side"), "window", "sign", F.lit(None).cast("long").alias("upto")).unionByName(
-        steps.select("defect_type", F.col("vehicle_id").alias("v"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("window"), F.lit(None).cast("int").alias("sign"), "upto")
-    )
-    seen = F.last("upto", True).over(Window.partitionBy("defect_type").orderBy("v", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sums = both.withColumn("seen", F.coalesce(seen, F.lit(0))).where("side = 1").groupBy("window", "defect_type").agg(F.sum(F.col("seen") * F.col("sign")).alias("o"))
-    return sums.join(w.select("window", "n"), "window").select("window", "defect_type", "n", "o")
+    held = w.select("window", F.explode(F.sequence(F.floor(F.col("v_from") / pane), F.floor(F.col("v_end") / pane) - 1)).alias("pane"))
+    sums = held.join(panes.select("pane", "defect_type", "o"), "pane").groupBy("window", "defect_type").agg(F.sum("o").alias("o"))
+    asks = w.crossJoin(F.broadcast(panes.select("defect_type").distinct()))
+    return asks.join(sums, ["window", "defect_type"], "left").select("window", "defect_type", "n", F.coalesce("o", F.lit(0)).alias("o"))
 
 
 def multiplier_grid() -> list[float]:
@@ -67,13 +82,15 @@ def poisson_profile(counts: DataFrame, expected: DataFrame) -> DataFrame:
     """(window, station, llr, m_hat): the best multiplier of each station's own defect rate, and what it gains over none.
 
     ``counts`` (window, defect_type, n, o); ``expected`` (station, defect_type, m): defects a vehicle. The log likelihood of a multiplier needs, of a type, only the
-    pooled total of all stations and the station's part, so windows meet stations and grid by broadcast joins of dimensions.
+    pooled total of all stations and the station's part, so windows meet stations and grid by broadcast joins of dimensions. Counts are dealt by window before they meet
+    the grid: both sums then find their rows in place, and the grid's copies are never shuffled. The number of partitions is given, as what they grow to is not seen in their size.
     """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grid = F.explode(F.array(*[F.lit(m) for m in multiplier_grid()])).alias("mult")
     total = expected.groupBy("defect_type").agg(F.sum("m").alias("m_all"))
     inert = expected.groupBy("station").agg(F.sum("m").alias("m_sum"))
     dim = expected.join(total, "defect_type").join(inert, "station").select("station", "defect_type", "m", "m_all", "m_sum")
-    rows = counts.join(F.broadcast(dim), "defect_type").select("window", "station", "n", "o", "m", "m_all", "m_sum", grid)
+    rows = counts.repartition(parts, "window").join(F.broadcast(dim), "defect_type").select("window", "station", "n", "o", "m", "m_all", "m_sum", grid)
     e0 = F.greatest(F.col("n") * F.col("m_all"), F.lit(1e-9))
     e = F.greatest(e0 + (F.col("mult") - 1) * F.col("n") * F.col("m"), F.lit(1e-9))
     ll = rows.groupBy("window", "station", "mult").agg(F.round(F.sum(F.col("o") * F.ln(e) - e), 9).alias("ll"), F.max(F.col("n") * F.col("m_sum")).alias("weight"))

@@ -32,11 +32,21 @@ def _profile(spark: SparkSession, sf_dir: str, defects: DataFrame) -> DataFrame:
     return defects.select("defect_type").distinct().crossJoin(X.stations(spark, sf_dir).select("station")).select("station", "defect_type", weight.alias("weight")).where("weight > 0")
 
 
-def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brands found, by panes of ``STEP`` vehicles: rates and pools are both summed from them, and the inspections are projected once a query."""
+    return settled(K.pane_counts(_brands(spark, sf_dir), STEP))
+
+
+def _n_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles are the orders, numbered without gaps: to count them needs no numbers."""
+    return X.table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n_vehicles"))
+
+
+def _expected(spark: SparkSession, sf_dir: str, panes: DataFrame | None = None) -> DataFrame:
     """(station, defect_type, m): expected defects a vehicle, the station's rate times its profile over its sum."""
-    d = _brands(spark, sf_dir)
+    d = _panes(spark, sf_dir) if panes is None else panes
     profile = _profile(spark, sf_dir, d)
-    rate = K.nominal_rate(K.attribute(d, K.candidate_prior(profile)), X.stations(spark, sf_dir), X.vehicles(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_vehicles")))
+    rate = K.nominal_rate(K.pane_mass(d, K.candidate_prior(profile)), X.stations(spark, sf_dir), _n_vehicles(spark, sf_dir))
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("station"))
     return profile.withColumn("w", share).join(rate, "station").select("station", "defect_type", F.round(F.col("rate") * F.col("w"), 12).alias("m"))
 
@@ -46,17 +56,21 @@ def expected_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = X.vehicles(spark, sf_dir).agg((F.max("vehicle_id") + 1).alias("n"))
-    return n.select(F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.col("n") / STEP) - 1))).alias("window")).select("window", ((F.col("window") + 1) * STEP).alias("v_end"))
+    n = _n_vehicles(spark, sf_dir).where(F.col("n_vehicles") >= STEP)
+    return n.select(F.explode(F.sequence(F.lit(0), F.floor(F.col("n_vehicles") / STEP) - 1)).alias("window")).select("window", ((F.col("window") + 1) * STEP).alias("v_end"))
+
+
+def _pooled(spark: SparkSession, sf_dir: str, panes: DataFrame) -> DataFrame:
+    return K.pooled_counts(panes, _pools(spark, sf_dir), POOL, LEAST, STEP)
 
 
 def pooled_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(K.pooled_counts(_brands(spark, sf_dir), _pools(spark, sf_dir), POOL, LEAST))
+    return tidy(_pooled(spark, sf_dir, _panes(spark, sf_dir)))
 
 
-def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = settled(K.pooled_counts(_brands(spark, sf_dir), _pools(spark, sf_dir), POOL, LEAST))
-    return settled(K.poisson_profile(counts, settled(_expected(spark, sf_dir))))
+def _state(spark: SparkSession, sf_dir: str, panes: DataFrame | None = None) -> DataFrame:
+    panes = _panes(spark, sf_dir) if panes is None else panes
+    return settled(K.poisson_profile(_pooled(spark, sf_dir, panes), settled(_expected(spark, sf_dir, panes))))
 
 
 def quality_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,8 +83,8 @@ def quality_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(K.rolling_alerts(d, LEAST_LLR, LEAST_M, ROWS).select("window", "station", "quality_alert"))
 
 
-def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _state(spark, sf_dir).groupBy("station").agg(F.avg(F.round("llr", 5)).alias("mean_llr"), F.avg(F.round("m_hat", 5)).alias("m_hat"))
+def _ranking(spark: SparkSession, sf_dir: str, panes: DataFrame | None = None) -> DataFrame:
+    d = _state(spark, sf_dir, panes).groupBy("station").agg(F.avg(F.round("llr", 5)).alias("mean_llr"), F.avg(F.round("m_hat", 5)).alias("m_hat"))
     return d.withColumns({"mean_llr": F.round("mean_llr", 4), "m_hat": F.round("m_hat", 4)}).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_llr"), "station")))
 
 
@@ -95,8 +95,9 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to do about each station; at stake are the extra units on the way to the next gate."""
-    ranking = settled(_ranking(spark, sf_dir))
-    d = ranking.join(_exposure(spark, sf_dir, ranking).select("station", F.round("extra_units", 4).alias("at_risk")), "station", "left")
+    panes = _panes(spark, sf_dir)
+    ranking = settled(_ranking(spark, sf_dir, panes))
+    d = ranking.join(_exposure(spark, sf_dir, ranking, panes).select("station", F.round("extra_units", 4).alias("at_risk")), "station", "left")
     return tidy(D.quality_recommendation(d, LEAST_M).select("station", "rank", "action", "priority", "abstained", "confidence"), 4)
 
 
@@ -168,9 +169,9 @@ def naive_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(d.crossJoin(F.broadcast(cut)).withColumn("flagged", F.col("rate") > F.col("cut")))
 
 
-def _exposure(spark: SparkSession, sf_dir: str, ranking: DataFrame) -> DataFrame:
+def _exposure(spark: SparkSession, sf_dir: str, ranking: DataFrame, panes: DataFrame) -> DataFrame:
     """(station, units_on_the_way, extra_units): the line moves one unit a takt and station, so as many units are on the way to the gate as there are stations to it."""
-    rate = _expected(spark, sf_dir).groupBy("station").agg(F.sum("m").alias("rate"))
+    rate = _expected(spark, sf_dir, panes).groupBy("station").agg(F.sum("m").alias("rate"))
     way = F.greatest(F.lit(0), F.lit(X.GATE) - F.col("station"))
     more = F.greatest(F.lit(0.0), F.col("m_hat") - 1)
     return ranking.select("station", "m_hat").join(rate, "station").select("station", way.alias("units_on_the_way"), (way * F.col("rate") * more).alias("extra_units"))
@@ -178,7 +179,8 @@ def _exposure(spark: SparkSession, sf_dir: str, ranking: DataFrame) -> DataFrame
 
 def defect_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected extra defective units between each station and the next gate."""
-    return tidy(_exposure(spark, sf_dir, _ranking(spark, sf_dir)), 4)
+    panes = _panes(spark, sf_dir)
+    return tidy(_exposure(spark, sf_dir, _ranking(spark, sf_dir, panes), panes), 4)
 
 
 def median_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def _defects(spark):
     return d.where("vehicle_id % 4 <> 1")
 
 
-@pytest.mark.parametrize("query", ["quality_state", "quality_ranking"])
+@pytest.mark.parametrize("query", ["quality_state", "quality_ranking", "quality_recommendation"])
 def test_inspections_are_projected_once(spark, monkeypatch, query):
     calls, project = [], X.inspections
     monkeypatch.setattr(X, "inspections", lambda *a: calls.append(a) or project(*a))

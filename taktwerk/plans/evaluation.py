@@ -44,8 +44,9 @@ def _times(windows: DataFrame) -> DataFrame:
 
 def _pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(window, top_station, detected, t_mid_s): the turning point's detections with the windows' times."""
-    times = _times(flow.window_table(spark, sf_dir)).select("window", "t_mid_s")
-    return settled(flow.detection_rule(spark, sf_dir).select("window", F.col("station").alias("top_station"), "detected").join(times, "window"))
+    w = settled(flow.window_table(spark, sf_dir).select("window", "station", "blocked_s_mean", "starved_s_mean", "t_depart_s_min", "t_depart_s_max"))
+    found = flow.detections_of(flow.B.takt_deviation(w, X.TAKT_S)[0])
+    return settled(found.select("window", F.col("station").alias("top_station"), "detected").join(_times(w).select("window", "t_mid_s"), "window"))
 
 
 def window_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +89,11 @@ def early_warning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = settled(_truth(spark, sf_dir).select("episode", "kind", "source_is_hidden", "magnitude", "station"))
-    return settled(E.localisation(_pred(spark, sf_dir), _truth(spark, sf_dir)).join(truth, "episode"))
+    return _scored_of(_pred(spark, sf_dir), settled(_truth(spark, sf_dir)))
+
+
+def _scored_of(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    return settled(E.localisation(pred, truth).join(truth.select("episode", "kind", "source_is_hidden", "magnitude", "station"), "episode"))
 
 
 _MEANS = ["detection_rate", "detected_episode", "top1", "within1", "top1_episode", "within1_episode"]
@@ -118,8 +122,9 @@ def stress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def operating_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """False-alarm rate and detection rate of each kind, ordered by the first."""
-    fa = E.false_alarms(_pred(spark, sf_dir), _truth(spark, sf_dir)).select("episode", "false_alarm_rate")
-    d = _scored(spark, sf_dir).join(fa, "episode").groupBy("kind").agg(F.avg("false_alarm_rate").alias("false_alarm_rate"), F.avg("detection_rate").alias("detection_rate"))
+    pred, truth = _pred(spark, sf_dir), settled(_truth(spark, sf_dir))
+    fa = E.false_alarms(pred, truth).select("episode", "false_alarm_rate")
+    d = _scored_of(pred, truth).join(fa, "episode").groupBy("kind").agg(F.avg("false_alarm_rate").alias("false_alarm_rate"), F.avg("detection_rate").alias("detection_rate"))
     d = d.withColumn("false_alarm_rate", F.round("false_alarm_rate", 9))
     return tidy(d.withColumn("place", F.row_number().over(flow.Window.orderBy("false_alarm_rate", "kind"))))
 

@@ -390,8 +390,7 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands
     need = need.select("node", "rep", "n", "cluster", "parts", F.when(anchor, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part)).alias("at"))
     need = scratch.store(need, "need")
     first = _with_sets(need, docs, n, ["node", "cluster", "at"]).select("cluster", F.explode("at").alias("i"), "node", "held")
-    links = scratch.store(_linked(first.select("cluster", "i", F.col("i").alias("j"), F.col("i").alias("part"), "node", F.col("node").alias("comp"), "held"), bands), "links")
-    comp = components(links, scratch)
+    comp = components(_linked(first.select("cluster", "i", F.col("i").alias("j"), F.col("i").alias("part"), "node", F.col("node").alias("comp"), "held"), bands), scratch)
     large = need.where("parts > 1").drop("at", "parts")
     if not large.isEmpty():
         named = scratch.store(large.join(comp, "node", "left").select("node", "rep", "n", "cluster", F.coalesce("component", "node").alias("comp")), "named")
@@ -402,11 +401,9 @@ def _links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, bands
         part = F.when(rest, F.pmod(F.xxhash64("node", F.lit(5)), F.col("r"))).otherwise(F.col("r") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("l"))).cast("int")
         need2 = scratch.store(named.join(most, "cluster").join(sized, "cluster").select("node", "rep", "n", "cluster", "comp", part.alias("part"), F.when(rest, F.col("r") + F.col("l")).otherwise(F.col("r")).alias("others")), "rest")
         second = _dealt(_with_sets(need2, docs, n, ["node", "cluster", "comp", "part", "others"]), "others", "part")
-        more = scratch.store(links.unionByName(_linked(second, bands)), "links")
-        scratch.drop(links, named, need2)
-        links = more
-        comp = components(links, scratch)
-    scratch.drop(need, links)
+        comp = components(comp.toDF("a", "b").unionByName(_linked(second, bands)), scratch)
+        scratch.drop(named, need2)
+    scratch.drop(need)
     return comp
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import unicodedata
 import zlib
@@ -88,6 +89,10 @@ class DirectCodes:
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+#: Latin letters, and ASCII marks: in that pattern no piece holds both.
+_LETTERS, _MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+"), string.punctuation
+
+
 def _unsafe_chars() -> re.Pattern:
     """Characters whose class may differ between the two regex engines; texts with one are encoded in one piece."""
     odd = [c for c in range(0x2000) if unicodedata.category(chr(c)) in ("No", "Nl", "Cn") or 0x1C <= c <= 0x1F or c == 0x85]
@@ -98,16 +103,24 @@ class PieceEncoder:
     """Token ids of whole texts. The tokenizer treats each piece of its pre-tokenizing pattern alone, and no piece goes on after
     a space or line end, so the ids of what stands between these are asked of it once and kept; beyond ``keep`` the memory starts anew."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 800_000):
         # Tasks share the machine's cores already; the library's own threads would only wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unsafe, self.keep, self.known = _unsafe_chars(), keep, {}
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = line[0] if len(line) == 1 else -1
+        # The same model over lines whose bytes are already its characters: letters need no pattern and no second form of the text.
+        as_chars = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.chars = {c: as_chars.pre_tokenize_str(chr(c))[0][0] for c in range(0x250)}
+        self.lines = Tokenizer.from_file(path)
+        self.lines.pre_tokenizer = pre_tokenizers.Split(self.chars[10], "isolated")
+        self.tails: dict[str, bytes] = {}
+        probe = "\n the\n Überßtraße\n I\n naïveté\n qxzjk\n don"
+        self.plain = self.lines.encode(probe.translate(self.chars), add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
 
     def _keys(self, text: str) -> tuple[list[str], bool] | None:
         """Keys of what to join the ids of, and whether they are words between single spaces and line ends; None if the text must be encoded whole."""
@@ -128,7 +141,7 @@ class PieceEncoder:
     def _learn_words(self, keys: set[str]) -> None:
         """Words are asked of the tokenizer in one text of lines and cut at the line ends' ids, as no piece goes on after a line end."""
         after_line = [k for k in keys if k[0] in "\0\n"]
-        after_space = list(keys.difference(after_line))
+        after_space = self._learn_plain(keys.difference(after_line)) if self.plain else list(keys.difference(after_line))
         for words, text in ((after_space, "\n " + "\n ".join(after_space)), (after_line, "\n" + "\n".join([k[1:] for k in after_line]))):
             if not words:
                 continue
@@ -144,6 +157,31 @@ class PieceEncoder:
                 if k[0] == "\n":
                     self.known[k] = line + self.known[k]
 
+    def _learn_plain(self, words: set[str]) -> list[str]:
+        """Learns those words after a space that are letters and then marks, as no piece holds both; gives the others. Letters are asked once for all the marks they occur with."""
+        plain, others = {}, []
+        for w in words:
+            x = w.rstrip(_MARKS)
+            if _LETTERS.fullmatch(x):
+                plain[w] = x
+            else:
+                others.append(w)
+        letters = list(set(plain.values()).difference(self.known))
+        if letters:
+            ids = np.array(self.lines.encode_batch_fast([("\n " + "\n ".join(letters)).translate(self.chars)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.nonzero(ids == self.line_end)[0]
+            if len(at) != len(letters):
+                return list(words)
+            raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            self.known.update(zip(letters, [raw[lo + 4 : hi] for lo, hi in zip(at, at[1:], strict=False)], strict=True))
+        for w, x in plain.items():
+            if len(x) < len(w):
+                t = w[len(x) :]
+                if t not in self.tails:
+                    self.tails[t] = self._whole(t)
+                self.known[w] = self.known[x] + self.tails[t]
+        return others
+
     def _learn(self, keys: Iterable[str]) -> None:
         keys = list(keys)
         for k, e in zip(keys, self.tokenizer.encode_batch_fast([_text_of(k) for k in keys], add_special_tokens=False), strict=True):
@@ -153,6 +191,7 @@ class PieceEncoder:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.keep:
             self.known.clear()
+            self.tails.clear()
         keys = [self._keys(t) for t in texts]
         for learn, even in ((self._learn_words, True), (self._learn, False)):
             learn(set().union(*(k[0] for k in keys if k is not None and k[1] == even)).difference(self.known))

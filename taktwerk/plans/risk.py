@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,9 @@ W_PROC, W_CHANNEL, RICH, BASIC = 0.30, 0.85, 0.85, 0.45
 _GRID = K.multiplier_grid()
 
 
-def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _brands(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Defects whose code is in a station's profile: the brands."""
-    return K.explode_defects(X.inspections(spark, sf_dir)).where("defect_type LIKE 'Brand%'")
+    return K.explode_defects(X.inspections(spark, sf_dir, keep)).where("defect_type LIKE 'Brand%'")
 
 
 def _profile(spark: SparkSession, sf_dir: str, defects: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def _profile(spark: SparkSession, sf_dir: str, defects: DataFrame) -> DataFrame:
 
 def _panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The brands found, by panes of ``STEP`` vehicles: rates and pools are both summed from them, and the inspections are projected once a query."""
-    return settled(K.pane_counts(_brands(spark, sf_dir), STEP))
+    return settled(K.pane_counts(_brands(spark, sf_dir, settled), STEP))
 
 
 def _n_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from taktwerk.streaming import windows as S
 
 #: Files that the replays arrive in; every so-manieth event comes two files late; seconds that rows may lag.
 ARRIVALS, EVERY, DELAY_S = 6, 50, 3600.0
-#: Lines that the windows are of.
-LINES = 1
+#: Lines that the windows are of; files that their scores arrive in, at least; windows a file, at most: a trigger holds one file's rows.
+LINES, TOPS_FILES, FILE_WINDOWS = 1, 4, 500_000
 GAP_S = 43_200
 #: States from the least to the most urgent; a station is on watch from the third.
 RANKS = ("NORMAL", "RECOVERING", "DEGRADING", "WATCH", "PREDICTED", "ACTIVE")
@@ -44,10 +46,12 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most likely station of each window by smoothed likelihood, carried as state from file to file."""
     s = inference.score_table(spark, sf_dir).where("k >= 0").select(F.lit("line-1").alias("line"), F.col("window").cast("long").alias("window"), F.col("k").cast("int").alias("k"), "llr")
-    each = F.broadcast(s.agg(F.max("window").alias("last")))  # the scores are settled: a copy with arrivals would only be read once
-    sent = s.crossJoin(each).withColumn("arrival", F.floor(F.col("window") * 4 / (F.col("last") + 1)).cast("int")).drop("last")
+    # The scores are settled: a copy with arrivals would only be read once.
+    n_windows = (s.agg(F.max("window")).first()[0] or 0) + 1
+    files = max(TOPS_FILES, math.ceil(n_windows / FILE_WINDOWS))
+    sent = s.withColumn("arrival", F.floor(F.col("window") * files / n_windows).cast("int"))
     root = S.new_root(spark, "tops")
-    stream = S.table_stream(spark, LT.replay(sent, "arrival", f"{root}/sent", 0, 3), files=1)
+    stream = S.table_stream(spark, LT.replay(sent, "arrival", f"{root}/sent", 0, files - 1), files=1)
     return tidy(S.run_to_end(TP.smoothed_tops(stream, "line", X.STATIONS, inference.ALPHA), root, LINES).select("window", "top_station", "llr", "near"))
 
 

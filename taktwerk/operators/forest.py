@@ -1,4 +1,4 @@
-"""Isolation forests, one a key: trees of random cuts over bounded samples, kept as a table of nodes that rows are walked along.
+"""Isolation forests, one a key: trees of random cuts, each over its own draw of a key's rows, kept as a table of nodes that rows are walked along.
 
 Everything random is read from SHA-256 of (seed, key, tree, node), so a rerun, another engine or another partitioning builds the same trees.
 Node ids are those of a heap: the root is 1, the children of n are 2 n (below the cut) and 2 n + 1.
@@ -23,10 +23,12 @@ NODES = "tree int, node int, feature int, cut double, path double"
 
 @dataclass(frozen=True)
 class ForestSpec:
-    """Trees a key; rows of a key that trees draw from and rows of a tree, at most; rows below which a key gets no forest; seed."""
+    """Trees a key; rows of a key that trees draw from, at most (None: all); rows of a tree, at most; rows below which a key gets no forest; seed.
+
+    The rows of a tree are part of the method (256 by default in the reference's forests as well, as depth and scores rest on them); the pool is not."""
 
     trees: int = 200
-    pool: int = 1024
+    pool: int | None = 1024
     sample: int = 256
     least: int = 30
     seed: int = 0
@@ -55,6 +57,36 @@ def _first(df: DataFrame, by: list[str], order: Column, n: int, salts: int = 16)
     return d.drop("__o", "__s", "__r")
 
 
+def _number(*parts: Column) -> Column:
+    """The first 60 bits of ``_draw``."""
+    return F.conv(F.substring(_draw(*parts), 1, 15), 16, 10).cast("long")
+
+
+def draw_from_all(df: DataFrame, key: str, row: str, features: list[str], spec: ForestSpec) -> DataFrame:
+    """(key, tree, __n, row, features...): what each tree draws from all ``__n`` rows of its key, without repeats.
+
+    A key's rows stand in the order of a hash. That order is cut into as many equal stretches as a tree has rows, and each tree picks one row of every stretch by a hash of
+    its own, so any row may be drawn by any tree and no row is hashed once a tree. Rows are numbered within 4,096 parts of the order, so no task sorts a whole key.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(key, row, *features, _number(F.col(key), F.col(row)).alias("__o")).withColumn("__part", F.shiftright("__o", 48))
+    ahead = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = rows.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    parts = parts.select(key, "__part", F.sum("__c").over(Window.partitionBy(key)).alias("__n"), (F.sum("__c").over(ahead) - F.col("__c")).alias("__before")).where(F.col("__n") >= spec.least)
+    n, j, size = F.col("__n"), F.col("__j"), F.least(F.lit(spec.sample), F.col("__n"))
+    draws = parts.groupBy(key).agg(F.max("__n").alias("__n")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(spec.trees - 1)))).withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
+    draws = draws.withColumns({"__lo": F.floor(n * j / size), "__hi": F.floor(n * (j + 1) / size)})
+    place = F.col("__lo") + _number(F.lit(spec.seed), F.col(key), F.col("tree"), F.lit("row"), j) % (F.col("__hi") - F.col("__lo"))
+    # A draw falls into the last part that begins at or before its place.
+    begins = parts.select(key, "__n", F.lit(None).cast("int").alias("tree"), F.col("__before").alias("__place"), "__part", "__before")
+    begins = begins.unionByName(draws.select(key, "__n", "tree", place.alias("__place")), allowMissingColumns=True)
+    along = Window.partitionBy(key).orderBy("__place", F.col("tree").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = begins.withColumns({c: F.last(c, ignorenulls=True).over(along) for c in ("__part", "__before")}).where("tree IS NOT NULL")
+    picks = held.groupBy(key, "__part", "__n").agg(F.collect_list(F.struct((F.col("__place") - F.col("__before")).alias("at"), "tree")).alias("__picks"))
+    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy(key, "__part").orderBy("__o", row)) - 1)
+    met = placed.join(picks, [key, "__part"]).withColumn("__pick", F.explode(F.filter("__picks", lambda p: p["at"] == F.col("__at"))))
+    return met.select(key, F.col("__pick.tree").alias("tree"), "__n", row, *features)
+
+
 def grow(x: np.ndarray, name: str, depth: int) -> list[tuple[int, int, float, float]]:
     """(node, feature, cut, path) of a tree over the rows of ``x``; a leaf has feature -1 and the path of its rows, an inner node path 0."""
     out, open_nodes = [], [(1, 0, x)]
@@ -74,21 +106,26 @@ def grow(x: np.ndarray, name: str, depth: int) -> list[tuple[int, int, float, fl
     return out
 
 
+def _draw_from_pool(whole: DataFrame, key: str, row: str, features: list[str], spec: ForestSpec) -> DataFrame:
+    """The same from the first ``spec.pool`` rows of each key by hash."""
+    pool = _first(whole.select(key, row, *features), [key], _draw(F.col(key), F.col(row)), spec.pool)
+    sizes = pool.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= spec.least)
+    pool = pool.join(sizes, key).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(spec.trees - 1))))
+    order = _draw(F.lit(spec.seed), F.col(key), F.col("tree"), F.col(row))
+    return pool.withColumn("__r", F.row_number().over(Window.partitionBy(key, "tree").orderBy(order))).where(F.col("__r") <= spec.sample)
+
+
 def fit_forest(df: DataFrame, key: str, row: str, features: list[str], spec: ForestSpec = ForestSpec()) -> DataFrame:
     """(key, sampled, tree, node, feature, cut, path): the forest of each value of ``key``.
 
-    ``row`` names a row within its key. Rows with a null or not finite feature take no part. Samples are bounded by ``spec``, so a group that
-    grows a tree holds ``spec.sample`` rows whatever the data.
+    ``row`` names a row within its key. Rows with a null or not finite feature take no part. A tree is of ``spec.sample`` rows at most, so a group that
+    grows a tree holds no more whatever the data; they are drawn from all rows of the key, or with ``spec.pool`` from so many of them.
     """
     ship(df.sparkSession)
     whole = df
     for f in features:
         whole = whole.where(F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(F.col(f)) < float("inf")))
-    pool = _first(whole.select(key, row, *features), [key], _draw(F.col(key), F.col(row)), spec.pool)
-    sizes = pool.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= spec.least)
-    pool = pool.join(sizes, key).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(spec.trees - 1))))
-    order = _draw(F.lit(spec.seed), F.col(key), F.col("tree"), F.col(row))
-    drawn = pool.withColumn("__r", F.row_number().over(Window.partitionBy(key, "tree").orderBy(order))).where(F.col("__r") <= spec.sample)
+    drawn = draw_from_all(whole, key, row, features, spec) if spec.pool is None else _draw_from_pool(whole, key, row, features, spec)
     kind = dict(df.dtypes)[key]
 
     def tree(rows: pd.DataFrame) -> pd.DataFrame:
@@ -153,14 +190,26 @@ def forest_sql(rows: str, fitted: str, key: str, row: str, features: list[str],
     """The same forests and scores in SQL, as common table expressions that end in ``anomalies`` (key, row, anomaly): rows of ``rows`` are scored, those
     with ``fitted`` are drawn from. Each level of all trees is one step in which drawn rows set the cuts and all rows follow them."""
     h = lambda a, b: f"CAST('0x' || h[{a}:{b}] AS BIGINT)"
+    hashed = lambda parts: f"CAST('0x' || sha256(concat({parts}))[1:15] AS BIGINT)"
     c = lambda n: f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2.0 * (ln({n} - 1.0::DOUBLE) + {EULER}) - 2.0 * ({n} - 1.0::DOUBLE) / {n} END"
     xs = ", ".join(features)
     finite = " AND ".join(f"isfinite({f})" for f in features)
+    if spec.pool is None:
+        draws = [
+            f"""placed AS MATERIALIZED (SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY {hashed("k, ':', w")}, w) - 1 AS place, count(*) OVER (PARTITION BY k) AS np FROM fr WHERE fit)""",
+            f"""keyed AS MATERIALIZED (SELECT k, any_value(np) AS np, least({spec.sample}, any_value(np)) AS psi FROM placed WHERE np >= {spec.least} GROUP BY k)""",
+            f"""stretches AS (SELECT k, tree, np * j // psi AS lo, np * (j + 1) // psi AS hi, {hashed(f"'{spec.seed}:', k, ':', tree, ':row:', j")} AS u FROM keyed, (SELECT unnest(range({spec.trees})) AS tree), (SELECT unnest(range({spec.sample})) AS j) WHERE j < psi)""",
+            """drawn AS MATERIALIZED (SELECT p.k, p.w, s.tree FROM placed p JOIN (SELECT k, tree, lo + u % (hi - lo) AS place FROM stretches) s ON s.k = p.k AND s.place = p.place)""",
+        ]
+    else:
+        draws = [
+            f"""pool AS (SELECT *, count(*) OVER (PARTITION BY k) AS np FROM (SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY sha256(concat(k, ':', w))) AS rn FROM fr WHERE fit) WHERE rn <= {spec.pool})""",
+            f"""drawn AS MATERIALIZED (SELECT k, w, tree FROM (SELECT k, w, tree, row_number() OVER (PARTITION BY k, tree ORDER BY sha256(concat('{spec.seed}:', k, ':', tree, ':', w))) AS rn FROM pool, (SELECT unnest(range({spec.trees})) AS tree) WHERE np >= {spec.least}) WHERE rn <= {spec.sample})""",
+            f"""keyed AS (SELECT k, least({spec.sample}, max(np)) AS psi FROM pool WHERE np >= {spec.least} GROUP BY k)""",
+        ]
     out = [
         f"""fr AS MATERIALIZED (SELECT {key} AS k, {row} AS w, {xs}, {fitted} AS fit FROM {rows} WHERE {finite})""",
-        f"""pool AS (SELECT *, count(*) OVER (PARTITION BY k) AS np FROM (SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY sha256(concat(k, ':', w))) AS rn FROM fr WHERE fit) WHERE rn <= {spec.pool})""",
-        f"""drawn AS MATERIALIZED (SELECT k, w, tree FROM (SELECT k, w, tree, row_number() OVER (PARTITION BY k, tree ORDER BY sha256(concat('{spec.seed}:', k, ':', tree, ':', w))) AS rn FROM pool, (SELECT unnest(range({spec.trees})) AS tree) WHERE np >= {spec.least}) WHERE rn <= {spec.sample})""",
-        f"""keyed AS (SELECT k, least({spec.sample}, max(np)) AS psi FROM pool WHERE np >= {spec.least} GROUP BY k)""",
+        *draws,
         f"""l0 AS MATERIALIZED (SELECT fr.k, fr.w, t.tree, 1 AS node, {xs}, d.w IS NOT NULL AS d FROM fr JOIN keyed USING (k) CROSS JOIN (SELECT unnest(range({spec.trees})) AS tree) t LEFT JOIN drawn d ON d.k = fr.k AND d.w = fr.w AND d.tree = t.tree)""",
     ]
     ends = []

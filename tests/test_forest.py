@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taktwerk.operators import forest as FO
+from taktwerk.plans import methods
 
 SPEC = FO.ForestSpec(trees=40, pool=300, sample=64, least=30, seed=3)
 XS = ["a", "b"]
@@ -55,3 +57,31 @@ def test_forests_do_not_depend_on_partitions(spark, rows):
 def test_equal_rows_make_a_leaf():
     assert FO.grow(np.zeros((9, 2)), "n", 6) == [(1, -1, 0.0, FO.expected_path(9))]
     assert FO.expected_path(1) == 0 and FO.expected_path(2) == 1 and abs(FO.expected_path(256) - 10.244) < 1e-3
+
+
+def test_trees_draw_from_all_rows_of_a_key(spark):
+    """Against plain lists: 3,000 rows of which a pool would leave out two thirds, a key of fewer rows than a tree takes, one of too few, and a missing key."""
+    sizes = {"many": 3000, "some": 50, "few": 20, None: 40}
+    df = spark.createDataFrame([(k, i, float(i), float(i % 7)) for k, n in sizes.items() for i in range(n)], "key string, id long, a double, b double")
+    spec = FO.ForestSpec(trees=40, pool=None, sample=64, least=30, seed=3)
+    number = lambda text: int(hashlib.sha256(text.encode()).hexdigest()[:15], 16)
+    want = set()
+    for k in ("many", "some"):
+        n, order = sizes[k], sorted(range(sizes[k]), key=lambda i: (number(f"{k}:{i}"), i))
+        m = min(n, spec.sample)
+        for t in range(spec.trees):
+            for j in range(m):
+                lo, hi = n * j // m, n * (j + 1) // m
+                want.add((k, t, n, order[lo + number(f"{spec.seed}:{k}:{t}:row:{j}") % (hi - lo)]))
+    drawn = [tuple(r)[:4] for r in FO.draw_from_all(df.repartition(3), "key", "id", XS, spec).collect()]
+    assert len(drawn) == 40 * (64 + 50) and set(drawn) == want
+    assert len({i for k, _, _, i in drawn if k == "many"}) > 1500  # 2,560 draws: some 1,720 of 3,000 rows
+    forest = FO.fit_forest(df, "key", "id", XS, spec).toPandas()
+    assert forest.groupby("key")["sampled"].unique().map(list).to_dict() == {"many": [64], "some": [50]}
+
+
+def test_all_methods_fit_forests_on_all_nominal_windows(spark, monkeypatch):
+    specs, fit = [], FO.fit_forest
+    monkeypatch.setattr(FO, "fit_forest", lambda *a: specs.append(a[-1]) or fit(*a))
+    assert methods.all_methods(spark, "/root/testdata/sf0.001").where("method = 'isolation_forest'").count() > 0
+    assert [s.pool for s in specs] == [None] and "rn <= 1024" not in methods.SQL["all_methods"]
